@@ -9,37 +9,33 @@ from rosterloom.functions.text import contains_any, strip
 from rosterloom.schema import EMAIL_PATTERN, PHONE_PATTERNS
 
 
-def phone_digits(value: Column) -> Column:
-    """Ten national digits of a North American number, NULL if it is none."""
-    number = F.regexp_replace(value, r"(?i)\s*(?:ext\.?|x|#)\s*\d{1,7}\s*$", "")
-    foreign = strip(number).rlike(r"^\+(?!1)")
-    digits = F.regexp_replace(number, "[^0-9]", "")
-    national = F.when(
-        (F.length(digits) == 11) & F.startswith(digits, F.lit("1")), F.substr(digits, F.lit(2))
-    ).otherwise(digits)
-    return F.when(~foreign & ~value.rlike("[A-Za-wyzA-WYZ]{2}") & national.rlike(r"^[2-9]\d{2}[2-9]\d{6}$"), national)
-
-
-def format_national(digits: Column) -> Column:
-    return F.concat(
-        F.lit("("), F.substring(digits, 1, 3), F.lit(") "),
-        F.substring(digits, 4, 3), F.lit("-"), F.substring(digits, 7, 4),
+# North American number: optional country code, area, exchange, line, extension.
+_NUMBER = r"^\s*(?:\+?1[\s./-]*)?\(?([2-9]\d{2})\)?[\s./-]*([2-9]\d{2})[\s./-]*(\d{4})\s*"
+NANP = _NUMBER + "$"
+NANP_EXTENSION = _NUMBER + r"(?i)(?:ext\.?|x|#)\s*(\d{1,7})\s*$"
+
+
+def national_phone(value: Column) -> Column:
+    """``(AAA) BBB-CCCC``, with ``ext. N`` if the number has one; NULL if the text
+    is no North American number."""
+    return F.when(value.rlike(NANP), F.regexp_replace(value, NANP, "($1) $2-$3")).when(
+        value.rlike(NANP_EXTENSION), F.regexp_replace(value, NANP_EXTENSION, "($1) $2-$3 ext. $4")
     )
 
 
+def e164(national: Column) -> Column:
+    """``+1`` and ten digits of a number in national form."""
+    return F.concat(F.lit("+1"), F.substring(F.regexp_replace(national, "[^0-9]", ""), 1, 10))
+
+
+def few_digits(value: Column) -> Column:
+    """Too few digits for any number."""
+    return F.length(F.regexp_replace(value, "[^0-9]", "")) < 3
+
+
 def normalize_phone(value: Column) -> Column:
-    """``struct<value, e164, parsed>``; a number that fails keeps its text.
-    ``parsed`` is false when the text holds too few digits to be a number."""
-    digits = phone_digits(value)
-    extension = F.regexp_extract(value, r"(?i)(?:ext\.?|x|#)\s*(\d{1,7})\s*$", 1)
-    national = F.concat(
-        format_national(digits), F.when(extension != "", F.concat(F.lit(" ext. "), extension)).otherwise("")
-    )
-    return F.struct(
-        F.coalesce(national, value).alias("value"),
-        F.when(digits.isNotNull(), F.concat(F.lit("+1"), digits)).alias("e164"),
-        (F.length(F.regexp_replace(value, "[^0-9]", "")) >= 3).alias("parsed"),
-    )
+    """National form, or the text itself when it is no such number."""
+    return F.coalesce(national_phone(value), value)
 
 
 def is_phone(value: Column) -> Column:
@@ -64,7 +60,7 @@ UNITS = "Suite|Ste|Apt|Apartment|Unit|Room|Rm|Floor|Fl|Bldg|Building"
 # --- end of fixed values ------------------------------------------------------
 
 ADDRESS_PATTERN = (
-    rf"(?i)^\s*(\d+[A-Za-z]?)\s+((?:(?:{DIRECTIONS})\.?\s+)?[A-Za-z0-9][A-Za-z0-9'\- ]*?\s+(?:{STREET_TYPES}))\b\.?"
+    rf"(?is)^\s*(\d+[A-Za-z]?)\s+((?:(?:{DIRECTIONS})\.?\s+)?[A-Za-z0-9][A-Za-z0-9'\- ]*?\s+(?:{STREET_TYPES}))\b\.?"
     rf"(?:\s*,)?(?:\s*({UNITS})\.?\s*#?\s*([A-Za-z0-9\-]+))?"
 )
 # City, state and postal code at the end of an address.
@@ -74,15 +70,12 @@ PLACE_PATTERN = r"([A-Za-z .'\-]+,\s*[A-Z]{2}\s+\d{5}(?:-\d{4})?)\s*$"
 def normalize_address(value: Column, keep_place: bool = False) -> Column:
     """Number, street and unit joined by ``, ``; NULL when the text does not look
     like a street address.  The place is dropped unless ``keep_place``."""
-    number, street, unit, unit_id = (F.regexp_extract(value, ADDRESS_PATTERN, i) for i in range(1, 5))
-    parts = [
-        number,
-        street,
-        F.when(unit != "", F.concat_ws(" ", unit, unit_id)),
-    ]
+    parts = F.regexp_replace(value, ADDRESS_PATTERN + ".*$", "$1, $2, $3 $4")
+    street = F.regexp_replace(parts, r",\s*$", "")
     if keep_place:
-        parts.append(F.nullif(strip(F.regexp_extract(value, PLACE_PATTERN, 1)), F.lit("")))
-    return F.when(number != "", F.concat_ws(", ", *parts))
+        place = F.nullif(strip(F.regexp_extract(value, PLACE_PATTERN, 1)), F.lit(""))
+        street = F.concat_ws(", ", street, place)
+    return F.when(value.rlike(ADDRESS_PATTERN), street)
 
 
 def low_confidence_address(value: Column) -> Column:

@@ -10,27 +10,21 @@ from rosterloom.functions.text import strip
 MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 
 
+# A month by name with the day before or after it.
+NAMED_DATE = rf"(?i)^(?:(\d{{1,2}}) )?({MONTHS})[a-z]*\.?(?: (\d{{1,2}}))?,? (\d{{4}})$"
+READABLE = r"^(?:\d{1,2}/\d{1,2}/\d{4}|\d{4}/\d{1,2}/\d{1,2}|[A-Z][a-z]{2} \d{1,2} \d{4})$"
+
+
 def parse_date(value: Column) -> Column:
     """DATE of a written date, NULL when no form fits.
 
-    The shape is tested before parsing: a parser that fails throws inside the
-    JVM, which costs far more than a pattern test on values of another form.
+    The text is brought to one of three shapes first.  A parser that fails throws
+    inside the JVM, so only a text of a readable shape gets to it.
     """
-    text = strip(value)
-    slashed = F.regexp_replace(text, "[-.]", "/")
-    month_first = text.rlike(rf"(?i)^({MONTHS})[a-z]*\.? \d{{1,2}},? \d{{4}}$")
-    day_first = text.rlike(rf"(?i)^\d{{1,2}} ({MONTHS})[a-z]*\.?,? \d{{4}}$")
-    words = F.split(F.regexp_replace(text, "[.,]", ""), " ")
-    short = F.initcap(F.substring(F.when(month_first, words[0]).otherwise(words[1]), 1, 3))
-    named = F.when(month_first, F.concat_ws(" ", short, words[1], words[2])).when(
-        day_first, F.concat_ws(" ", short, words[0], words[2])
-    )
-    return (
-        F.when(slashed.rlike(r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4}$"), F.try_to_timestamp(slashed, F.lit("M/d/yyyy")))
-        .when(slashed.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.try_to_timestamp(slashed, F.lit("yyyy/M/d")))
-        .when(named.isNotNull(), F.try_to_timestamp(named, F.lit("MMM d yyyy")))
-        .cast("date")
-    )
+    named = F.regexp_replace(strip(value), NAMED_DATE, "$2 $1$3 $4")
+    shaped = F.initcap(F.regexp_replace(named, "[-.]", "/"))
+    parsed = F.try_to_timestamp(shaped, F.lit("[M/d/yyyy][yyyy/M/d][MMM d yyyy]"))
+    return F.when(shaped.rlike(READABLE), parsed).cast("date")
 
 
 def normalize_date(value: Column) -> Column:

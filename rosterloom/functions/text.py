@@ -30,11 +30,11 @@ def is_sentinel(value: Column) -> Column:
 
 
 def is_blank(value: Column) -> Column:
-    return value.isNull() | (strip(value) == "")
+    return F.coalesce(strip(value), F.lit("")) == ""
 
 
 def is_missing(value: Column) -> Column:
-    return is_blank(value) | is_sentinel(value)
+    return F.coalesce(F.lower(strip(value)), F.lit("")).isin("", SENTINEL.lower())
 
 
 def null_words(value: Column) -> Column:

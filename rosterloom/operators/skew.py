@@ -12,6 +12,18 @@ SALTS = 16
 CHUNK_ROWS = 100_000
 
 
+def explode_rows(df: DataFrame, array: str, name: str, position: str | None = None) -> DataFrame:
+    """One row per array element; rows with none go.
+
+    The outer form is used on purpose.  For a plain explode Catalyst infers a
+    filter on the array's size and pushes it down to the scan, which repeats the
+    whole computation of the array."""
+    kept = [c for c in df.columns if c != array]
+    if position is None:
+        return df.select(*kept, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+    return df.select(*kept, F.posexplode_outer(array).alias(position, name)).where(F.col(name).isNotNull())
+
+
 def salted_lookup(
     big: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "left", salts: int = SALTS
 ) -> DataFrame:
@@ -40,25 +52,31 @@ def flag_repeats(
     First rows come from a partially aggregated ``min`` instead of a window, so
     that a key with a third of all rows is never sorted in one task; only keys
     that do repeat take part in the join.
+
+    ``applies`` says which keys count and must depend on the key alone.  It is a
+    condition inside the aggregate and not a filter, which Catalyst would push
+    below the projections that work it out, and so work it out twice.
     """
     applies = F.lit(True) if applies is None else F.coalesce(applies, F.lit(False))
-    place = F.struct(*order)
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     firsts = (
-        df.where(applies)
-        .groupBy(*keys)
-        .agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_copies"))
+        df.groupBy(*keys)
+        .agg(F.min(F.when(applies, place)).alias("_first"), F.count(F.lit(1)).alias("_copies"))
         .where("_copies > 1")
         .select(*keys, "_first")
     )
     joined = salted_lookup(df, firsts, keys, order, salts=salts)
-    return joined.withColumn(flag, applies & F.coalesce(place > F.col("_first"), F.lit(False))).drop("_first")
+    return joined.withColumn(flag, F.coalesce(place > F.col("_first"), F.lit(False))).drop("_first")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row of each key.  Only keys and order columns are aggregated; the
     wide rows meet the winners on ``keys + order``, which is as unique as rows."""
-    winners = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
-    winners = winners.select(*keys, *[F.col("_first")[name].alias(name) for name in order])
+    if len(order) == 1:
+        winners = df.groupBy(*keys).agg(F.min(order[0]).alias(order[0]))
+    else:
+        winners = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+        winners = winners.select(*keys, *[F.col("_first")[name].alias(name) for name in order])
     return df.join(winners, [*keys, *order], "left_semi")
 
 
