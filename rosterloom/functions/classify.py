@@ -111,10 +111,10 @@ def strategy(document_types: Column, methods: Column) -> Column:
     assisted = F.exists(methods, lambda m: m == "vlm_assisted") | F.exists(
         document_types, lambda d: d == "PDF_UNKNOWN"
     )
-    return _strategy(assisted, F.size(document_types))
+    return processing_strategy(assisted, F.size(document_types))
 
 
-def _strategy(assisted: Column, artifacts: Column) -> Column:
+def processing_strategy(assisted: Column, artifacts: Column) -> Column:
     empty = F.coalesce(artifacts, F.lit(0)) == 0
     needs = ~empty & F.coalesce(assisted, F.lit(False))
     return F.struct(

@@ -93,19 +93,12 @@ def mask_pii(value: Column, npi: bool = True, phone: bool = True, email: bool =
 
 def last_wins_map(entries: Column) -> Column:
     """Map from ``array<struct<key,value>>``; a repeated key keeps its last value."""
-    kept = F.filter(
-        F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("pos"))),
-        lambda e: e["pos"] == F.array_max(
-            F.transform(
-                F.filter(
-                    F.transform(entries, lambda o, j: F.struct(o["key"].alias("key"), j.alias("pos"))),
-                    lambda o: o["key"] == e["key"],
-                ),
-                lambda o: o["pos"],
-            )
-        ),
+    none = F.array().cast("array<string>")
+    return F.aggregate(
+        entries,
+        F.map_from_arrays(none, none),
+        lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.create_map(e["key"], e["value"])),
     )
-    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
 
 
 def object_key(prefix: str, name: Column, at: Column) -> Column:

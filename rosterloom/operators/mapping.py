@@ -67,6 +67,13 @@ def alias_value(data: Column, field: str) -> Column:
     return strip(F.coalesce(*[F.try_element_at(data, F.lit(n)) for n in names]))
 
 
+def _mapped_value(data: Column, mappings: Column, field: str) -> Column:
+    """Last non-empty value among the headers mapped to a field."""
+    mine = F.filter(mappings, lambda m: m["target"] == field)
+    values = F.transform(mine, lambda m: strip(F.try_element_at(data, m["source"])))
+    return F.try_element_at(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.lit(-1))
+
+
 def typed_rows(df: DataFrame, data: str = "data", mappings: str | None = None) -> DataFrame:
     """Row maps to the 17 typed columns.
 
@@ -77,14 +84,7 @@ def typed_rows(df: DataFrame, data: str = "data", mappings: str | None = None) -
     for field in FIELDS:
         value = alias_value(F.col(data), field)
         if mappings:
-            hits = F.filter(
-                F.transform(
-                    F.filter(mappings, lambda m, f=field: m["target"] == f),
-                    lambda m: strip(F.try_element_at(F.col(data), m["source"])),
-                ),
-                lambda v: v.isNotNull() & (v != ""),
-            )
-            value = F.coalesce(F.try_element_at(hits, F.lit(-1)), value)
+            value = F.coalesce(_mapped_value(F.col(data), F.col(mappings), field), value)
         columns.append(F.coalesce(value, F.lit("")).alias(column_name(field)))
     kept = [c for c in df.columns if c not in (data, mappings)]
     return df.select(*kept, *columns)

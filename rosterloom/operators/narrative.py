@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions.classify import canonical_transaction, transaction_type
 from rosterloom.functions.text import strip
-from rosterloom.operators.tables import delimited_rows, with_defaults
+from rosterloom.operators.skew import explode_rows
+from rosterloom.operators.tables import delimited_arrays, delimited_rows, with_defaults
 from rosterloom.schema import (
     NARRATIVE_PATTERNS,
     NARRATIVE_SENTINEL_FIELDS,
@@ -46,11 +47,15 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
+def _fitting(words: Column, pattern: str) -> Column:
+    return F.filter(words, lambda w: w.rlike(pattern))
+
+
 def token_fields(text: Column) -> dict[str, Column]:
     """Values recognised by the shape of a whole token.  The last one wins, but
     the first phone is the phone and the last further one the fax."""
     words = tokens(text)
-    hits = {kind: F.filter(words, lambda w, p=p: w.rlike(p)) for kind, p in TOKEN_PATTERNS.items()}
+    hits = {kind: _fitting(words, pattern) for kind, pattern in TOKEN_PATTERNS.items()}
     phones = hits.pop("phone")
     found = {field: F.try_element_at(values, F.lit(-1)) for field, values in hits.items()}
     found["Phone Number"] = F.try_element_at(phones, F.lit(1))
@@ -78,35 +83,39 @@ def narrative_rows(
             tagged[field] = F.coalesce(value, tagged[field]) if field in tagged else value
         for field, value in tagged.items():
             found[field] = F.coalesce(value, found[field]) if field in found else value
+    fields = {f: f"_f_{column_name(f)}" for f in found}
+    read = df.withColumns({fields[f]: value for f, value in found.items()} | {"_kind": transaction_type(source)})
+    many_lines = F.contains(strip(source), F.lit("\n"))
     hits = F.array_compact(
-        F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in found.items()])
+        F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(f).alias("key"), F.col(c).alias("value"))) for f, c in fields.items()])
     )
-    extra = {f: SENTINEL for f in NARRATIVE_SENTINEL_FIELDS} | (defaults or {})
-    found_map = df.where(F.size(F.split(strip(source), "\n")) >= 2).withColumn("data", F.map_from_entries(hits))
-    typed = found_map.where(F.size("data") > 0).withColumn(
-        "_kind", F.coalesce(F.try_element_at("data", F.lit("Transaction Type")), transaction_type(source))
+    # No hit or a single line makes no row: an empty array explodes to nothing.
+    gathered = read.select(
+        *df.columns, "_kind", F.when(many_lines, F.filter(F.array(hits), lambda h: F.size(h) > 0)).alias("_hits")
     )
+    rows = explode_rows(gathered.drop(text), "_hits", "_hit").withColumn("data", F.map_from_entries("_hit"))
+    kind = F.coalesce(F.try_element_at("data", F.lit("Transaction Type")), F.col("_kind"))
     context = F.create_map(
         F.lit("Transaction Type"),
         F.col("_kind"),
         F.lit("Transaction Attribute"),
         F.when(F.col("_kind").isin("Add", "Term"), "Provider").otherwise("Not Applicable"),
     )
-    data = F.map_concat(F.map_filter(context, lambda k, v: ~F.map_contains_key("data", k)), F.col("data"))
+    extra = {f: SENTINEL for f in NARRATIVE_SENTINEL_FIELDS} | (defaults or {})
     return (
-        typed.withColumn("data", data)
+        rows.withColumn("_kind", kind)
+        .withColumn("data", F.map_concat(F.map_filter(context, lambda k, v: ~F.map_contains_key("data", k)), F.col("data")))
         .withColumn("data", with_defaults(F.col("data"), extra))
-        .withColumn("row_idx", F.lit(0))
-        .withColumn("confidence", F.lit(0.6))
-        .withColumn("extraction_method", F.lit("narrative_text"))
-        .drop("_kind", text)
+        .withColumns({"row_idx": F.lit(0), "confidence": F.lit(0.6), "extraction_method": F.lit("narrative_text")})
+        .drop("_kind", "_hit")
     )
 
 
-def text_rows(df: DataFrame, key: list[str], text: str = "text", **options) -> DataFrame:
+def text_rows(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """Structured rows of a text if it has any, narrative rows otherwise.
 
-    ``key`` names one text, so the anti-join sees each key once on the left."""
-    structured = delimited_rows(df, text)
-    bare = df.join(structured.select(*key).distinct(), key, "left_anti")
-    return structured.unionByName(narrative_rows(bare, text, **options))
+    The choice is made inside each text, so no join is needed: a text with
+    structured rows is simply empty for the narrative side."""
+    bare = F.when(F.coalesce(F.size("_rows"), F.lit(0)) <= 0, F.col(text))
+    narrative = delimited_arrays(df, text).withColumn(text, bare).drop("_names", "_rows")
+    return delimited_rows(df, text).unionByName(narrative_rows(narrative, text, **options))

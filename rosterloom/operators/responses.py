@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions.text import is_missing, json_object_text, null_words, strip, strip_fence, strip_tags
-from rosterloom.operators.skew import salted_lookup
+from rosterloom.operators.skew import explode_rows, salted_lookup
 from rosterloom.schema import FIELDS, column_name
 
 # --- fixed value: request put around the text of a mail -------------------------
@@ -54,15 +54,23 @@ def parse_model_rows(response: Column) -> Column:
 
 def clean_model_rows(df: DataFrame, response: str = "response") -> DataFrame:
     """Typed rows of each response; rows without any value are dropped."""
-    rows = df.select("*", F.posexplode(parse_model_rows(F.col(response))).alias("row_idx", "_row")).drop(response)
-    typed = [
-        F.nullif(null_words(F.try_element_at("_row", F.lit(f))), F.lit("")).alias(column_name(f)) for f in FIELDS
-    ]
-    kept = rows.select("*", *typed).drop("_row")
-    return (
-        kept.where(F.coalesce(*[F.col(column_name(f)) for f in FIELDS]).isNotNull())
-        .withColumn("confidence", F.lit(0.9))
-        .withColumn("extraction_method", F.lit("llm"))
+    known = F.array(*[F.lit(f) for f in FIELDS])
+
+    def cleaned(row: Column) -> Column:
+        mine = F.map_filter(row, lambda k, v: F.array_contains(known, k))
+        return F.map_filter(
+            F.transform_values(mine, lambda k, v: null_words(v)), lambda k, v: v.isNotNull() & (v != "")
+        )
+
+    parsed = df.withColumn("_parsed", parse_model_rows(F.col(response))).drop(response)
+    filled = F.filter(F.transform("_parsed", cleaned), lambda m: F.size(m) > 0)
+    rows = explode_rows(parsed.withColumn("_rows", filled).drop("_parsed"), "_rows", "_row", "row_idx")
+    typed = [F.try_element_at("_row", F.lit(f)).alias(column_name(f)) for f in FIELDS]
+    return rows.select(
+        *[c for c in rows.columns if c != "_row"],
+        *typed,
+        F.lit(0.9).alias("confidence"),
+        F.lit("llm").alias("extraction_method"),
     )
 
 

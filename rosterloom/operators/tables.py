@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions.text import contains_any, last_wins_map, split_line, strip
-from rosterloom.operators.skew import salted_lookup
+from rosterloom.operators.skew import explode_rows, salted_lookup
 from rosterloom.schema import (
     HEADER_HINTS,
     HEADER_RULES,
@@ -56,9 +56,10 @@ def parse_tables(html: Column) -> Column:
 
 def html_cells(df: DataFrame, html: str = "html") -> DataFrame:
     """One row per cell of every table: ``table_idx, row_idx, col_idx, cell``."""
-    tables = df.select("*", F.posexplode(parse_tables(F.col(html))).alias("table_idx", "_table"))
-    rows = tables.select("*", F.posexplode(F.col("_table")["grid"]).alias("row_idx", "_cells"))
-    return rows.select("*", F.posexplode("_cells").alias("col_idx", "cell")).drop(html, "_table", "_cells")
+    tables = df.withColumn("_tables", parse_tables(F.col(html))).drop(html)
+    rows = explode_rows(tables, "_tables", "_table", "table_idx").withColumn("_grid", F.col("_table.grid"))
+    cells = explode_rows(rows.drop("_table"), "_grid", "_cells", "row_idx")
+    return explode_rows(cells, "_cells", "cell", "col_idx")
 
 
 def body_rows(table: Column) -> Column:
@@ -169,74 +170,81 @@ def table_defaults(**values: str) -> dict[str, str]:
 def table_rows(df: DataFrame, html: str = "html", rules=None, promote_over_th: bool = False, defaults=None) -> DataFrame:
     """Rows of the best table of each artifact: ``row_idx, data MAP, confidence,
     extraction_method``.  Headers are mapped once per table, not once per row."""
-    best = df.withColumn("_best", select_best_table(parse_tables(F.col(html)))).where(F.col("_best").isNotNull())
-    body = body_rows(F.col("_best"))
-    promote = (F.size(body) > 1) & looks_like_header(body[0])
+    best = df.withColumn("_best", select_best_table(parse_tables(F.col(html))))
+    bodied = best.withColumn("_all", body_rows(F.col("_best")))
+    promote = (F.size("_all") > 1) & looks_like_header(F.col("_all")[0])
     if not promote_over_th:
         promote = promote & ~F.col("_best.has_th")
-    shaped = best.select(
-        *df.columns,
-        F.when(promote, body[0])
-        .when(F.col("_best.has_th"), F.col("_best.grid")[0])
-        .otherwise(F.array().cast("array<string>"))
-        .alias("_header"),
-        F.when(promote, F.slice(body, F.lit(2), F.size(body) - 1)).otherwise(body).alias("_body"),
-        table_width(F.col("_best")).alias("_width"),
+    decided = bodied.withColumn("_promote", promote).withColumn("_width", table_width(F.col("_best")))
+    shaped = decided.withColumns(
+        {
+            "_fields": F.transform(
+                F.when(F.col("_promote"), F.col("_all")[0])
+                .when(F.col("_best.has_th"), F.col("_best.grid")[0])
+                .otherwise(F.array().cast("array<string>")),
+                lambda h: map_header(clean_header(h), rules),
+            ),
+            "_body": F.when(F.col("_promote"), F.slice("_all", F.lit(2), F.size("_all"))).otherwise(F.col("_all")),
+        }
     )
-    mapped = shaped.withColumn(
-        "_fields", F.transform("_header", lambda h: map_header(clean_header(h), rules))
-    )
-    rows = mapped.select(
-        *df.columns, "_fields", "_width", F.posexplode("_body").alias("row_idx", "_cells")
-    )
-    filled = F.filter(
-        F.zip_with("_fields", "_cells", lambda f, v: F.struct(f.alias("key"), v.alias("value"))),
-        lambda e: e["key"].isNotNull() & e["value"].isNotNull() & ~F.lower(e["value"]).isin("", "nan", "none"),
+
+    def entries(cells: Column) -> Column:
+        named = F.filter(
+            F.zip_with("_fields", cells, lambda f, v: F.struct(f.alias("key"), v.alias("value"))),
+            lambda e: e["key"].isNotNull() & e["value"].isNotNull() & ~F.lower(e["value"]).isin("", "nan", "none"),
+        )
+        values = F.filter(cells, lambda v: v != "")
+        blind = ~F.exists("_fields", lambda f: f.isNotNull()) & (F.col("_width") >= 3) & (F.size(values) >= 3)
+        return F.when(blind, positional_fields(values)).otherwise(named)
+
+    kept = F.filter(
+        F.transform("_body", lambda cells, i: F.struct(i.alias("row_idx"), entries(cells).alias("entries"))),
+        lambda r: F.size(r["entries"]) > 0,
     )
-    values = F.filter("_cells", lambda v: v != "")
-    entries = F.when(
-        (F.size(filled) == 0) & (F.col("_width") >= 3) & (F.size(values) >= 3), positional_fields(values)
-    ).otherwise(filled)
-    data = with_defaults(F.col("data"), table_defaults() if defaults is None else defaults)
+    rows = explode_rows(shaped.select(*[c for c in df.columns if c != html], kept.alias("_rows")), "_rows", "_row")
+    data = last_wins_map(F.col("_row.entries"))
     return (
-        rows.withColumn("_entries", entries)
-        .where(F.size("_entries") > 0)
-        .withColumn("data", last_wins_map(F.col("_entries")))
-        .withColumn("data", data)
-        .withColumn("confidence", F.lit(0.9))
-        .withColumn("extraction_method", F.lit("html_table"))
-        .drop("_fields", "_width", "_cells", "_entries", html)
+        rows.withColumns({"row_idx": F.col("_row.row_idx"), "data": data})
+        .withColumn("data", with_defaults(F.col("data"), table_defaults() if defaults is None else defaults))
+        .withColumns({"confidence": F.lit(0.9), "extraction_method": F.lit("html_table")})
+        .drop("_row")
     )
 
 
-def delimited_rows(df: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of delimited text under its first line of two or more words."""
+def delimited_arrays(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``_names``, the header cells of a delimited text, and ``_rows``, its
+    data lines; ``_rows`` is NULL or empty for a text without such rows."""
     lines = df.withColumn("_lines", F.split(strip(F.col(text)), "\n"))
     found = F.filter(
         F.transform("_lines", lambda line, i: F.struct(i.alias("at"), strip(line).alias("line"))),
         lambda e: e["line"].rlike(r"\S\s+\S"),
     )
-    headed = lines.withColumn("_head", F.try_element_at(found, F.lit(1))).where(
-        F.col("_head").isNotNull() & (F.size("_lines") > 1)
-    )
-    named = headed.withColumn("_names", split_line(F.col("_head.line"))).where(F.size("_names") >= 2)
-    exploded = named.select(*df.columns, "_names", "_head", F.posexplode("_lines").alias("_at", "_line"))
-    kept = (
-        exploded.where((F.col("_at") > F.col("_head.at")) & (strip(F.col("_line")) != ""))
-        .withColumn("_values", split_line(F.col("_line")))
-        .where(F.size("_values") >= F.size("_names"))
+    headed = lines.withColumn("_head", F.try_element_at(found, F.lit(1)))
+    named = headed.withColumn("_names", split_line(F.col("_head.line")))
+    below = F.slice("_lines", F.col("_head.at") + 2, F.size("_lines"))
+    kept = F.filter(
+        F.transform(
+            below,
+            lambda line, i: F.struct(i.alias("row_idx"), (strip(line) == "").alias("blank"), split_line(line).alias("values")),
+        ),
+        lambda r: ~r["blank"] & (F.size(r["values"]) >= F.size("_names")),
     )
+    structured = F.when((F.size("_names") >= 2) & (F.size("_lines") > 1), kept)
+    return named.select(*df.columns, "_names", structured.alias("_rows"))
+
+
+def delimited_rows(df: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of delimited text under its first line of two or more words."""
     entries = F.zip_with(
         "_names",
-        F.slice("_values", F.lit(1), F.size("_names")),
+        F.slice("_row.values", F.lit(1), F.size("_names")),
         lambda n, v: F.struct(n.alias("key"), v.alias("value")),
     )
     return (
-        kept.withColumn("row_idx", F.col("_at") - F.col("_head.at") - 1)
-        .withColumn("data", last_wins_map(entries))
-        .withColumn("confidence", F.lit(0.7))
-        .withColumn("extraction_method", F.lit("plain_text_structured"))
-        .drop("_names", "_head", "_at", "_line", "_values", text)
+        explode_rows(delimited_arrays(df, text).drop(text), "_rows", "_row")
+        .withColumns({"row_idx": F.col("_row.row_idx"), "data": last_wins_map(entries)})
+        .withColumns({"confidence": F.lit(0.7), "extraction_method": F.lit("plain_text_structured")})
+        .drop("_names", "_row")
     )
 
 
@@ -285,20 +293,33 @@ def pick_columns(header: Column, wanted: list[str]) -> Column:
     return F.create_map(*[x for name in wanted for x in (F.lit(name), first(name))])
 
 
+def _picked_rows(df: DataFrame, keep: list[str], body: str, fits) -> DataFrame:
+    """Rows of ``body`` (arrays of cells) reduced to the columns in ``_pick``."""
+
+    def cells_of(cells: Column) -> Column:
+        return F.map_filter(
+            F.transform_values("_pick", lambda k, i: strip(F.try_element_at(cells, i + 1))),
+            lambda k, v: v.isNotNull() & (v != ""),
+        )
+
+    rows = F.filter(
+        F.transform(body, lambda c, i: F.struct(i.alias("row_idx"), fits(c).alias("fits"), cells_of(c).alias("data"))),
+        lambda r: r["fits"] & (F.size(r["data"]) > 0),
+    )
+    out = explode_rows(df.select(*keep, rows.alias("_rows")), "_rows", "_row")
+    return out.select(*keep, F.col("_row.row_idx").alias("row_idx"), F.col("_row.data").alias("data"))
+
+
 def schema_rows(df: DataFrame, wanted: list[str], grid: str = "grid") -> DataFrame:
     """Rows of a grid restricted to the wanted names, empty cells left out."""
-    picked = df.where(F.size(grid) >= 2).withColumn(
-        "_pick", pick_columns(F.transform(F.col(grid)[0], strip), wanted)
-    )
-    rows = picked.select("*", F.posexplode(F.slice(F.col(grid), F.lit(2), F.size(grid) - 1)).alias("row_idx", "_cells"))
-    data = F.map_filter(
-        F.transform_values(
-            F.map_filter("_pick", lambda k, i: i >= 0),
-            lambda k, i: strip(F.try_element_at(F.col("_cells"), i + 1)),
-        ),
-        lambda k, v: v.isNotNull() & (v != ""),
+    header = F.transform(F.coalesce(F.try_element_at(grid, F.lit(1)), F.array().cast("array<string>")), strip)
+    picked = df.withColumns(
+        {
+            "_pick": F.map_filter(pick_columns(header, wanted), lambda k, i: i >= 0),
+            "_body": F.when(F.size(grid) >= 2, F.slice(grid, F.lit(2), F.size(grid))),
+        }
     )
-    return rows.withColumn("data", data).where(F.size("data") > 0).drop("_pick", "_cells", grid)
+    return _picked_rows(picked, [c for c in df.columns if c != grid], "_body", lambda c: F.lit(True))
 
 
 def spaced_text_rows(df: DataFrame, wanted: list[str], text: str = "text") -> DataFrame:
@@ -306,19 +327,22 @@ def spaced_text_rows(df: DataFrame, wanted: list[str], text: str = "text") -> Da
     more words, and every line but the first one of the text is data."""
     lines = F.split(strip(F.col(text)), "\n")
     words = F.transform(lines, lambda line: F.filter(F.split(strip(line), r"\s+"), lambda w: w != ""))
-    split = df.withColumn("_words", words).where(F.size("_words") >= 2)
-    header = F.try_element_at(F.filter("_words", lambda w: F.size(w) >= 2), F.lit(1))
-    picked = split.withColumn("_header", header).where(F.col("_header").isNotNull())
-    picked = picked.withColumn(
-        "_pick", F.map_filter(pick_columns(F.col("_header"), wanted), lambda k, i: i >= 0)
+    split = df.withColumn("_words", words)
+    header = split.withColumn("_header", F.try_element_at(F.filter("_words", lambda w: F.size(w) >= 2), F.lit(1)))
+    picked = header.withColumns(
+        {
+            "_pick": F.map_filter(pick_columns(F.col("_header"), wanted), lambda k, i: i >= 0),
+            "_body": F.when(
+                (F.size("_words") >= 2) & F.col("_header").isNotNull(), F.slice("_words", F.lit(2), F.size("_words"))
+            ),
+        }
     )
-    rows = picked.select("*", F.posexplode(F.slice("_words", F.lit(2), F.size("_words") - 1)).alias("row_idx", "_cells"))
-    data = F.map_filter(
-        F.transform_values("_pick", lambda k, i: F.try_element_at(F.col("_cells"), i + 1)),
-        lambda k, v: v.isNotNull() & (v != ""),
+    return _picked_rows(
+        picked,
+        [c for c in df.columns if c != text],
+        "_body",
+        lambda c: (F.size(c) > 0) & (F.size(c) >= F.size("_pick")),
     )
-    kept = rows.where((F.size("_cells") > 0) & (F.size("_cells") >= F.size("_pick")))
-    return kept.withColumn("data", data).where(F.size("data") > 0).drop("_words", "_header", "_pick", "_cells", text)
 
 
 def page_kind(pages: DataFrame, doc: list[str]) -> DataFrame:
