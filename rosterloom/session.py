@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,7 +23,27 @@ def build_session(master: str = "local[8]", app: str = "rosterloom", **conf: str
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context.
+
+    Only the readers and the workbook writer run in workers.  Where the package
+    is installed on the executors or was submitted with ``--py-files`` this is
+    not needed."""
+    context = spark.sparkContext
+    if getattr(context, "_rosterloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="rosterloom-")) / "rosterloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, Path(root.name) / source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._rosterloom_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
