@@ -21,8 +21,8 @@ def parse_date(value: Column) -> Column:
     The text is brought to one of three shapes first.  A parser that fails throws
     inside the JVM, so only a text of a readable shape gets to it.
     """
-    named = F.regexp_replace(strip(value), NAMED_DATE, "$2 $1$3 $4")
-    shaped = F.initcap(F.regexp_replace(named, "[-.]", "/"))
+    named = F.when(value.rlike("[A-Za-z]"), F.initcap(F.regexp_replace(strip(value), NAMED_DATE, "$2 $1$3 $4")))
+    shaped = F.regexp_replace(named.otherwise(strip(value)), "[-.]", "/")
     parsed = F.try_to_timestamp(shaped, F.lit("[M/d/yyyy][yyyy/M/d][MMM d yyyy]"))
     return F.when(shaped.rlike(READABLE), parsed).cast("date")
 

@@ -19,10 +19,17 @@ def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITESPACE))
 
 
+# A noncharacter, which no text may hold.
+_BREAK = "\uffff "
+
+
 def title_case(value: Column) -> Column:
-    """Capital after every non-letter: ``o'brien`` -> ``O'Brien``."""
-    runs = F.regexp_extract_all(value, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    """Capital after every non-letter: ``o'brien`` -> ``O'Brien``.
+
+    ``initcap`` sees words only between blanks, so a marked blank is put before
+    each letter that follows a non-letter and taken out again."""
+    parted = F.regexp_replace(value, r"([^\p{L}\s])(?=\p{L})", "$1" + _BREAK)
+    return F.replace(F.initcap(parted), F.lit(_BREAK), F.lit(""))
 
 
 def is_sentinel(value: Column) -> Column:
@@ -65,12 +72,7 @@ def split_line(line: Column) -> Column:
 
 def strip_fence(response: Column) -> Column:
     """Model answer without its Markdown code fence."""
-    body = strip(response)
-    body = F.when(F.startswith(body, F.lit("```json")), F.substr(body, F.lit(8))).otherwise(body)
-    body = F.when(
-        F.endswith(body, F.lit("```")), F.substr(body, F.lit(1), F.length(body) - 3)
-    ).otherwise(body)
-    return strip(body)
+    return strip(F.regexp_replace(F.regexp_replace(strip(response), "^```json", ""), "```$", ""))
 
 
 def json_object_text(text: Column) -> Column:

@@ -37,7 +37,7 @@ def analytics(jobs: DataFrame, exports: DataFrame) -> DataFrame:
         F.count_if(done).alias("completed_jobs"),
         F.count_if(F.col("status").isin("pending", "processing")).alias("pending_jobs"),
         F.count_if(F.col("status") == "failed").alias("error_jobs"),
-        F.round(F.avg(F.when(done, minutes)), 4).alias("avg_processing_minutes"),
+        F.round(F.avg(F.when(done, minutes)), 9).alias("avg_processing_minutes"),
         F.round(F.count_if(done) * 100.0 / F.nullif(F.count(F.lit(1)), F.lit(0)), 1).alias("success_rate"),
     )
     total = exports.agg(F.count(F.lit(1)).alias("_n"))
@@ -90,7 +90,7 @@ def edits_per_job(versions: DataFrame) -> DataFrame:
 def stage_runs(events: DataFrame) -> DataFrame:
     """Runs, errors and mean duration per stage and status."""
     return events.groupBy("agent", "status").agg(
-        F.count(F.lit(1)).alias("runs"), F.round(F.avg("duration_s"), 4).alias("avg_seconds")
+        F.count(F.lit(1)).alias("runs"), F.round(F.avg("duration_s"), 9).alias("avg_seconds")
     )
 
 

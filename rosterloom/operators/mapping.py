@@ -10,28 +10,27 @@ from rosterloom.operators.skew import salted_lookup
 from rosterloom.schema import ALIASES, FIELDS, SENTINEL, column_name
 
 
-def similarity(header: Column, target: Column) -> Column:
-    """Shorter over longer length when one text contains the other, else 0."""
-    a, b = F.lower(header), F.lower(target)
-    inside = F.contains(b, a) | F.contains(a, b)
-    return F.when(
-        inside & (F.greatest(F.length(a), F.length(b)) > 0),
-        F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b)),
-    ).otherwise(F.lit(0.0))
+def _target_array(targets: list[str] | None) -> Column:
+    """Literal array of the fields, in lower case too."""
+    names = targets or FIELDS
+    return F.array(*[F.struct(F.lit(t).alias("name"), F.lit(t.lower()).alias("low"), F.lit(len(t)).alias("size")) for t in names])
 
 
 def suggest_header(header: Column, targets: list[str] | None = None, floor: float = 0.3) -> Column:
-    """``struct<target, confidence>`` of the most similar field, the earlier one
-    on a tie, NULL at or below the floor.  The fields are a literal array."""
-    names = F.array(*[F.lit(t) for t in (targets or FIELDS)])
+    """``struct<target, confidence>`` of the most similar field: one text contains
+    the other, and the shorter is as long as possible beside the longer.  The
+    earlier field wins a tie; NULL at or below the floor."""
+    low = F.lower(header)
+    size = F.length(header)
+    close = F.filter(_target_array(targets), lambda t: F.contains(t["low"], low) | F.contains(low, t["low"]))
     scored = F.transform(
-        names,
-        lambda t, i: F.struct(similarity(header, t).alias("confidence"), (-i).alias("neg"), t.alias("target")),
-    )
-    best = F.array_max(scored)
-    return F.when(
-        best["confidence"] > floor, F.struct(best["target"].alias("target"), best["confidence"].alias("confidence"))
+        close,
+        lambda t, i: F.struct(
+            (F.least(t["size"], size) / F.greatest(t["size"], size)).alias("confidence"), (-i).alias("neg"), t["name"].alias("target")
+        ),
     )
+    best = F.array_max(F.filter(scored, lambda s: s["confidence"] > floor))
+    return F.when(best.isNotNull(), F.struct(best["target"].alias("target"), best["confidence"].alias("confidence")))
 
 
 def suggest_mapping(df: DataFrame, headers: str = "headers") -> DataFrame:

@@ -43,8 +43,7 @@ def phrase_fields(text: Column) -> dict[str, Column]:
 
 def tokens(text: Column) -> Column:
     """Words cut at white space, without the punctuation around them."""
-    words = F.transform(F.split(text, r"\s+"), lambda w: F.btrim(w, F.lit(".,;:()[]{}\"'!?#*")))
-    return F.filter(words, lambda w: w != "")
+    return F.transform(F.split(text, r"\s+"), lambda w: F.btrim(w, F.lit(".,;:()[]{}\"'!?#*")))
 
 
 def _fitting(words: Column, pattern: str) -> Column:
@@ -52,9 +51,9 @@ def _fitting(words: Column, pattern: str) -> Column:
 
 
 def token_fields(text: Column) -> dict[str, Column]:
-    """Values recognised by the shape of a whole token.  The last one wins, but
+    """Values recognised by the shape of a whole token, all of which hold a digit.  The last one wins, but
     the first phone is the phone and the last further one the fax."""
-    words = tokens(text)
+    words = F.filter(tokens(text), lambda w: w.rlike("[0-9]"))
     hits = {kind: _fitting(words, pattern) for kind, pattern in TOKEN_PATTERNS.items()}
     phones = hits.pop("phone")
     found = {field: F.try_element_at(values, F.lit(-1)) for field, values in hits.items()}

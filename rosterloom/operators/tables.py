@@ -27,31 +27,35 @@ _CELL = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"
 _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
-def cell_text(cell: Column) -> Column:
-    text = F.regexp_replace(cell, r"<[^>]+>", "")
+def _plain(text: Column) -> Column:
     for entity, plain in _ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(plain))
-    return F.regexp_replace(strip(text), r"[\r\n]+|\s{2,}", " ")
+    return text
+
+
+def cell_text(cell: Column) -> Column:
+    text = F.regexp_replace(cell, r"<[^>]+>", "")
+    decoded = F.when(F.contains(cell, F.lit("&")), _plain(text)).otherwise(text)
+    return F.regexp_replace(strip(decoded), r"[\r\n]+|\s{2,}", " ")
 
 
 def parse_tables(html: Column) -> Column:
-    """``array<struct<has_th, grid array<array<string>>>>`` of all tables."""
+    """``array<struct<has_th, grid array<array<string>>>>`` of all tables.
+
+    Inside a lambda nothing is shared between two uses of an expression, so each
+    step is a transform of its own over the step before."""
     tables = F.regexp_extract_all(F.regexp_replace(html, _SKIPPED, ""), F.lit(_TABLE), F.lit(1))
+    rows = F.transform(
+        tables,
+        lambda t: F.filter(F.regexp_extract_all(t, F.lit(_ROW), F.lit(1)), lambda r: r.rlike(r"(?i)<t[dh]\b")),
+    )
 
-    def to_table(table):
-        rows = F.filter(
-            F.regexp_extract_all(table, F.lit(_ROW), F.lit(1)),
-            lambda r: r.rlike(r"(?i)<t[dh]\b"),
-        )
-        grid = F.transform(
-            rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(_CELL), F.lit(1)), cell_text)
-        )
+    def to_table(rows: Column) -> Column:
         first = F.coalesce(F.try_element_at(rows, F.lit(1)), F.lit(""))
-        return F.struct(
-            (first.rlike(r"(?i)<th\b") & ~first.rlike(r"(?i)<td\b")).alias("has_th"), grid.alias("grid")
-        )
+        grid = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(_CELL), F.lit(1)), cell_text))
+        return F.struct(first.rlike(r"(?is)^(?!.*<td\b).*<th\b").alias("has_th"), grid.alias("grid"))
 
-    return F.transform(tables, to_table)
+    return F.transform(rows, to_table)
 
 
 def html_cells(df: DataFrame, html: str = "html") -> DataFrame:
@@ -71,11 +75,8 @@ def table_width(table: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(table["grid"], F.size)), F.lit(0))
 
 
-def table_score(table: Column) -> Column:
+def table_score(rows: Column, columns: Column, content: Column) -> Column:
     """Cells, plus points for roster words, several rows and a usual width."""
-    body = body_rows(table)
-    rows, columns = F.size(body), table_width(table)
-    content = F.lower(F.array_join(F.flatten(body), " "))
     terms = sum((F.contains(content, F.lit(t)).cast("int") for t in ROSTER_TERMS), F.lit(0))
     score = (
         rows * columns
@@ -88,11 +89,24 @@ def table_score(table: Column) -> Column:
 
 def select_best_table(tables: Column) -> Column:
     """Highest score wins, the first one on a tie; NULL without a scoring table.
-    ``struct<score, neg_idx, has_th, grid>``."""
+    ``struct<score, neg_idx, width, table>``."""
+    bodied = F.transform(tables, lambda t: F.struct(t.alias("table"), body_rows(t).alias("body"), table_width(t).alias("width")))
+    measured = F.transform(
+        bodied,
+        lambda t: F.struct(
+            t["table"].alias("table"),
+            t["width"].alias("width"),
+            F.size(t["body"]).alias("rows"),
+            F.lower(F.array_join(F.flatten(t["body"]), " ")).alias("content"),
+        ),
+    )
     scored = F.transform(
-        tables,
+        measured,
         lambda t, i: F.struct(
-            table_score(t).alias("score"), (-i).alias("neg_idx"), t["has_th"].alias("has_th"), t["grid"].alias("grid")
+            table_score(t["rows"], t["width"], t["content"]).alias("score"),
+            (-i).alias("neg_idx"),
+            t["width"].alias("width"),
+            t["table"].alias("table"),
         ),
     )
     return F.array_max(F.filter(scored, lambda t: t["score"] > 0))
@@ -171,36 +185,50 @@ def table_rows(df: DataFrame, html: str = "html", rules=None, promote_over_th: b
     """Rows of the best table of each artifact: ``row_idx, data MAP, confidence,
     extraction_method``.  Headers are mapped once per table, not once per row."""
     best = df.withColumn("_best", select_best_table(parse_tables(F.col(html))))
-    bodied = best.withColumn("_all", body_rows(F.col("_best")))
+    bodied = best.withColumn("_all", body_rows(F.col("_best.table")))
+    has_th = F.col("_best.table.has_th")
     promote = (F.size("_all") > 1) & looks_like_header(F.col("_all")[0])
     if not promote_over_th:
-        promote = promote & ~F.col("_best.has_th")
-    decided = bodied.withColumn("_promote", promote).withColumn("_width", table_width(F.col("_best")))
+        promote = promote & ~has_th
+    decided = bodied.withColumn("_promote", promote)
+    header = (
+        F.when(F.col("_promote"), F.col("_all")[0])
+        .when(has_th, F.col("_best.table.grid")[0])
+        .otherwise(F.array().cast("array<string>"))
+    )
+    cleaned = F.transform(header, clean_header)
     shaped = decided.withColumns(
         {
-            "_fields": F.transform(
-                F.when(F.col("_promote"), F.col("_all")[0])
-                .when(F.col("_best.has_th"), F.col("_best.grid")[0])
-                .otherwise(F.array().cast("array<string>")),
-                lambda h: map_header(clean_header(h), rules),
-            ),
+            "_fields": F.transform(cleaned, lambda h: map_header(h, rules)),
             "_body": F.when(F.col("_promote"), F.slice("_all", F.lit(2), F.size("_all"))).otherwise(F.col("_all")),
+            "_width": F.col("_best.width"),
         }
     )
+    wide = shaped.withColumn("_blind", ~F.exists("_fields", lambda f: f.isNotNull()) & (F.col("_width") >= 3))
 
-    def entries(cells: Column) -> Column:
-        named = F.filter(
+    def named(cells: Column) -> Column:
+        return F.filter(
             F.zip_with("_fields", cells, lambda f, v: F.struct(f.alias("key"), v.alias("value"))),
             lambda e: e["key"].isNotNull() & e["value"].isNotNull() & ~F.lower(e["value"]).isin("", "nan", "none"),
         )
-        values = F.filter(cells, lambda v: v != "")
-        blind = ~F.exists("_fields", lambda f: f.isNotNull()) & (F.col("_width") >= 3) & (F.size(values) >= 3)
-        return F.when(blind, positional_fields(values)).otherwise(named)
 
-    kept = F.filter(
-        F.transform("_body", lambda cells, i: F.struct(i.alias("row_idx"), entries(cells).alias("entries"))),
-        lambda r: F.size(r["entries"]) > 0,
+    filled = F.transform(
+        "_body",
+        lambda cells, i: F.struct(
+            i.alias("row_idx"), cells.alias("cells"), F.filter(cells, lambda v: v != "").alias("values")
+        ),
+    )
+    entries = F.transform(
+        filled,
+        lambda r: F.struct(
+            r["row_idx"].alias("row_idx"),
+            F.when(F.col("_blind") & (F.size(r["values"]) >= 3), positional_fields(r["values"]))
+            .otherwise(named(r["cells"]))
+            .alias("entries"),
+        ),
     )
+    kept = F.filter(entries, lambda r: F.size(r["entries"]) > 0)
+    shaped = wide
     rows = explode_rows(shaped.select(*[c for c in df.columns if c != html], kept.alias("_rows")), "_rows", "_row")
     data = last_wins_map(F.col("_row.entries"))
     return (

@@ -11,7 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    """A table, spread over all cores if its files give too few tasks.
+
+    A table of one small file is one task, which leaves a cluster idle while that
+    task works through every pattern.  A table with enough splits is read as it
+    is, without a shuffle."""
+    df = spark.read.parquet(f"{folder}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 K = "o_orderkey"

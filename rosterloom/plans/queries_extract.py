@@ -125,7 +125,7 @@ def best_tables(spark, folder):
     best = tables.select_best_table(tables.parse_tables(F.col("html")))
     out = mail(spark, folder).select("mail_id", best.alias("b"))
     return out.select(
-        "mail_id", F.col("b.score").alias("score"), (-F.col("b.neg_idx")).alias("table_idx"), F.size("b.grid").alias("grid_rows")
+        "mail_id", F.col("b.score").alias("score"), (-F.col("b.neg_idx")).alias("table_idx"), F.size("b.table.grid").alias("grid_rows")
     )
 
 

@@ -12,7 +12,10 @@ from rosterloom.plans.derive import read, relation, with_relations
 from rosterloom.schema import END_TO_END_BUCKETS, FIELDS, JOB_STATUSES, LATENCY_BUCKETS, column_name
 
 AS_OF = "2000-01-01 00:00:00"
-CLOCK = F.lit(AS_OF).cast("timestamp_ntz")
+def clock():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
 EDITED = ["Provider NPI", "Phone Number", "Term Reason"]
 
 
@@ -97,7 +100,7 @@ def lineage(spark, folder):
 def _rolled(spark, folder):
     history = relation(spark, folder, "version")
     current = versions.latest_versions(history).select(
-        "job_id", F.col("version_id").alias("current_version_id"), CLOCK.alias("updated_at")
+        "job_id", F.col("version_id").alias("current_version_id"), clock().alias("updated_at")
     )
     lines = read(spark, folder, "lineitem")
     job = F.col("l_orderkey") - F.col("l_orderkey") % 16
@@ -131,7 +134,7 @@ def _expired(spark, folder):
         "records": relation(spark, folder, "record").withColumn("job_id", F.col("version_id")),
         "issues": relation(spark, folder, "issue"),
     }
-    return versions.expire(tables, CLOCK, days=30)
+    return versions.expire(tables, clock(), days=30)
 
 
 def expired_tables(spark, folder):
@@ -148,12 +151,12 @@ def expired_tables(spark, folder):
 
 
 def stuck_jobs(spark, folder):
-    out, _ = jobs.fail_stuck(relation(spark, folder, "job"), CLOCK)
+    out, _ = jobs.fail_stuck(relation(spark, folder, "job"), clock())
     return out.select("job_id", "status", text_time("updated_at"))
 
 
 def stuck_audit(spark, folder):
-    return jobs.fail_stuck(relation(spark, folder, "job"), CLOCK)[1].drop("created_at")
+    return jobs.fail_stuck(relation(spark, folder, "job"), clock())[1].drop("created_at")
 
 
 def reprocessable(spark, folder):
@@ -239,7 +242,7 @@ def export_rows(spark, folder):
 
 
 def provenance(spark, folder):
-    return export.provenance(_exportable(spark, folder), CLOCK)
+    return export.provenance(_exportable(spark, folder), clock())
 
 
 def provenance_sheet(spark, folder):
@@ -252,7 +255,7 @@ def workbook_parts(spark, folder):
     from rosterloom.operators.skew import dense_index
 
     rows = dense_index(_exportable(spark, folder).withColumnRenamed("row_idx", "position"), ["job_id"], [], "position").drop("position")
-    books = export.workbooks(rows, CLOCK, part_rows=8)
+    books = export.workbooks(rows, clock(), part_rows=8)
     return books.select("job_id", "part", "record_count", (F.length("content") > 0).alias("written"))
 
 
@@ -487,7 +490,7 @@ QUERIES = [
         totals,
         with_relations("job")
         + "SELECT count(*) AS total_jobs, count(*) FILTER (d) AS completed_jobs, count(*) FILTER (status IN ('pending', 'processing')) AS pending_jobs, count(*) FILTER (status = 'failed') AS error_jobs,"
-        " round(avg(CASE WHEN d THEN (epoch_us(updated_at) - epoch_us(created_at)) / 60e6 END), 4) AS avg_processing_minutes, round(count(*) FILTER (d) * 100.0::DOUBLE / count(*), 1) AS success_rate,"
+        " round(avg(CASE WHEN d THEN (epoch_us(updated_at) - epoch_us(created_at)) / 60e6 END), 9) AS avg_processing_minutes, round(count(*) FILTER (d) * 100.0::DOUBLE / count(*), 1) AS success_rate,"
         " (SELECT count(*) FROM lineitem) AS total_exports FROM (SELECT *, status IN ('ready', 'exported') AS d FROM job_t)",
     ),
     (
@@ -517,7 +520,7 @@ QUERIES = [
     (
         "stage_runs",
         stage_runs,
-        with_relations("stage_event") + "SELECT agent, status, count(*) AS runs, round(avg(duration_s), 4) AS avg_seconds FROM stage_event_t GROUP BY ALL",
+        with_relations("stage_event") + "SELECT agent, status, count(*) AS runs, round(avg(duration_s), 9) AS avg_seconds FROM stage_event_t GROUP BY ALL",
     ),
     ("latency_histogram", latency_histogram, with_relations("stage_event") + _histogram_sql("stage_event_t", "agent", LATENCY_BUCKETS)),
     (
