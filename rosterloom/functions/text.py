@@ -19,8 +19,8 @@ def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITESPACE))
 
 
-# A noncharacter, which no text may hold.
-_BREAK = "\uffff "
+# NUL cannot occur in stored text, and as ASCII it keeps case mapping on its fast path.
+_BREAK = "\x00 "
 
 
 def title_case(value: Column) -> Column:
@@ -28,7 +28,7 @@ def title_case(value: Column) -> Column:
 
     ``initcap`` sees words only between blanks, so a marked blank is put before
     each letter that follows a non-letter and taken out again."""
-    parted = F.regexp_replace(value, r"([^\p{L}\s])(?=\p{L})", "$1" + _BREAK)
+    parted = F.regexp_replace(value, r"([^\p{L} ])(?=\p{L})", "$1" + _BREAK)
     return F.replace(F.initcap(parted), F.lit(_BREAK), F.lit(""))
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,21 +65,28 @@ def provenance_sheet(counts: DataFrame) -> DataFrame:
 WORKBOOK_SCHEMA = "job_id string, version_id string, part long, content binary, record_count long"
 
 
-def _build_part(rows: pd.DataFrame) -> Iterator[dict]:
-    ordered = rows.sort_values("row_idx")
-    job, version, part = (ordered[c].iloc[0] for c in ("job_id", "version_id", "part"))
+def _build_part(rows: pa.Table) -> pa.Table:
+    ordered = rows.sort_by("row_idx")
+    first = {c: ordered.column(c)[0].as_py() for c in ("job_id", "version_id", "part", "export_date", "record_count")}
+    cells = zip(*(ordered.column(f).to_pylist() for f in FIELDS))
     sheets = {
-        "Roster": [FIELDS, *ordered[FIELDS].values.tolist()],
+        "Roster": [FIELDS, *cells],
         "Provenance": [
             ["Field", "Value"],
-            ["Job ID", str(job)],
-            ["Version ID", str(version)],
-            ["Export Date", str(ordered["export_date"].iloc[0])],
-            ["Record Count", str(ordered["record_count"].iloc[0])],
+            ["Job ID", str(first["job_id"])],
+            ["Version ID", str(first["version_id"])],
+            ["Export Date", first["export_date"]],
+            ["Record Count", str(first["record_count"])],
         ],
     }
-    return pd.DataFrame(
-        [{"job_id": str(job), "version_id": str(version), "part": int(part), "content": write_workbook(sheets), "record_count": len(ordered)}]
+    return pa.table(
+        {
+            "job_id": [str(first["job_id"])],
+            "version_id": [str(first["version_id"])],
+            "part": pa.array([first["part"]], pa.int64()),
+            "content": pa.array([write_workbook(sheets)], pa.binary()),
+            "record_count": pa.array([ordered.num_rows], pa.int64()),
+        }
     )
 
 
@@ -93,7 +98,7 @@ def workbooks(rows: DataFrame, as_of: Column, part_rows: int = PART_ROWS) -> Dat
     facts = provenance(rows, as_of)
     joined = salted_lookup(rows, facts, ["job_id", "version_id"], ["row_idx"], how="inner")
     parted = joined.withColumn("part", F.floor(F.col("row_idx") / F.lit(part_rows)).cast("bigint"))
-    return parted.groupBy("job_id", "version_id", "part").applyInPandas(_build_part, WORKBOOK_SCHEMA)
+    return parted.groupBy("job_id", "version_id", "part").applyInArrow(_build_part, WORKBOOK_SCHEMA)
 
 
 def export_log(books: DataFrame, at: Column) -> DataFrame:

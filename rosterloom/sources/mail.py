@@ -52,7 +52,8 @@ def file_rejection(max_megabytes: int = MAX_MEGABYTES) -> Column:
 
 
 def rejected_files(files: DataFrame, max_megabytes: int = MAX_MEGABYTES) -> DataFrame:
-    """Files refused by name or size.  No bytes are read for them."""
+    """Files refused by name or size.  No bytes are read for them.  Spark's file
+    source lists no empty files, so those are passed over without a row."""
     return files.select("path", "length", file_rejection(max_megabytes).alias("reason")).where("reason IS NOT NULL")
 
 
