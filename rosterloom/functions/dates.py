@@ -12,7 +12,8 @@ MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 
 # A month by name with the day before or after it.
 NAMED_DATE = rf"(?i)^(?:(\d{{1,2}}) )?({MONTHS})[a-z]*\.?(?: (\d{{1,2}}))?,? (\d{{4}})$"
-READABLE = r"^(?:\d{1,2}/\d{1,2}/\d{4}|\d{4}/\d{1,2}/\d{1,2}|[A-Z][a-z]{2} \d{1,2} \d{4})$"
+_DAY, _MONTH = r"(?:0?[1-9]|[12]\d|3[01])", r"(?:0?[1-9]|1[0-2])"
+READABLE = rf"^(?:{_MONTH}/{_DAY}/\d{{4}}|\d{{4}}/{_MONTH}/{_DAY}|[A-Z][a-z]{{2}} {_DAY} \d{{4}})$"
 
 
 def parse_date(value: Column) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterloom.operators.skew import salted_lookup
 from rosterloom.schema import JOB_STATUSES, LATENCY_BUCKETS
 
 
@@ -63,7 +64,7 @@ def hot_senders(jobs: DataFrame, emails: DataFrame, levels: DataFrame, count: in
     """Senders by errors in their jobs.  ``levels`` has one row per job."""
     mail = emails.select(F.col("id").alias("email_id"), "from_addr")
     return (
-        jobs.join(mail, "email_id")
+        salted_lookup(jobs, mail, ["email_id"], ["job_id"], how="inner")
         .join(levels.select("job_id", "error_count"), "job_id", "left")
         .groupBy("from_addr")
         .agg(F.count(F.lit(1)).alias("jobs"), F.coalesce(F.sum("error_count"), F.lit(0)).alias("errors"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterloom.operators.skew import salted_lookup
 from rosterloom.schema import ISSUE_LEVELS, JOB_STATUSES
 
 
 def jobs_with_mail(jobs: DataFrame, emails: DataFrame) -> DataFrame:
     """Jobs with their mail, equi-joined on the mail id."""
     mail = emails.select(F.col("id").alias("email_id"), "message_id", "from_addr", "subject", "received_at")
-    return jobs.join(mail, "email_id")
+    return salted_lookup(jobs, mail, ["email_id"], ["job_id"], how="inner")
 
 
 def list_jobs(jobs: DataFrame, skip: int = 0, limit: int = 100, status: str | None = None) -> DataFrame:
@@ -43,10 +44,9 @@ def find_duplicates(mails: DataFrame, known: DataFrame) -> DataFrame:
     The OR is two equi-joins, each with one row per key on the right."""
     by_id = known.groupBy("message_id").agg(F.min("id").alias("existing_id"))
     by_hash = known.groupBy("hash").agg(F.min("id").alias("existing_hash_id"))
+    by_either = salted_lookup(salted_lookup(mails, by_id, ["message_id"], ["id"]), by_hash, ["hash"], ["id"])
     return (
-        mails.join(by_id, "message_id", "left")
-        .join(by_hash, "hash", "left")
-        .where("existing_id IS NOT NULL OR existing_hash_id IS NOT NULL")
+        by_either.where("existing_id IS NOT NULL OR existing_hash_id IS NOT NULL")
         .withColumn("existing_id", F.least("existing_id", "existing_hash_id"))
         .drop("existing_hash_id")
     )
@@ -54,8 +54,8 @@ def find_duplicates(mails: DataFrame, known: DataFrame) -> DataFrame:
 
 def issues_of_jobs(issues: DataFrame, versions: DataFrame, job_ids: DataFrame) -> DataFrame:
     """Issues of all versions of some jobs."""
-    wanted = versions.join(job_ids, "job_id", "left_semi").select("version_id")
-    return issues.join(wanted, "version_id", "left_semi")
+    wanted = salted_lookup(versions, job_ids, ["job_id"], ["version_id"], how="left_semi").select("version_id")
+    return salted_lookup(issues, wanted, ["version_id"], issues.columns, how="left_semi")
 
 
 def issue_levels(issues: DataFrame, key: list[str]) -> DataFrame:

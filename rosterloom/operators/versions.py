@@ -58,7 +58,7 @@ def apply_edits(records: DataFrame, edits: DataFrame, key: list[str], fields: li
 
 def rejected_edits(records: DataFrame, edits: DataFrame, key: list[str]) -> DataFrame:
     """Edits of records that do not exist."""
-    return edits.join(records.select(*key), key, "left_anti")
+    return salted_lookup(edits, records.select(*key), key, ["seq"], how="left_anti")
 
 
 def rollback(jobs: DataFrame, versions: DataFrame, requests: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
@@ -150,6 +150,11 @@ def lineage_depth(versions: DataFrame, version: str = "version_id", parent: str
     raise ValueError("version parents form a cycle")
 
 
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns that can spread the rows of one key."""
+    return [name for name, kind in df.dtypes if "map<" not in kind]
+
+
 def expire(tables: dict[str, DataFrame], as_of: Column, days: int = 30) -> dict[str, DataFrame]:
     """Every table without the finished jobs last touched over ``days`` ago.
 
@@ -160,8 +165,8 @@ def expire(tables: dict[str, DataFrame], as_of: Column, days: int = 30) -> dict[
     kept = {}
     for name, table in tables.items():
         if name == "issues" and "job_id" not in table.columns:
-            gone = tables["versions"].join(old, "job_id", "left_semi").select("version_id")
-            kept[name] = table.join(gone, "version_id", "left_anti")
+            gone = salted_lookup(tables["versions"], old, ["job_id"], ["version_id"], how="left_semi").select("version_id")
+            kept[name] = salted_lookup(table, gone, ["version_id"], _hashable(table), how="left_anti")
         else:
-            kept[name] = table.join(old, "job_id", "left_anti")
+            kept[name] = salted_lookup(table, old, ["job_id"], _hashable(table), how="left_anti")
     return kept

@@ -169,17 +169,19 @@ def run_batch(store: RosterStore, batch: str, files: DataFrame, as_of: str, at:
     """Take in a set of files and store the resulting versions.
 
     Parsed mails are stored once; a mail whose message id or hash an earlier
-    batch knows is left out."""
+    batch knows is left out.  Copies are dropped on their keys alone, before any
+    join, and the wide rows meet the chosen ones on their path, which is unique."""
     at = F.lit(as_of).cast("timestamp") if at is None else at
     parsed = mail.parse_eml(mail.accepted_files(files))
     store.write("parsed", batch, parsed)
     taken, refused = mail.split_parsed(store.batch("parsed", batch))
     store.write("rejections", batch, refused)
+    fresh = emails_of(taken)
     known = store.earlier("emails", batch)
     if known is not None:
-        taken = taken.join(known.select("message_id"), "message_id", "left_anti")
-        taken = taken.join(known.select(F.col("hash").alias("raw_hash")), "raw_hash", "left_anti")
-    store.write("emails", batch, emails_of(taken))
+        fresh = fresh.join(known.select("message_id"), "message_id", "left_anti")
+        fresh = fresh.join(known.select("hash"), "hash", "left_anti")
+    store.write("emails", batch, fresh)
     first = taken.join(store.batch("emails", batch).select(F.col("raw_uri").alias("path")), "path", "left_semi")
     store.write("artifacts", batch, artifacts_of(first))
     rows = clean(extract(store.batch("artifacts", batch), **options), as_of)

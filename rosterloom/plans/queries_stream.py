@@ -27,7 +27,7 @@ def sliding_stages(spark, folder):
 
 
 def silent_jobs(spark, folder):
-    out = flows.silent_jobs(_events(spark, folder), "4 hours")
+    out = flows.silent_jobs(_events(spark, folder), 240)
     return out.select("job_id", F.col("active_from").cast("string").alias("active_from"), F.col("silent_since").cast("string").alias("silent_since"), "status", "events")
 
 

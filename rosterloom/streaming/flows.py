@@ -45,15 +45,35 @@ def stage_windows(events: DataFrame, length: str = "5 minutes", slide: str | Non
     )
 
 
-def silent_jobs(events: DataFrame, gap: str = "3 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Jobs that went silent for ``gap`` without an end state.
-
-    A silence is where a session window of a job closes.  The session keeps only
-    its last status, as a mergeable aggregate, so a job with most of the events
-    is reduced before and after the shuffle."""
-    last = F.max(F.struct("ts", "status"))
-    sessions = _marked(events, delay).groupBy(F.session_window("ts", gap).alias("w"), "job_id").agg(
-        last.alias("_last"), F.count(F.lit(1)).alias("events")
+def _activity(events: DataFrame, minutes: int) -> DataFrame:
+    """Events of a job within one gap length, as one row each.
+
+    Two events less than the gap apart are always of one session, so they can be
+    merged before the sessions are built, on the map side.  A job with most of
+    the events then sends one row per gap length."""
+    merged = events.groupBy("job_id", F.window("ts", f"{minutes} minutes").alias("_bucket")).agg(
+        F.min("ts").alias("ts"), F.max(F.struct("ts", "status")).alias("_last"), F.count(F.lit(1)).alias("_events")
+    )
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    seconds = (micros("_last.ts") - micros("ts")) / F.lit(1_000_000) + F.lit(minutes * 60)
+    return merged.drop("_bucket").withColumn("_gap", F.make_interval(secs=seconds.cast("decimal(18,6)")))
+
+
+def silent_jobs(events: DataFrame, minutes: int = 3, delay: str = "10 minutes") -> DataFrame:
+    """Jobs that went silent for some minutes without an end state.
+
+    A silence is where a session window of a job closes; the session keeps only
+    its last status.  Stored events are merged per gap length first.  On a stream
+    set ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``
+    for the same effect within each micro-batch."""
+    if events.isStreaming:
+        window = F.session_window("ts", f"{minutes} minutes")
+        source = _marked(events, delay).withColumns({"_last": F.struct("ts", "status"), "_events": F.lit(1)})
+    else:
+        source = _activity(events, minutes)
+        window = F.session_window("ts", F.col("_gap"))
+    sessions = source.groupBy(window.alias("w"), "job_id").agg(
+        F.max("_last").alias("_last"), F.sum("_events").alias("events")
     )
     return sessions.where(~F.col("_last.status").isin("success", "error")).select(
         "job_id", F.col("w.start").alias("active_from"), F.col("_last.ts").alias("silent_since"), F.col("_last.status").alias("status"), "events"
