@@ -255,7 +255,7 @@ def workbook_parts(spark, folder):
     from rosterloom.operators.skew import dense_index
 
     rows = dense_index(_exportable(spark, folder).withColumnRenamed("row_idx", "position"), ["job_id"], [], "position").drop("position")
-    books = export.workbooks(rows, clock(), part_rows=8)
+    books = export.workbooks(rows, clock())
     return books.select("job_id", "part", "record_count", (F.length("content") > 0).alias("written"))
 
 
@@ -564,7 +564,7 @@ QUERIES = [
     (
         "workbook_parts",
         workbook_parts,
-        "SELECT CAST(o_custkey AS VARCHAR) AS job_id, n // 8 AS part, count(*) AS record_count, true AS written FROM"
+        "SELECT CAST(o_custkey AS VARCHAR) AS job_id, n // 50000 AS part, count(*) AS record_count, true AS written FROM"
         " (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders) GROUP BY ALL",
     ),
     ("masked_texts", masked_texts, f"SELECT doc_id, sha256(m) AS hash, length(m) AS size FROM (SELECT doc_id, {_MASK('text')} AS m FROM documents)"),
