@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -49,6 +50,34 @@ def map_rows(
     return df.select(*columns).mapInArrow(run, target)
 
 
+def map_groups(
+    df: DataFrame, keys: list[str], function: Callable[[tuple, list[tuple]], Iterable[tuple]], schema: str
+) -> DataFrame:
+    """Run ``function`` over the rows of each group, which must be of bounded
+    size.  Rows are dealt by the keys and sorted, and groups are read off the
+    sorted stream, which costs far less for many small groups than handing over
+    each of them on its own."""
+    ship_package(df.sparkSession)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = df.sparkSession.createDataFrame([], schema).schema
+    arrow = pa.schema([pa.field(f.name, f.type) for f in to_arrow_schema(target)])
+    columns = [*keys, *[c for c in df.columns if c not in keys]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (row for batch in batches for row in zip(*[_values(column) for column in batch.columns]))
+        rows: list[tuple] = []
+        for group, members in itertools.groupby(stream, key=lambda row: row[: len(keys)]):
+            rows += function(group, [row[len(keys) :] for row in members])
+            if len(rows) >= 8192:
+                yield _batch(rows, arrow)
+                rows = []
+        if rows:
+            yield _batch(rows, arrow)
+
+    return df.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, target)
+
+
 def _values(column: pa.Array) -> Iterator:
     """Python values one at a time, so that a batch of long texts is not held twice."""
     return (value.as_py() for value in column)

@@ -7,8 +7,9 @@ the larger set that a pair at the threshold has in common.  A node with few sets
 one is split on, down to ``DEPTH`` levels, and then cut into tiles.  Runs are
 repeated until a pair at the threshold is found with probability ``recall``.
 
-Sets that are equal are one class from the start.  Leaves with the same members
-are worked once.  A pair counts in the first of the leaves it shares, so nothing
+Sets that are equal are one class from the start.  In a leaf, members without a
+partner of fitting size and signature go before any tokens are moved, and leaves
+left with the same members are worked once.  A pair counts in the first of the leaves it shares, so nothing
 is counted twice and no pairs are emitted: a leaf gives the number of links of
 each member and a spanning forest, from which the classes follow as connected
 components.  Similarities are exact on 64-bit token hashes.
@@ -22,22 +23,23 @@ from __future__ import annotations
 
 import math
 import struct
-from typing import Any
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.llm.common import code, fold_bitmap, map_rows, materialize, with_bitmap_flag
+from rosterloom.llm.common import code, fold_bitmap, map_groups, map_rows, materialize, with_bitmap_flag
 
 WIDTH = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 DEPTH = 3
-LEAF = 256
+LEAF = 1024
 TILE = 1024
+BINS = 16
+LEAST_AGREEING = 5
+SMALL_SET = 64
 BITS = 1 << 23
 COLUMNS = 2048
 
@@ -81,82 +83,142 @@ def runs_for(recall: float, depth: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
 
 
-def children(parent: int, tokens: np.ndarray, share: float) -> np.ndarray:
-    """Nodes that a set goes to from a node: one for each token it chooses."""
-    drawn = mix(tokens ^ U64(parent))
-    bound = share / len(tokens)
-    chosen = drawn if bound >= 1 else drawn[drawn < U64(int(bound * 2.0**64))]
-    return chosen * _A + U64(1)
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """The least hash in each of ``BINS`` ranges of hashes, low half; 0 if none.
+    Tokens are sorted, so it is the first from the start of the range on."""
+    starts = np.arange(BINS, dtype=U64) << U64(64 - BINS.bit_length() + 1)
+    places = np.searchsorted(tokens, starts)
+    first = tokens[np.minimum(places, len(tokens) - 1)]
+    held = (places < len(tokens)) & (first >= starts) & (first - starts < (U64(1) << U64(64 - BINS.bit_length() + 1)))
+    return np.where(held, first & U64(0xFFFFFFFF) | U64(1), U64(0)).astype(np.uint32)
 
 
-def paths(tokens: np.ndarray, runs: int, depth: int, share: float) -> list[tuple[list[int], list[int]]]:
-    """For each level the nodes of a set and their parents."""
-    level = [int(x) for x in mix(np.arange(1, runs + 1, dtype=U64))]
-    out = []
-    for _ in range(depth):
-        parents, nodes = [], []
-        for parent in level:
-            for node in children(parent, tokens, share).tolist():
-                parents.append(parent)
-                nodes.append(node)
-        out.append((parents, nodes))
-        level = nodes
-    return out
+def children(parents: np.ndarray, tokens: np.ndarray, share: float) -> np.ndarray:
+    """Nodes that a set goes to from these nodes: one for each token it chooses
+    there.  Tokens are hashes already, so a short mixing with the node will do."""
+    bound = share / max(1, len(tokens))
+    limit = U64(int(bound * 2.0**64)) if bound < 1 else U64(2**64 - 1)
+    nodes = []
+    for parent in parents:
+        drawn = (tokens ^ parent) * _B
+        drawn ^= drawn >> U64(31)
+        drawn *= _C
+        nodes.append(drawn[drawn <= limit])
+    return mix(np.concatenate(nodes)) if nodes else np.zeros(0, dtype=U64)
+
 
+def roots(runs: int) -> np.ndarray:
+    return mix(np.arange(1, runs + 1, dtype=U64))
 
-def signed(numbers: list[int]) -> list[int]:
-    return np.array(numbers, dtype=U64).astype(np.int64).tolist()
+
+def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``_key``, ``_text`` and ``_row``, by which a text is found again."""
+    rows = df.withColumns({"_key": F.col(key).cast("bigint"), "_text": code(F.col(text))})
+    return rows.withColumn("_row", F.coalesce("_key", F.xxhash64("_text")))
 
 
 def sketches(
-    df: DataFrame, key: str, text: str, carry: tuple[str, ...], runs: int, depth: int, threshold: float, width: int
+    df: DataFrame, key: str, text: str, carry: tuple[str, ...], runs: int, share: float, width: int
 ) -> DataFrame:
-    """Per row: key, columns to carry, ``_row`` (what finds its text again),
-    fingerprint, number of tokens, and parents and nodes of every level."""
-    share = 1 / threshold  # a pair has at least this part of the larger set in common
+    """Per row: key, columns to carry, ``_row``, fingerprint, number of tokens,
+    signature, and the nodes of the first level."""
 
     def sketched(rows):
+        start = roots(runs)
         for *kept, value in rows:
             tokens = tokens_of(value, width)
-            levels = paths(tokens, runs, depth, share) if len(tokens) else [([], [])] * depth
-            yield (*kept, fingerprint(tokens), len(tokens), *(signed(x) for level in levels for x in level))
+            if len(tokens):
+                nodes = children(start, tokens, share).astype(np.int64).tolist()
+                yield (*kept, fingerprint(tokens), len(tokens), signature(tokens).tobytes(), nodes)
+            else:
+                yield (*kept, b"", 0, b"", [])
 
     carried = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
-    source = df.select(F.col(key).cast("bigint").alias("_key"), *carried, code(F.col(text)).alias("_text"))
-    source = source.withColumn("_row", F.coalesce("_key", F.xxhash64("_text")))
-    columns = ["_key", *[f"_carry{i}" for i in range(len(carry))], "_row"]
+    source = numbered(df, key, text).select("_key", *carried, "_row", "_text")
+    columns = source.columns[:-1]
     kept = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in columns)
-    arrays = "".join(f", parents{k} array<bigint>, nodes{k} array<bigint>" for k in range(1, depth + 1))
-    return map_rows(source, [*columns, "_text"], sketched, f"{kept}, _set binary, _n bigint" + arrays)
+    return map_rows(source, source.columns, sketched, f"{kept}, _set binary, n bigint, marks binary, nodes array<bigint>")
+
+
+def with_tokens(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Add the tokens of each wanted set.  Texts that a bitmap of fixed size rules
+    out are not shuffled; rows that only share a key are told by fingerprint."""
+    texts = with_bitmap_flag(texts, "_row", fold_bitmap(wanted, "_row", BITS), BITS, "_on").where("_on")
+    columns = [c for c in wanted.columns if c not in ("_row", "_set")]
+    joined = texts.select("_row", "_text").join(wanted, "_row").select("_set", "_text", *columns)
+
+    def tokenized(rows):
+        for mark, value, *rest in rows:
+            tokens = tokens_of(value, width)
+            if len(tokens) and fingerprint(tokens) == mark:
+                yield (*rest, tokens.tobytes())
+
+    kept = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in columns)
+    return map_rows(joined, joined.columns, tokenized, f"{kept}, tokens binary")
+
 
+def leaf_members(sets: DataFrame, texts: DataFrame, depth: int, leaf: int, share: float, width: int) -> DataFrame:
+    """Rows (leaf, size, rep) of all leaves.  Sets in nodes too large for a leaf
+    are read again and split by one more token, level after level."""
 
-def leaf_members(sets: DataFrame, depth: int, leaf: int) -> DataFrame:
-    """Rows (leaf, size, rep) of all leaves, one level after the other; only sets
-    in nodes too large to be leaves are looked at again on the next level."""
-    found, large = None, None
+    def split(rows):
+        for rep, parents, packed in rows:
+            tokens = np.frombuffer(packed, dtype="<u8")
+            for node in children(np.array(parents, dtype=np.int64).astype(U64), tokens, share).astype(np.int64).tolist():
+                yield node, rep
+
+    rows, found = sets.select(F.explode("nodes").alias("node"), "rep"), None
     for level in range(1, depth + 1):
-        pairs = F.explode(F.arrays_zip(F.col(f"parents{level}").alias("parent"), F.col(f"nodes{level}").alias("node")))
-        rows = sets.select("rep", pairs.alias("_pair")).select("rep", "_pair.parent", "_pair.node")
-        if large is not None:
-            names = large.select(F.col("node").alias("parent"))
-            rows = with_bitmap_flag(rows, "parent", fold_bitmap(names, "parent", BITS), BITS, "_on").where("_on").drop("_on")
-            rows = rows.join(names, "parent", "left_semi")
-        rows = rows.select("node", "rep").distinct() if level > 1 else rows.select("node", "rep")
         sizes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        here = sizes if level == depth else sizes.where(F.col("size") <= leaf)
-        near = with_bitmap_flag(rows, "node", fold_bitmap(here, "node", BITS), BITS, "_on").where("_on").drop("_on")
-        members = near.join(here, "node").select(F.col("node").alias("leaf"), "size", "rep")
-        found = members if found is None else found.unionByName(members)
-        large = sizes.where(F.col("size") > leaf)
+        near = with_bitmap_flag(rows, "node", fold_bitmap(sizes, "node", BITS), BITS, "_on").where("_on").drop("_on")
+        shared = materialize(near.join(sizes, "node"))
+        leaves = shared if level == depth else shared.where(F.col("size") <= leaf)
+        leaves = leaves.select(F.col("node").alias("leaf"), "size", "rep")
+        found = leaves if found is None else found.unionByName(leaves)
+        large = shared.where(F.col("size") > leaf)
+        if level == depth or large.isEmpty():
+            return found
+        parents = large.groupBy("rep").agg(F.collect_list("node").alias("parents"))
+        parents = materialize(parents.join(sets.select("rep", "_row", "_set"), "rep"))
+        rows = materialize(map_rows(with_tokens(texts, parents, width), ["rep", "parents", "tokens"], split, "node bigint, rep bigint").distinct())
     return found
 
 
+def promising(members: DataFrame, sets: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """Members of a leaf that have a partner there whose size and signature allow
+    the similarity.  Only signatures travel; of a pair at the threshold, fewer
+    than ``LEAST_AGREEING`` of the signature agree with a chance of about 1e-6."""
+
+    def alike(group, rows):
+        _, low, high = group
+        own = np.array([r[2] for r in rows])
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        n = np.array([r[3] for r in rows], dtype=np.float64)
+        marks = np.frombuffer(b"".join(r[4] for r in rows), dtype="<u4").reshape(len(rows), BINS)
+        smaller = np.minimum(n[left][:, None], n[right][None, :])
+        fits = smaller >= threshold * np.maximum(n[left][:, None], n[right][None, :]) - 1e-9
+        agree = np.zeros(fits.shape, dtype=np.int8)
+        for k in range(BINS):
+            agree += (marks[left, k][:, None] == marks[right, k][None, :]) & (marks[left, k] > 0)[:, None]
+        fits &= (agree >= LEAST_AGREEING) | (smaller < SMALL_SET)
+        if low == high:
+            np.fill_diagonal(fits, False)
+        kept = {*left[fits.any(axis=1)].tolist(), *right[fits.any(axis=0)].tolist()}
+        return [(group[0], rows[i][0], rows[i][1]) for i in sorted(kept)]
+
+    rows = tiled(members.join(sets.select("rep", "n", "marks"), "rep").select("leaf", "size", "rep", "n", "marks"), tile)
+    rows = rows.select("leaf", "low", "high", "size", "rep", "_own", "n", "marks")
+    return map_groups(rows, ["leaf", "low", "high"], alike, "leaf bigint, size bigint, rep bigint").distinct()
+
+
 def distinct_leaves(members: DataFrame) -> DataFrame:
-    """Keep one of the leaves that have the same members."""
+    """Keep one of the leaves that have the same members, cut alike into tiles."""
     marks = members.groupBy("leaf", "size").agg(
-        F.bit_xor(F.xxhash64("rep")).alias("_one"), F.bit_xor(F.xxhash64("rep", F.lit("second"))).alias("_two")
+        F.count(F.lit(1)).alias("_rows"),
+        F.bit_xor(F.xxhash64("rep")).alias("_one"),
+        F.bit_xor(F.xxhash64("rep", F.lit("second"))).alias("_two"),
     )
-    kept = marks.groupBy("size", "_one", "_two").agg(F.min("leaf").alias("leaf")).select("leaf")
+    kept = marks.groupBy("_rows", "_one", "_two").agg(F.min_by("leaf", F.struct("size", "leaf")).alias("leaf")).select("leaf")
     return members.join(kept, "leaf", "left_semi")
 
 
@@ -183,28 +245,26 @@ def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def verify(frame: pd.DataFrame, leaf: int, threshold: float, same: bool, sides: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
-    """Links and a spanning forest of the pairs between two sides of a leaf."""
-    left, right = sides
-    tokens = [np.frombuffer(t, dtype="<u8") for t in frame["tokens"]]
+def verify(leaf: int, rows: list[tuple], same: bool, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple]:
+    """Links and a spanning forest of the pairs between two sides of a leaf.
+    Rows hold rep, copies, leaves and tokens."""
+    tokens = [np.frombuffer(r[3], dtype="<u8") for r in rows]
     sizes = np.array([len(t) for t in tokens], dtype=np.float64)
     inter = overlaps([tokens[i] for i in left], [tokens[i] for i in right]).astype(np.float64)
     union = sizes[left][:, None] + sizes[right][None, :] - inter
     linked = inter >= threshold * union - 1e-9
     if same:
         linked &= np.triu(np.ones_like(linked), 1)
-    empty = pd.DataFrame({"rep": [], "partner": [], "links": []}).astype({"rep": "int64", "partner": "Int64", "links": "int64"})
     a, b = np.nonzero(linked)
     if not len(a):
-        return empty
-    reps, weight = frame["rep"].to_numpy(), frame["copies"].to_numpy()
-    earlier = [np.sort(np.array([x for x in leaves if x < leaf], dtype=np.int64)).astype(U64) for leaves in frame["leaves"]]
-    met = overlaps([earlier[i] for i in left], [earlier[i] for i in right]) > 0
-    fresh = linked & ~met
-    links = np.zeros(len(frame), dtype=np.int64)
+        return []
+    weight = np.array([r[1] for r in rows], dtype=np.int64)
+    earlier = [np.sort(np.array([x for x in r[2] if x < leaf], dtype=np.int64)).astype(U64) for r in rows]
+    fresh = linked & ~(overlaps([earlier[i] for i in left], [earlier[i] for i in right]) > 0)
+    links = np.zeros(len(rows), dtype=np.int64)
     np.add.at(links, left, fresh @ weight[right])
     np.add.at(links, right, fresh.T @ weight[left])
-    parent = list(range(len(frame)))
+    parent = list(range(len(rows)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -212,16 +272,13 @@ def verify(frame: pd.DataFrame, leaf: int, threshold: float, same: bool, sides:
             i = parent[i]
         return i
 
-    forest = []
+    out = [(rows[i][0], None, int(links[i])) for i in np.flatnonzero(links).tolist()]
     for i, j in zip(left[a].tolist(), right[b].tolist()):
         x, y = root(i), root(j)
         if x != y:
             parent[max(x, y)] = min(x, y)
-            forest.append((reps[i], reps[j]))
-    some = np.flatnonzero(links)
-    counted = pd.DataFrame({"rep": reps[some], "partner": pd.array([None] * len(some), dtype="Int64"), "links": links[some]})
-    edges = pd.DataFrame(forest, columns=["rep", "partner"]).astype({"partner": "Int64"}).assign(links=0)
-    return pd.concat([counted, edges])
+            out.append((rows[i][0], rows[j][0], 0))
+    return out
 
 
 def tiled(members: DataFrame, tile: int) -> DataFrame:
@@ -269,54 +326,43 @@ def jaccard_classes(
     ``n_links`` (other rows with a similarity of at least ``threshold``) of every
     row, with the columns to ``carry``."""
     runs = runs_for(recall, depth)
-    sketch = materialize(sketches(df, key, text, carry, runs, depth, threshold, width))
-    levels = [c for c in sketch.columns if c.startswith(("parents", "nodes"))]
-    kinds = sketch.where("_n > 0").groupBy("_set").agg(
+    share = 1 / threshold  # a pair has at least this part of the larger set in common
+    sketch = materialize(sketches(df, key, text, carry, runs, share, width))
+    kinds = sketch.where("n > 0").groupBy("_set").agg(
         F.min("_row").alias("_row"), F.min("_key").alias("_first"), F.count(F.lit(1)).alias("copies"),
-        F.first(F.struct(*levels)).alias("_levels"),
-    )
-    sets = materialize(
-        kinds.select(F.monotonically_increasing_id().alias("rep"), "_set", "_row", "_first", "copies", *[f"_levels.{c}" for c in levels])
+        F.first(F.struct("n", "marks", "nodes")).alias("_same"),
     )
-    members = materialize(distinct_leaves(leaf_members(sets, depth, leaf)))
+    sets = materialize(kinds.select(F.monotonically_increasing_id().alias("rep"), "_set", "_row", "_first", "copies", "_same.*"))
+    texts = numbered(df, key, text).select("_row", "_text")
+    members = promising(leaf_members(sets, texts, depth, leaf, share, width), sets, threshold, tile)
+    members = materialize(distinct_leaves(materialize(members)))
 
     wanted = members.groupBy("rep").agg(F.collect_list(F.struct("leaf", "size")).alias("leaves"))
     wanted = materialize(wanted.join(sets.select("rep", "_set", "_row", "copies"), "rep"))
-    texts = df.select(F.col(key).cast("bigint").alias("_key"), code(F.col(text)).alias("_text"))
-    texts = texts.select(F.coalesce("_key", F.xxhash64("_text")).alias("_row"), "_text")
-    texts = with_bitmap_flag(texts, "_row", fold_bitmap(wanted, "_row", BITS), BITS, "_on").where("_on").drop("_on")
-    joined = texts.join(wanted, "_row").select("rep", "_set", "copies", F.col("leaves.leaf").alias("leaves"), F.col("leaves.size").alias("sizes"), "_text")
-
-    def tokenized(rows):
-        for rep, mark, copies, leaves, sizes, value in rows:
-            tokens = tokens_of(value, width)
-            if fingerprint(tokens) == mark:
-                yield rep, copies, leaves, sizes, tokens.tobytes()
-
-    schema = "rep bigint, copies bigint, leaves array<bigint>, sizes array<bigint>, tokens binary"
-    rows = map_rows(joined, joined.columns.copy(), lambda r: tokenized((a, bytes(b), c, d, e, f) for a, b, c, d, e, f in r), schema)
-    rows = rows.select("rep", "copies", "tokens", "leaves", F.explode(F.arrays_zip("leaves", "sizes")).alias("_leaf"))
-    rows = tiled(rows.select("rep", "copies", "tokens", "leaves", F.col("_leaf.leaves").alias("leaf"), F.col("_leaf.sizes").alias("size")), tile)
+    rows = with_tokens(texts, wanted, width).select(
+        "rep", "copies", F.col("leaves.leaf").alias("leaves"), "tokens", F.explode("leaves").alias("_leaf")
+    )
+    rows = tiled(rows.select("rep", "copies", "leaves", "tokens", "_leaf.leaf", "_leaf.size"), tile)
 
-    def verified(group: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        at, low, high = (int(x) for x in group)
-        frame = frame.drop_duplicates("rep").sort_values("rep").reset_index(drop=True)
-        own = frame["_own"].to_numpy()
-        return verify(frame, at, threshold, low == high, (np.flatnonzero(own == low), np.flatnonzero(own == high)))
+    def verified(group, members):
+        at, low, high = group
+        members = sorted({m[0]: m for m in members}.values(), key=lambda m: m[0])
+        own = np.array([m[5] for m in members])
+        return verify(at, members, low == high, np.flatnonzero(own == low), np.flatnonzero(own == high), threshold)
 
-    verdicts = materialize(rows.groupBy("leaf", "low", "high").applyInPandas(verified, "rep bigint, partner bigint, links bigint"))
+    verdicts = materialize(map_groups(rows, ["leaf", "low", "high"], verified, "rep bigint, partner bigint, links bigint"))
 
     links = verdicts.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(verdicts.where("partner IS NOT NULL").select(F.col("rep").alias("a"), F.col("partner").alias("b")))
+    heads = components(verdicts.where("partner IS NOT NULL").select(F.col("rep").alias("a"), F.col("partner").alias("b")))
     graded = sets.select("rep", "_set", "_first", "copies").join(links, "rep", "left")
-    graded = graded.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    graded = graded.join(heads.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     classes = graded.groupBy("root").agg(F.min("_first").alias("class_id"), F.sum("copies").alias("class_size"))
     linked = graded.join(classes, "root").select(
         "_set", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    rows = sketch.drop("_row", *levels)
+    rows = sketch.drop("_row", "marks", "nodes")
     own = [F.col("_key").alias(key), *[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)]]
-    full = rows.where("_n > 0").join(linked, "_set").select(*own, "class_id", "class_size", "n_links")
+    full = rows.where("n > 0").join(linked, "_set").select(*own, "class_id", "class_size", "n_links")
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    bare = rows.where("_n = 0").select(*own, F.col("_key").alias("class_id"), one.alias("class_size"), none.alias("n_links"))
+    bare = rows.where("n = 0").select(*own, F.col("_key").alias("class_id"), one.alias("class_size"), none.alias("n_links"))
     return full.unionByName(bare)
