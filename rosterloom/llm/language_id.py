@@ -229,20 +229,21 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """Key, the columns to ``carry``, ``lang_pred`` and ``score`` (the posterior of
     that language under equal priors).  Rows are independent: no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.path))
+    learned = bool(model.languages)
 
     def predicted(rows):
         scorer = _scorer(shared)
         held, texts, size = [], [], 0
         for row in rows:
             held.append(row[:-1])
-            texts.append(LETTERS.findall(row[-1].lower()) if model_known else [])
+            words = LETTERS.findall(row[-1].lower()) if learned else []
+            texts.append(words if any(c.isalpha() for word in words for c in word) else [])
             size += len(row[-1])
             if size >= BATCH_CHARS:
                 yield from ((*h, *s) for h, s in zip(held, scorer.score(texts)))
                 held, texts, size = [], [], 0
         yield from ((*h, *s) for h, s in zip(held, scorer.score(texts)))
 
-    model_known = bool(model.languages)
     columns = [key, *carry]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
     source = df.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)], code(F.col(text)).alias("_text"))

@@ -30,11 +30,11 @@ from rosterloom.session import ship_package
 
 GRADES = 3
 MAX_LABELLED = 8_000
-MIN_DOCS = 8
-MIN_Z = 4.0
+MIN_DOCS = 6
+MIN_Z = 3.5
 ROUNDS = 200
-PENALTY = 2e-4
-MIN_TAIL = 0.8
+PENALTY = 5e-4
+MIN_TAIL = 0.5
 MAX_WORDS = 300_000
 EDGES = re.compile(r"^\W+|\W+$")
 LEVELS = (0.01, 0.04, 0.1, 0.2, 0.4, 0.7)
@@ -171,7 +171,7 @@ def regress(sets: list[np.ndarray], grades: np.ndarray) -> Model:
         squares += slope**2
         weights -= 0.5 * slope / np.sqrt(squares)
         cut_squares += (rise / n) ** 2
-        thresholds = np.sort(thresholds + 0.2 * rise / n / np.sqrt(cut_squares))
+        thresholds = np.sort(thresholds - 0.2 * rise / n / np.sqrt(cut_squares))
     return Model(dict(zip(names.tolist(), weights.tolist())), tuple(thresholds.tolist()))
 
 
