@@ -60,16 +60,14 @@ def issue_heat_map(issues: DataFrame) -> DataFrame:
     return issues.groupBy("field", "level").agg(F.count(F.lit(1)).alias("issues"))
 
 
-def hot_senders(jobs: DataFrame, emails: DataFrame, levels: DataFrame, count: int = 20) -> DataFrame:
-    """Senders by errors in their jobs.  ``levels`` has one row per job."""
+def hot_senders(jobs: DataFrame, emails: DataFrame, levels: DataFrame) -> DataFrame:
+    """Errors in the jobs of each sender; the caller orders and limits.  ``levels`` has one row per job."""
     mail = emails.select(F.col("id").alias("email_id"), "from_addr")
     return (
         salted_lookup(jobs, mail, ["email_id"], ["job_id"], how="inner")
         .join(levels.select("job_id", "error_count"), "job_id", "left")
         .groupBy("from_addr")
         .agg(F.count(F.lit(1)).alias("jobs"), F.coalesce(F.sum("error_count"), F.lit(0)).alias("errors"))
-        .orderBy(F.desc("errors"), "from_addr")
-        .limit(count)
     )
 
 

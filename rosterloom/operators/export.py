@@ -11,7 +11,7 @@ from rosterloom.sources.spreadsheets import write_workbook
 
 # Rows of one workbook part.  A sheet cannot hold more than 1,048,576 rows, and a
 # task builds a part in memory.
-PART_ROWS = 50_000
+PART_ROWS = 1_048_575  # rows of a sheet in this format, less the header
 
 
 def export_rows(records: DataFrame, key: list[str] | None = None) -> DataFrame:

@@ -67,9 +67,9 @@ def alias_value(data: Column, field: str) -> Column:
 
 
 def _mapped_value(data: Column, mappings: Column, field: str) -> Column:
-    """Last non-empty value among the headers mapped to a field."""
-    mine = F.filter(mappings, lambda m: m["target"] == field)
-    values = F.transform(mine, lambda m: strip(F.try_element_at(data, m["source"])))
+    """Last non-empty value among the headers mapped to a field; ``mappings``
+    is a map from field to headers."""
+    values = F.transform(F.coalesce(mappings[field], F.array().cast("array<string>")), lambda h: strip(F.try_element_at(data, h)))
     return F.try_element_at(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.lit(-1))
 
 
@@ -91,9 +91,26 @@ def typed_rows(df: DataFrame, data: str = "data", mappings: str | None = None) -
 
 def apply_mapping(rows: DataFrame, mappings: DataFrame, job: list[str], spread: list[str]) -> DataFrame:
     """Rows joined to the one mapping of their job, then typed."""
-    joined = salted_lookup(rows, mappings.select(*job, "mappings"), job, spread)
-    empty = F.array().cast("array<struct<source: string, target: string, confidence: double>>")
-    return typed_rows(joined.withColumn("mappings", F.coalesce("mappings", empty)), mappings="mappings")
+    joined = salted_lookup(rows, mappings.select(*job, headers_by_field("mappings").alias("mappings")), job, spread)
+    return typed_rows(joined, mappings="mappings")
+
+
+def headers_by_field(mappings: str) -> Column:
+    """Mapping entries turned into a map from field to its headers, once per job."""
+
+    def entry(field: str) -> Column:
+        mine = F.filter(mappings, lambda m: m["target"] == field)
+        return F.struct(F.lit(field), F.transform(mine, lambda m: m["source"]))
+
+    return F.map_from_entries(F.array(*[entry(f) for f in FIELDS]))
+
+
+def row_mappings(rows: DataFrame, unit: list[str], data: str = "data") -> DataFrame:
+    """One mapping per unit (an artifact of a job) from the headers of its rows.
+    Distinct headers are gathered, not rows."""
+    headers = rows.select(*unit, F.explode(F.map_keys(data)).alias("header")).distinct()
+    gathered = headers.groupBy(*unit).agg(F.sort_array(F.collect_list("header")).alias("headers"))
+    return suggest_mapping(gathered).drop("headers")
 
 
 def missing_to_sentinel(df: DataFrame) -> DataFrame:

@@ -19,6 +19,13 @@ from rosterloom.schema import (
 )
 
 
+def possessive(pattern: str) -> str:
+    """The same pattern without recursion: nothing follows its last repeated
+    group, so the group never has to give anything back, and a text with any
+    number of repeats cannot exhaust the stack."""
+    return pattern.removesuffix(")*)") + ")*+)" if pattern.endswith(")*)") else pattern
+
+
 def pattern_fields(text: Column, mode: str = "strict") -> dict[str, Column]:
     """First match of each pattern, NULL without one.  All patterns ignore case;
     in ``strict`` mode the name pattern does not, because it would otherwise take
@@ -26,7 +33,7 @@ def pattern_fields(text: Column, mode: str = "strict") -> dict[str, Column]:
     found = {}
     for field, pattern in NARRATIVE_PATTERNS.items():
         flag = "" if mode == "strict" and field == "Provider Name" else "(?i)"
-        found[field] = strip(F.nullif(F.regexp_extract(text, flag + pattern, 1), F.lit("")))
+        found[field] = strip(F.nullif(F.regexp_extract(text, flag + possessive(pattern), 1), F.lit("")))
     return found
 
 

@@ -58,26 +58,30 @@ def flag_repeats(
     below the projections that work it out, and so work it out twice.
     """
     applies = F.lit(True) if applies is None else F.coalesce(applies, F.lit(False))
-    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    place = _place(order)
+    keyed = df.withColumn("_keys", F.struct(*keys))  # a struct equals itself even where its fields are null
     firsts = (
-        df.groupBy(*keys)
+        keyed.groupBy("_keys")
         .agg(F.min(F.when(applies, place)).alias("_first"), F.count(F.lit(1)).alias("_copies"))
         .where("_copies > 1")
-        .select(*keys, "_first")
+        .select("_keys", "_first")
     )
-    joined = salted_lookup(df, firsts, keys, order, salts=salts)
-    return joined.withColumn(flag, F.coalesce(place > F.col("_first"), F.lit(False))).drop("_first")
+    joined = salted_lookup(keyed, firsts, ["_keys"], order, salts=salts)
+    return joined.withColumn(flag, F.coalesce(place > F.col("_first"), F.lit(False))).drop("_first", "_keys")
+
+
+def _place(order: list[str]) -> Column:
+    """Sorts as the columns do, nulls last."""
+    return F.struct(*[part for name in order for part in (F.col(name).isNull(), F.col(name))])
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row of each key.  Only keys and order columns are aggregated; the
-    wide rows meet the winners on ``keys + order``, which is as unique as rows."""
-    if len(order) == 1:
-        winners = df.groupBy(*keys).agg(F.min(order[0]).alias(order[0]))
-    else:
-        winners = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
-        winners = winners.select(*keys, *[F.col("_first")[name].alias(name) for name in order])
-    return df.join(winners, [*keys, *order], "left_semi")
+    wide rows meet the winners on ``keys + order``, which is as unique as rows.
+    Null keys are one key, and null orders come last."""
+    marked = df.withColumns({"_keys": F.struct(*keys), "_first": _place(order)})
+    winners = marked.groupBy("_keys").agg(F.min("_first").alias("_first"))
+    return marked.join(winners, ["_keys", "_first"], "left_semi").select(*df.columns)
 
 
 def dense_index(

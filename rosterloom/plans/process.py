@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterloom.functions.classify import attachment_type, body_type
-from rosterloom.operators.mapping import typed_rows
+from rosterloom.operators.mapping import apply_mapping, row_mappings
 from rosterloom.operators.narrative import text_rows
 from rosterloom.operators.normalize import delta_table, normalize
 from rosterloom.operators.skew import dense_index, explode_rows, keep_first
@@ -58,7 +58,8 @@ def artifacts_of(parsed: DataFrame) -> DataFrame:
 
 
 def extract(artifacts: DataFrame, **narrative_options) -> DataFrame:
-    """Rows of every readable artifact: ``job_id, artifact_idx, row_idx, data``."""
+    """Rows of every readable artifact: ``job_id, artifact_idx, row_idx, data``.
+    What an attachment's reader refused is a row with ``read_error`` and no data."""
     key = ["job_id", "artifact_idx"]
     of_kind = lambda kind: artifacts.where(F.col("document_type") == kind)
     parts = [
@@ -70,7 +71,7 @@ def extract(artifacts: DataFrame, **narrative_options) -> DataFrame:
     columns = [*key, "row_idx", "data", "confidence", "extraction_method"]
     rows = parts[0].select(*columns)
     for part in parts[1:]:
-        rows = rows.unionByName(part.select(*columns))
+        rows = rows.unionByName(part.select(*columns, *[c for c in ("read_error",) if c in part.columns]), allowMissingColumns=True)
     return rows
 
 
@@ -80,7 +81,9 @@ def clean(rows: DataFrame, as_of: str, prefix: str = "") -> DataFrame:
         rows.withColumnRenamed("row_idx", "position").withColumn("position", F.col("position").cast("bigint")),
         ["job_id"], ["artifact_idx"], "position",
     )
-    return validate(normalize(typed_rows(numbered)), as_of, prefix=prefix)
+    unit = ["job_id", "artifact_idx"]
+    typed = apply_mapping(numbered, row_mappings(rows, unit), unit, ["row_idx"])
+    return validate(normalize(typed), as_of, prefix=prefix)
 
 
 @dataclass(frozen=True)
@@ -105,7 +108,7 @@ class RosterStore:
     def earlier(self, table: str, batch: str) -> DataFrame | None:
         """Rows of all other batches; None before the first."""
         try:
-            return self.read(table).where(F.col("batch").cast("string") != batch)
+            return self.read(table).where(~F.col("_metadata.file_path").contains(f"/batch={batch}/"))
         except Exception as problem:
             if "PATH_NOT_FOUND" in str(problem):
                 return None
@@ -118,12 +121,15 @@ class RosterStore:
         return log.groupBy("job_id").agg(newest).select("job_id", "j.*")
 
 
-def commit_version(store: RosterStore, batch: str, rows: DataFrame, author: str, reason: str, at: Column) -> None:
-    """Write one new version per job of ``rows``, which carry issues and deltas.
+def commit_version(
+    store: RosterStore, batch: str, rows: DataFrame, author: str, reason: str, at: Column, jobs: DataFrame | None = None
+) -> None:
+    """Write one new version per job of ``rows``, which carry issues and deltas,
+    or of ``jobs``, where a job without any row gets an empty, pending version.
 
     The rows are written first and read back, so that the tables derived from
     them do not repeat the extraction."""
-    numbers = rows.select("job_id").distinct()
+    numbers = (rows if jobs is None else jobs).select("job_id").distinct()
     earlier = store.earlier("versions", batch)
     if earlier is None:
         numbered = numbers.withColumn("version_no", F.lit(1)).withColumn("parent_version_id", F.lit(None).cast("string"))
@@ -150,7 +156,7 @@ def commit_version(store: RosterStore, batch: str, rows: DataFrame, author: str,
     store.write("issues", batch, issue_table(stored, key))
     store.write("deltas", batch, delta_table(stored, key))
     counts = validation_statistics(stored, ["job_id"]).select("job_id", "status", "total_rows", "error_count", "warning_count")
-    jobs = committed.join(counts, "job_id")
+    jobs = committed.join(counts, "job_id", "left").na.fill({"status": "pending", "total_rows": 0, "error_count": 0, "warning_count": 0})
     store.write(
         "jobs", batch,
         jobs.select("job_id", "status", F.col("version_id").alias("current_version_id"), "version_no", at.alias("created_at"), at.alias("updated_at")),
@@ -175,7 +181,7 @@ def run_batch(store: RosterStore, batch: str, files: DataFrame, as_of: str, at:
     parsed = mail.parse_eml(mail.accepted_files(files))
     store.write("parsed", batch, parsed)
     taken, refused = mail.split_parsed(store.batch("parsed", batch))
-    store.write("rejections", batch, refused)
+    store.write("rejections", batch, refused.unionByName(mail.rejected_files(files).select("path", "reason")))
     fresh = emails_of(taken)
     known = store.earlier("emails", batch)
     if known is not None:
@@ -184,9 +190,13 @@ def run_batch(store: RosterStore, batch: str, files: DataFrame, as_of: str, at:
     store.write("emails", batch, fresh)
     first = taken.join(store.batch("emails", batch).select(F.col("raw_uri").alias("path")), "path", "left_semi")
     store.write("artifacts", batch, artifacts_of(first))
-    rows = clean(extract(store.batch("artifacts", batch), **options), as_of)
-    store.write("rows", batch, rows)
-    commit_version(store, batch, store.batch("rows", batch), "system", "Initial ingestion", at)
+    store.write("extracted", batch, extract(store.batch("artifacts", batch), **options))
+    extracted = store.batch("extracted", batch)
+    refused = extracted.where("read_error IS NOT NULL").select("job_id", "artifact_idx", F.col("read_error").alias("reason"))
+    store.write("artifact_rejections", batch, refused)
+    store.write("rows", batch, clean(extracted.where("read_error IS NULL").drop("read_error"), as_of))
+    jobs = store.batch("emails", batch)
+    commit_version(store, batch, store.batch("rows", batch), "system", "Initial ingestion", at, jobs)
 
 
 def revalidate(store: RosterStore, batch: str, records: DataFrame, as_of: str, author: str, reason: str, at: Column) -> None:

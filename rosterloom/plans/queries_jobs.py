@@ -324,7 +324,7 @@ SCORES = (
     f" {_graded('Provider Name', 0.5, _TITLED, 1.0, 0.5)} AS name,"
     f" {_graded('Effective Date', 1.0, _DMY, 1.0, 0.0)} + {_graded('Term Date', 1.0, _DMY, 1.0, 0.0)} AS dates,"
     f" {_graded('Line Of Business', 1.0, _LOB, 1.0, 0.0)} AS line_of_business,"
-    f" {_graded('Phone Number', 1.0, chr(114) + 'egexp_full_match(@, ' + q.lit('[0-9]{3}-[0-9]{3}-[0-9]{4}') + ')', 1.0, 0.0)} AS phone,"
+    f" {_graded('Phone Number', 1.0, 'regexp_full_match(@, ' + q.lit('[0-9]{3}-[0-9]{3}-[0-9]{4}') + ')', 1.0, 0.0)} AS phone,"
     f" {_graded('Provider NPI', 1.0, 'length(regexp_replace(@, ' + q.lit('[^0-9]') + ', ' + q.lit('') + ', ' + q.lit('g') + ')) = 10', 1.0, 0.0)} AS npi,"
     f" CASE WHEN o IS NULL THEN 0.0::DOUBLE ELSE round(({_FULL})::DOUBLE, 6) + 0.0 END AS full_score FROM p)"
     ", st AS (SELECT *, round(json_format + name + dates + line_of_business + phone + npi + full_score, 6) AS total FROM sc) "
@@ -509,7 +509,7 @@ QUERIES = [
         hot_senders,
         with_relations("job", "email", "issue")
         + ", l AS (SELECT version_id, count(*) FILTER (level = 'error') AS e FROM issue_t GROUP BY 1)"
-        " SELECT from_addr, count(*) AS jobs, CAST(coalesce(sum(e), 0) AS BIGINT) AS errors FROM job_t j JOIN email_t m ON j.email_id = m.id LEFT JOIN l ON l.version_id = j.job_id GROUP BY 1 ORDER BY errors DESC, from_addr LIMIT 20",
+        " SELECT from_addr, count(*) AS jobs, CAST(coalesce(sum(e), 0) AS BIGINT) AS errors FROM job_t j JOIN email_t m ON j.email_id = m.id LEFT JOIN l ON l.version_id = j.job_id GROUP BY 1",
     ),
     (
         "fallback_rates",

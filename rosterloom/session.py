@@ -6,14 +6,18 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str = "local[8]", app: str = "rosterloom", **conf: str) -> SparkSession:
+def build_session(master: str | None = None, app: str = "rosterloom", **conf: str) -> SparkSession:
     """A session with AQE on and UTC dates.  On a cluster the submitter's own
-    settings win: nothing here sizes executors or shuffle partitions for it."""
+    settings win: nothing here sizes executors or shuffle partitions for it, and
+    a master is set only if the caller names one or none is configured."""
+    if master is None and SparkConf().get("spark.master", None) is None:
+        master = "local[*]"
     builder = (
-        SparkSession.builder.master(master)
+        (SparkSession.builder.master(master) if master else SparkSession.builder)
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")

@@ -6,6 +6,7 @@ roster needs.  They run inside tasks, one attachment at a time.
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -25,7 +26,12 @@ _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _SHEET_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 _UNPRINTABLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
-ROW_SCHEMA = "row_idx int, data map<string,string>, sheet string"
+# Cell texts that mean no value (fixed values).
+MISSING = frozenset(
+    ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+     "NULL", "NaN", "None", "n/a", "nan", "null"]
+)
+ROW_SCHEMA = "row_idx int, data map<string,string>, sheet string, read_error string"
 
 
 # --- writing ---------------------------------------------------------------------
@@ -168,38 +174,50 @@ def _named(header: list[str | None], width: int) -> list[str]:
     return names
 
 
-def workbook_rows(content: bytes) -> Iterator[tuple[int, dict[str, str], str]]:
-    """Data rows of the first sheet with more than one of them."""
+def workbook_rows(
+    content: bytes, errors: list[str] | None = None, min_data_rows: int = 1
+) -> Iterator[tuple[int, dict[str, str], str]]:
+    """Data rows of the first sheet with at least ``min_data_rows`` below its
+    header.  What cannot be read is told in ``errors``."""
     try:
         for sheet, rows in read_workbook(content):
-            if len(rows) > 2:
+            if len(rows) > min_data_rows:
                 names = _named(rows[0], max(map(len, rows)))
                 for index, row in enumerate(rows[1:]):
                     data = {names[i]: v for i, v in enumerate(row) if v is not None}
                     if data:
                         yield index, data, sheet
                 return
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError):
-        return
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError) as problem:
+        if errors is not None:
+            errors.append(f"Unreadable workbook: {problem}")
 
 
-def csv_rows(content: bytes) -> Iterator[tuple[int, dict[str, str], None]]:
+def csv_rows(content: bytes, errors: list[str] | None = None) -> Iterator[tuple[int, dict[str, str], None]]:
     """Data rows of a CSV file; UTF-8 first, then Latin-1, which takes any byte.
-    Values stay text, so identifiers keep their zeros."""
+    Values stay text, so identifiers keep their zeros.  A line with too many
+    cells is left out and told in ``errors``; all others are kept."""
+    told = [] if errors is None else errors
     try:
-        content.decode("utf-8")
-        encoding = "utf-8"
+        text = content.decode("utf-8-sig")
     except UnicodeDecodeError:
-        encoding = "latin-1"
-    try:
-        chunks = pd.read_csv(io.BytesIO(content), encoding=encoding, dtype=str, chunksize=10_000)
-        for chunk in chunks:
-            for index, row in zip(chunk.index, chunk.itertuples(index=False, name=None)):
-                data = {str(n): v for n, v in zip(chunk.columns, row) if isinstance(v, str)}
-                if data:
-                    yield int(index), data, None
-    except (pd.errors.ParserError, pd.errors.EmptyDataError, ValueError):
+        text = content.decode("latin-1")
+    csv.field_size_limit(1 << 30)
+    lines = (cells for cells in csv.reader(io.StringIO(text, newline="")) if cells)
+    header = next(lines, None)
+    if header is None:
+        told.append("Unreadable CSV: no header")
         return
+    names = _named(header, len(header))
+    index = 0
+    for cells in lines:
+        if len(cells) > len(names):
+            told.append(f"Line with {len(cells)} cells: {','.join(cells)[:200]}")
+            continue
+        data = {name: value for name, value in zip(names, cells) if value not in MISSING}
+        if data:
+            yield index, data, None
+        index += 1
 
 
 def _batched(rows, keys, size: int = 5_000):
@@ -208,10 +226,10 @@ def _batched(rows, keys, size: int = 5_000):
     for key, row in rows:
         buffer.append((*key, *row))
         if len(buffer) == size:
-            yield pd.DataFrame(buffer, columns=[*keys, "row_idx", "data", "sheet"])
+            yield pd.DataFrame(buffer, columns=[*keys, "row_idx", "data", "sheet", "read_error"])
             buffer = []
     if buffer:
-        yield pd.DataFrame(buffer, columns=[*keys, "row_idx", "data", "sheet"])
+        yield pd.DataFrame(buffer, columns=[*keys, "row_idx", "data", "sheet", "read_error"])
 
 
 def _read_attachments(df: DataFrame, content: str, reader, method: str) -> DataFrame:
@@ -224,8 +242,11 @@ def _read_attachments(df: DataFrame, content: str, reader, method: str) -> DataF
             for batch in batches:
                 for record in batch.itertuples(index=False):
                     values = record._asdict() if not keys else dict(zip(batch.columns, record))
-                    for row in reader(values[content]):
-                        yield tuple(values[k] for k in keys), row
+                    own, errors = tuple(values[k] for k in keys), []
+                    for row in reader(values[content], errors):
+                        yield own, (*row, None)
+                    for error in errors:
+                        yield own, (-1, None, None, error)
 
         return _batched(rows(), keys)
 

@@ -89,10 +89,19 @@ def test_csv_reader():
     assert list(csv_rows(b"")) == []
 
 
+@pytest.mark.parametrize("before", [10, 12_000, 50_000])
+def test_csv_reader_keeps_all_good_rows(before):
+    errors = []
+    lines = [f"{i},x" for i in range(before)] + ["1,2,3"] + ["7,y"] * 500
+    rows = list(csv_rows("\n".join(["A,B", *lines]).encode(), errors))
+    assert len(rows) == before + 500 and errors == ["Line with 3 cells: 1,2,3"]
+
+
 def test_workbook_round_trip():
     book = write_workbook({"One": [["h"], ["x"]], "Two": [["A", "A", ""], ["01", " <&> ", "z"], ["", "b", ""]]})
     assert [name for name, _ in read_workbook(book)] == ["One", "Two"]
-    assert list(workbook_rows(book)) == [
+    assert list(workbook_rows(book)) == [(0, {"h": "x"}, "One")]
+    assert list(workbook_rows(book, min_data_rows=2)) == [
         (0, {"A": "01", "A.1": " <&> ", "Unnamed: 2": "z"}, "Two"),
         (1, {"A.1": "b"}, "Two"),
     ]
@@ -154,3 +163,29 @@ def test_store_round(spark, folder, tmp_path):
     assert parent.parent_version_id.endswith(".1")
     changes = diff(current, store.batch("records", "e1"), ["row_idx"], FIELD_COLUMNS).collect()
     assert [(r.row_idx, r.field, r.new_value) for r in changes] == [(1, column_name("Term Reason"), "Moved")]
+
+
+def test_flow_loses_nothing(spark, tmp_path):
+    """Mapped headers, bad lines, mails without rows, refused files, and a batch
+    name with leading zeros that is run twice."""
+    from email.message import EmailMessage
+
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    for name, csv_text in (("a", "NPI,Phone,Specialty\n1234567893,2005550000,Surgery\n1,2,3,4\n9876543213,,\n"), ("b", None)):
+        message = EmailMessage()
+        message["Message-ID"], message["From"], message["To"], message["Subject"] = f"<{name}@x>", "f@x.org", "t@x.org", "S"
+        message.set_content("Hi" if csv_text else "")
+        if csv_text:
+            message.add_attachment(csv_text.encode(), maintype="text", subtype="csv", filename="r.csv")
+        (inbox / f"{name}.eml").write_bytes(message.as_bytes())
+    (inbox / "c.pdf").write_bytes(b"x")
+    store = RosterStore(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        run_batch(store, "007", mail.mail_files(spark, str(inbox)), "2025-06-01")
+    assert store.read("emails").count() == 2 and store.jobs().count() == 2
+    assert {r.path.rsplit("/", 1)[1] for r in store.read("rejections").collect()} == {"c.pdf"}
+    assert [r.reason for r in store.read("artifact_rejections").collect()] == ["Line with 4 cells: 1,2,3,4"]
+    rows = {r.provider_npi: r for r in store.read("records").collect()}
+    assert rows["1234567893"].phone_number and rows["1234567893"].provider_specialty == "Surgery" and "9876543213" in rows
+    assert "pending" in {r.status for r in store.jobs().collect()}

@@ -127,3 +127,15 @@ def test_patterns_compile():
     from rosterloom.schema import NARRATIVE_PATTERNS
 
     assert all(re.compile(p) for p in NARRATIVE_PATTERNS.values())
+
+
+def test_no_pattern_overflows_on_a_long_text(spark):
+    from rosterloom.operators.narrative import pattern_fields, possessive
+    from rosterloom.schema import NARRATIVE_PATTERNS
+
+    rows = [("Address: 1 Main St" + ", x" * 100_000,), ("Location: a, b\nc",), ("a" * 100_000,), (", " * 100_000,)]
+    df = spark.createDataFrame(rows, "t string")
+    found = df.select(*[v.alias(f"f{i}") for i, v in enumerate(pattern_fields(df["t"]).values())]).collect()
+    at = list(NARRATIVE_PATTERNS).index("Complete Address")
+    assert [r[at] for r in found] == ["1 Main St" + ", x" * 100_000, "a, b", None, None]
+    assert possessive("a(b)*c") == "a(b)*c"

@@ -104,3 +104,10 @@ def test_normalizing_twice_changes_nothing(spark):
     # An address loses its place on the first pass and is no street line after it.
     columns = [c for c in once.columns if c != "complete_address"]
     assert once.select(columns).exceptAll(twice.select(columns)).isEmpty()
+
+
+def test_null_keys_and_orders(spark):
+    data = [(1, None, 5), (2, None, 3), (3, "a", None), (4, "a", 2), (5, "b", None)]
+    df = spark.createDataFrame(data, "id long, key string, at int")
+    assert {r.id for r in keep_first(df, ["key"], ["at"]).collect()} == {2, 4, 5}
+    assert {r.id for r in flag_repeats(df, ["key"], ["at"]).where("is_repeat").collect()} == {1, 3}
