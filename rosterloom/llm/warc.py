@@ -150,13 +150,18 @@ class Source:
 
 
 def is_record(source: Source) -> bool:
-    """Whether the window starts with a member that decodes to a WARC header."""
-    while len(source.data) < 64 and source.more():
-        pass
-    try:
-        return zlib.decompressobj(31).decompress(source.data[:CHUNK], 7) == b"WARC/1."
-    except zlib.error:
-        return False
+    """Whether the window starts with a member that decodes to a WARC header.  A
+    member may need some hundred bytes before its first letter comes out, so the
+    window is widened until it does."""
+    while True:
+        try:
+            head = zlib.decompressobj(31).decompress(source.data[:HEADER_LIMIT], 7)
+        except zlib.error:
+            return False
+        if len(head) == 7:
+            return head == b"WARC/1."
+        if len(source.data) >= HEADER_LIMIT or not source.more():
+            return False
 
 
 def next_record(source: Source, end: int) -> bool:

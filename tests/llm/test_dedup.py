@@ -157,6 +157,16 @@ def test_archives_keep_payloads_and_roll(spark):
     assert warc.archive_round_trip(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 70, 100, 150, 1000])
+def test_reader_does_not_depend_on_its_chunks(monkeypatch, chunk):
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    draw = random.Random(chunk)
+    pages = [" ".join(str(draw.random()) for _ in range(draw.randint(1, 60))).encode() for _ in range(40)]
+    data = b"".join(warc.member(i, f"http://x/{i}", p, warc.base32_sha1(p), False, None) for i, p in enumerate(pages))
+    found = [warc.parse(r)[2] for r in warc.records_in(io.BytesIO(data), 0, len(data))]
+    assert found == pages
+
+
 def test_reader_passes_damage_and_owns_each_record_once():
     members = [warc.member(i, None, f"page {i}".encode() * 99, "D", False, None) for i in range(20)]
     data = bytearray(b"".join(members))
