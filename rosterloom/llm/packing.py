@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 import zlib
 from typing import NamedTuple
@@ -34,7 +35,7 @@ CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-MAX_WORDS = 300_000
+MAX_WORDS = 150_000
 CHUNKS = 4096
 LONG_BLANKS = re.compile(r"\s{5000}")
 
@@ -67,19 +68,27 @@ class Encoder:
 
     def __init__(self, vocabulary: str, ranks: str) -> None:
         import tiktoken
-        import tokenizers
 
         with open(ranks, "rb") as file:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.whole = tokenizers.Tokenizer.from_file(vocabulary)
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
+        with open(vocabulary, encoding="utf-8") as file:
+            special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        self.vocabulary = vocabulary
         self.fast = tiktoken.Encoding(
             "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special
         )
         self.words = Words(self.fast.encode_ordinary)
 
+    @functools.cached_property
+    def whole(self):
+        """The library's own encoder, loaded only where a text needs it."""
+        import tokenizers
+
+        found = tokenizers.Tokenizer.from_file(self.vocabulary)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
         if not text:

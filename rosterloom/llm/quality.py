@@ -35,7 +35,7 @@ MIN_Z = 3.5
 ROUNDS = 200
 PENALTY = 5e-4
 MIN_TAIL = 0.5
-MAX_WORDS = 300_000
+MAX_WORDS = 100_000
 EDGES = re.compile(r"^\W+|\W+$")
 LEVELS = (0.01, 0.04, 0.1, 0.2, 0.4, 0.7)
 
