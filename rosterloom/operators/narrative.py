@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions.classify import canonical_transaction, transaction_type
-from rosterloom.functions.text import strip
+from rosterloom.functions.text import last_wins_map, strip
 from rosterloom.operators.skew import explode_rows
-from rosterloom.operators.tables import delimited_arrays, delimited_rows, with_defaults
+from rosterloom.operators.tables import delimited_arrays, with_defaults
 from rosterloom.schema import (
     NARRATIVE_PATTERNS,
     NARRATIVE_SENTINEL_FIELDS,
@@ -81,6 +81,18 @@ def narrative_rows(
 ) -> DataFrame:
     """One row per text that yields a field.  With ``dictionaries`` the phrase and
     token taggers come first and the patterns only fill what they left open."""
+    gathered = _with_hits(df, text, mode, dictionaries)
+    rows = explode_rows(gathered.drop(text), "_hits", "_hit").withColumn("data", F.map_from_entries("_hit"))
+    return (
+        _completed(rows, "data", defaults)
+        .withColumns({"row_idx": F.lit(0), "confidence": F.lit(0.6), "extraction_method": F.lit("narrative_text")})
+        .drop("_kind", "_hit")
+    )
+
+
+def _with_hits(df: DataFrame, text: str, mode: str, dictionaries: bool) -> DataFrame:
+    """Adds ``_kind``, the transaction type of a text, and ``_hits``, an array of
+    the one list of fields found in it, or an empty one."""
     source = F.col(text)
     found = pattern_fields(source, mode)
     if dictionaries:
@@ -96,11 +108,14 @@ def narrative_rows(
         F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(f).alias("key"), F.col(c).alias("value"))) for f, c in fields.items()])
     )
     # No hit or a single line makes no row: an empty array explodes to nothing.
-    gathered = read.select(
+    return read.select(
         *df.columns, "_kind", F.when(many_lines, F.filter(F.array(hits), lambda h: F.size(h) > 0)).alias("_hits")
     )
-    rows = explode_rows(gathered.drop(text), "_hits", "_hit").withColumn("data", F.map_from_entries("_hit"))
-    kind = F.coalesce(F.try_element_at("data", F.lit("Transaction Type")), F.col("_kind"))
+
+
+def _completed(rows: DataFrame, data: str, defaults: dict | None) -> DataFrame:
+    """Fill what a narrative row lacks: its type, its attribute and sentinels."""
+    kind = F.coalesce(F.try_element_at(data, F.lit("Transaction Type")), F.col("_kind"))
     context = F.create_map(
         F.lit("Transaction Type"),
         F.col("_kind"),
@@ -110,18 +125,45 @@ def narrative_rows(
     extra = {f: SENTINEL for f in NARRATIVE_SENTINEL_FIELDS} | (defaults or {})
     return (
         rows.withColumn("_kind", kind)
-        .withColumn("data", F.map_concat(F.map_filter(context, lambda k, v: ~F.map_contains_key("data", k)), F.col("data")))
-        .withColumn("data", with_defaults(F.col("data"), extra))
-        .withColumns({"row_idx": F.lit(0), "confidence": F.lit(0.6), "extraction_method": F.lit("narrative_text")})
-        .drop("_kind", "_hit")
+        .withColumn(data, F.map_concat(F.map_filter(context, lambda k, v: ~F.map_contains_key(data, k)), F.col(data)))
+        .withColumn(data, with_defaults(F.col(data), extra))
     )
 
 
-def text_rows(df: DataFrame, text: str = "text", **options) -> DataFrame:
+def text_rows(
+    df: DataFrame, text: str = "text", mode: str = "strict", dictionaries: bool = False, defaults: dict | None = None
+) -> DataFrame:
     """Structured rows of a text if it has any, narrative rows otherwise.
 
-    The choice is made inside each text, so no join is needed: a text with
-    structured rows is simply empty for the narrative side."""
-    bare = F.when(F.coalesce(F.size("_rows"), F.lit(0)) <= 0, F.col(text))
-    narrative = delimited_arrays(df, text).withColumn(text, bare).drop("_names", "_rows")
-    return delimited_rows(df, text).unionByName(narrative_rows(narrative, text, **options))
+    The choice is made inside each text, which is read and split once: a text
+    with structured rows is null for the narrative patterns, and one explode
+    yields the rows of either kind."""
+    structured = F.coalesce(F.size("_rows") > 0, F.lit(False))
+    split = delimited_arrays(df, text).withColumn("_structured", structured)
+    read = _with_hits(split.withColumn(text, F.when(~F.col("_structured"), F.col(text))), text, mode, dictionaries)
+    named = F.transform(
+        "_rows",
+        lambda r: F.struct(
+            r["row_idx"].alias("row_idx"),
+            F.zip_with(
+                "_names",
+                F.slice(r["values"], F.lit(1), F.size("_names")),
+                lambda n, v: F.struct(n.alias("key"), v.alias("value")),
+            ).alias("entries"),
+        ),
+    )
+    found = F.transform("_hits", lambda h: F.struct(F.lit(0).alias("row_idx"), h.alias("entries")))
+    kept = [c for c in df.columns if c != text]
+    chosen = read.select(*kept, "_kind", "_structured", F.when(F.col("_structured"), named).otherwise(found).alias("_all"))
+    rows = explode_rows(chosen, "_all", "_one").withColumns(
+        {"row_idx": F.col("_one.row_idx"), "_own": last_wins_map(F.col("_one.entries"))}
+    )
+    filled = _completed(rows.withColumn("_told", F.col("_own")), "_told", defaults)
+    either = lambda a, b: F.when(F.col("_structured"), a).otherwise(b)
+    return filled.select(
+        *kept,
+        "row_idx",
+        either(F.col("_own"), F.col("_told")).alias("data"),
+        either(F.lit(0.7), F.lit(0.6)).alias("confidence"),
+        either(F.lit("plain_text_structured"), F.lit("narrative_text")).alias("extraction_method"),
+    )

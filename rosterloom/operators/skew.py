@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SALTS = 16
 CHUNK_ROWS = 100_000
 
 
@@ -24,19 +23,34 @@ def explode_rows(df: DataFrame, array: str, name: str, position: str | None = No
     return df.select(*kept, F.posexplode_outer(array).alias(position, name)).where(F.col(name).isNotNull())
 
 
+def hot_keys(df: DataFrame, on: list[str], parts: int) -> DataFrame:
+    """Keys that own more rows than one of ``parts`` even shares, with the number
+    of shares as ``_shares``.  There are fewer of them than ``parts``, so the list
+    may be broadcast whatever the size of the data."""
+    sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    total = sizes.agg(F.sum("_rows")).scalar()
+    shares = F.ceil(F.col("_rows") * parts / total).cast("int").alias("_shares")
+    return sizes.where(F.col("_rows") * parts > total).select(*on, shares)
+
+
 def salted_lookup(
-    big: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "left", salts: int = SALTS
+    big: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "left", parts: int | None = None
 ) -> DataFrame:
-    """Join ``big`` to ``small``, which holds one row per key.
+    """Join ``big`` to ``small``, which holds one row per key; null keys meet nothing.
 
-    Rows of a hot key are spread over ``salts`` partitions by the columns
-    ``spread``, and each lookup row is repeated once per salt.  No broadcast is
-    asked for: if the lookup turns out small at run time AQE broadcasts it, by
-    its measured size.
+    The rows of a hot key are cut into as many parts as it has shares of the
+    rows, by the columns ``spread``, and only its lookup row is repeated, once per
+    part.  Rows without a key are spread over all parts.  The lookup itself is
+    broadcast only by AQE, at its measured size.
     """
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    parts = parts or int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(hot_keys(big, on, parts))
+    shares = F.coalesce("_shares", F.lit(1))
+    copies = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
+    salt = F.pmod(F.xxhash64(*spread), F.when(no_key, F.lit(parts)).otherwise(shares)).cast("int")
+    salted = big.join(hot, on, "left").withColumn("_salt", salt).drop("_shares")
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def flag_repeats(
@@ -45,7 +59,6 @@ def flag_repeats(
     order: list[str],
     flag: str = "is_repeat",
     applies: Column | None = None,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Mark every row but the first (by ``order``) of its key.
 
@@ -66,7 +79,7 @@ def flag_repeats(
         .where("_copies > 1")
         .select("_keys", "_first")
     )
-    joined = salted_lookup(keyed, firsts, ["_keys"], order, salts=salts)
+    joined = salted_lookup(keyed, firsts, ["_keys"], order)
     return joined.withColumn(flag, F.coalesce(place > F.col("_first"), F.lit(False))).drop("_first", "_keys")
 
 

@@ -7,6 +7,8 @@ columns and cutting it into rows needs no shuffle at all.
 
 from __future__ import annotations
 
+from html import entities, unescape
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,40 +22,107 @@ from rosterloom.schema import (
     TABLE_SENTINEL_FIELDS,
 )
 
-_SKIPPED = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-_TABLE = r"(?is)<table\b[^>]*>(.*?)</table\s*>"
-_ROW = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
-_CELL = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+_SKIPPED = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+_TABLE_TAG = r"(?i)(?=</?table\b)"
+_ROW_TAG = r"(?i)</?tr\b[^>]*>"
+_CELL_TAG = r"(?i)(?=<t[dh]\b)"
+_CELL_END = r"(?i)</?(?:t[dhr]|thead|tbody|tfoot|caption)\b"
+_FIRST_TAG = r"^<[^>]*>"
+_ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _entity_map() -> Column:
+    """Literal map of the named entities and of the numbers that do not mean
+    their own code point; non-breaking blanks become plain ones."""
+    known = {name[:-1]: chars for name, chars in entities.html5.items() if name.endswith(";")}
+    known |= {f"#{n}": unescape(f"&#{n};") for n in range(128, 160)} | {"nbsp": " ", "#160": " "}
+    joined = lambda values: F.split(F.lit("\u0001".join(values)), "\u0001")
+    return F.map_from_arrays(joined(known), joined(known.values()))
+
 
+def decode_entities(text: Column) -> Column:
+    """Named, decimal and hexadecimal entities, each decoded once; anything else
+    behind an ampersand stays as written."""
+    known = _entity_map()
 
-def _plain(text: Column) -> Column:
-    for entity, plain in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+    def char(name: Column) -> Column:
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10).cast("bigint")).when(
+            F.startswith(name, F.lit("#")), F.substring(name, 2, 7).cast("bigint")
+        )
+        found = F.try_element_at(known, F.coalesce(F.concat(F.lit("#"), number), name))
+        real = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        decoded = F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("�")
+        return F.when(found.isNotNull(), found).when(number.isNotNull(), decoded).otherwise(F.concat(F.lit("&"), name, F.lit(";")))
+
+    parts = F.transform(
+        F.split(text, "&"), lambda p, i: F.struct(p.alias("raw"), F.when(i > 0, F.regexp_extract(p, _ENTITY, 1)).alias("name"))
+    )
+    plain = F.transform(
+        parts,
+        lambda p: F.when(p["name"].isNull(), p["raw"])
+        .when(p["name"] == "", F.concat(F.lit("&"), p["raw"]))
+        .otherwise(F.concat(char(p["name"]), F.substr(p["raw"], F.length(p["name"]) + 2))),
+    )
+    return F.array_join(plain, "")
 
 
 def cell_text(cell: Column) -> Column:
     text = F.regexp_replace(cell, r"<[^>]+>", "")
-    decoded = F.when(F.contains(cell, F.lit("&")), _plain(text)).otherwise(text)
+    decoded = F.when(F.contains(cell, F.lit("&")), decode_entities(text)).otherwise(text)
     return F.regexp_replace(strip(decoded), r"[\r\n]+|\s{2,}", " ")
 
 
+def _table_texts(html: Column) -> Column:
+    """Content of each table in the order of their opening tags, without that of
+    the tables inside it.  The text is cut at table tags only, and a stack of the
+    open tables says whose piece each one is; an end tag may be missing."""
+    pieces = F.split(F.regexp_replace(html, _SKIPPED, ""), _TABLE_TAG)
+    start = F.struct(
+        F.lit(0).alias("seen"),
+        F.array().cast("array<int>").alias("open"),
+        F.array().cast("array<struct<table:int,text:string>>").alias("out"),
+    )
+
+    def step(state: Column, piece: Column) -> Column:
+        opens = piece.rlike(r"(?i)^<table\b")
+        seen = state["seen"] + opens.cast("int")
+        around = F.slice(state["open"], F.lit(1), F.greatest(F.size(state["open"]) - 1, F.lit(0)))
+        stack = (
+            F.when(opens, F.array_append(state["open"], seen))
+            .when(piece.rlike(r"(?i)^</table\b"), around)
+            .otherwise(state["open"])
+        )
+        mine = F.struct(F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit(0)).alias("table"), piece.alias("text"))
+        return F.struct(seen.alias("seen"), stack.alias("open"), F.array_append(state["out"], mine).alias("out"))
+
+    def gathered(state: Column) -> Column:
+        numbers = F.when(state["seen"] > 0, F.sequence(F.lit(1), state["seen"])).otherwise(F.array().cast("array<int>"))
+        inside = lambda n: F.filter(state["out"], lambda p: p["table"] == n)
+        return F.transform(
+            numbers, lambda n: F.array_join(F.transform(inside(n), lambda p: F.regexp_replace(p["text"], _FIRST_TAG, "")), "")
+        )
+
+    return F.aggregate(pieces, start, step, gathered)
+
+
 def parse_tables(html: Column) -> Column:
-    """``array<struct<has_th, grid array<array<string>>>>`` of all tables.
+    """``array<struct<has_th, grid array<array<string>>>>`` of all tables, nested
+    ones as tables of their own.
 
+    Rows and cells are cut at their opening tags, so end tags may be left out.
     Inside a lambda nothing is shared between two uses of an expression, so each
     step is a transform of its own over the step before."""
-    tables = F.regexp_extract_all(F.regexp_replace(html, _SKIPPED, ""), F.lit(_TABLE), F.lit(1))
     rows = F.transform(
-        tables,
-        lambda t: F.filter(F.regexp_extract_all(t, F.lit(_ROW), F.lit(1)), lambda r: r.rlike(r"(?i)<t[dh]\b")),
+        _table_texts(html), lambda t: F.filter(F.split(t, _ROW_TAG), lambda r: r.rlike(r"(?i)<t[dh]\b"))
     )
 
+    def cells_of(row: Column) -> Column:
+        cut = F.filter(F.split(row, _CELL_TAG), lambda c: c.rlike(r"(?i)^<t[dh]\b"))
+        return F.transform(cut, lambda c: cell_text(F.split(F.regexp_replace(c, _FIRST_TAG, ""), _CELL_END, 2)[0]))
+
     def to_table(rows: Column) -> Column:
         first = F.coalesce(F.try_element_at(rows, F.lit(1)), F.lit(""))
-        grid = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(_CELL), F.lit(1)), cell_text))
-        return F.struct(first.rlike(r"(?is)^(?!.*<td\b).*<th\b").alias("has_th"), grid.alias("grid"))
+        return F.struct(first.rlike(r"(?is)^(?!.*<td\b).*<th\b").alias("has_th"), F.transform(rows, cells_of).alias("grid"))
 
     return F.transform(rows, to_table)
 

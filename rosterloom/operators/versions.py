@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,21 +122,25 @@ def lineage_depth(versions: DataFrame, version: str = "version_id", parent: str
     """Number of ancestors of each version and its root.
 
     Pointers double in length every round, so a chain of a million edits takes
-    twenty joins, each cut off by a checkpoint.  The join is salted: most
-    versions may point to one and the same ancestor."""
+    twenty joins, each cut off by a checkpoint.  Only versions whose root is not
+    yet known are joined and written again; finished ones stay in the checkpoint
+    of the round that finished them.  Most versions may point to one and the same
+    ancestor, whose row is then repeated as often as its share asks for."""
     spark = versions.sparkSession
     ensure_checkpoint_dir(spark)
-    state = versions.select(
+    moved = versions.select(
         F.col(version),
         F.col(parent).alias("_next"),
         F.coalesce(F.col(parent), F.col(version)).alias("root"),
         F.when(F.col(parent).isNotNull(), 1).otherwise(0).cast("bigint").alias("depth"),
     ).checkpoint()
+    finished: list[DataFrame] = []
     for _ in range(rounds):
-        open_ends = state.where("_next IS NOT NULL")
+        finished.append(moved.where("_next IS NULL"))
+        open_ends = moved.where("_next IS NOT NULL")
         if open_ends.isEmpty():
-            return state.drop("_next")
-        jump = state.select(
+            return reduce(DataFrame.unionByName, finished).drop("_next")
+        jump = reduce(DataFrame.unionByName, finished, open_ends).select(
             F.col(version).alias("_next"),
             F.col("_next").alias("_after"),
             F.col("root").alias("_root"),
@@ -145,8 +151,7 @@ def lineage_depth(versions: DataFrame, version: str = "version_id", parent: str
             F.col("_after").alias("_next"),
             F.coalesce("_root", "root").alias("root"),
             (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"),
-        )
-        state = state.where("_next IS NULL").unionByName(moved).checkpoint()
+        ).checkpoint()
     raise ValueError("version parents form a cycle")
 
 

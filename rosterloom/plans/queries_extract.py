@@ -62,10 +62,9 @@ def text_body_types(spark, folder):
 
 def page_types(spark, folder):
     pages = read(spark, folder, "pages").select("page_id", "html", F.lit("").alias("text"))
-    out = classification.classify_bodies(pages)
     kind = classify.fallback_type(F.col("html"), F.array(F.lit("Name"), F.lit(".CSV")))
-    plain = read(spark, folder, "pages").select("page_id", kind["document_type"].alias("fallback"))
-    return out.select("page_id", "document_type", "confidence", F.length("content").alias("size")).join(plain, "page_id")
+    out = classification.classify_bodies(pages.withColumn("fallback", kind["document_type"]))
+    return out.select("page_id", "document_type", "confidence", F.length("content").alias("size"), "fallback")
 
 
 def attachment_types(spark, folder):

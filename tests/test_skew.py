@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterloom.operators.responses import merge_by_coverage, prefer_source
-from rosterloom.operators.skew import dense_index, flag_repeats, keep_first, salted_lookup
+from rosterloom.operators.skew import dense_index, flag_repeats, hot_keys, keep_first, salted_lookup
 from rosterloom.operators.tables import grid_to_rows
 from rosterloom.operators.versions import lineage_depth
 
@@ -22,6 +22,29 @@ def test_salted_lookup(spark, rows):
     assert all(found[i] == (1 if i % 3 == 0 else 2 if i % 11 == 1 else None) for i in found)
 
 
+@pytest.mark.parametrize("share", [0, 33, 100])
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_salted_lookup_at_any_share(spark, share, how):
+    """One key owns so many of a hundred rows; a tenth of all keys are null."""
+    data = [(i, None if i % 10 == 0 else "hot" if i % 100 < share else f"k{i}") for i in range(1000)]
+    big = spark.createDataFrame(data, "id long, key string")
+    lookup = spark.createDataFrame([("hot", 1), ("k1", 2), ("k999", 3), (None, 4)], "key string, v int")
+    known = {"hot": 1, "k1": 2, "k999": 3}
+    found = {r.id: r.asDict().get("v") for r in salted_lookup(big, lookup, ["key"], ["id"], how=how).collect()}
+    if how == "left_anti":
+        assert set(found) == {i for i, key in data if key not in known}
+    else:
+        kept = {i: known.get(key) for i, key in data if how == "left" or key in known}
+        assert set(found) == set(kept)
+        assert how == "left_semi" or found == kept
+
+
+def test_only_keys_above_an_even_share_are_hot(spark):
+    big = spark.range(1000).withColumn("key", F.when(F.col("id") < 301, F.lit(-1)).otherwise(F.col("id")))
+    assert [tuple(r) for r in hot_keys(big, ["key"], 10).collect()] == [(-1, 4)]
+    assert hot_keys(big.where("key > 0"), ["key"], 10).isEmpty() and hot_keys(big.where("false"), ["key"], 10).isEmpty()
+
+
 def test_flag_repeats(rows):
     flags = {r.id: r.is_repeat for r in flag_repeats(rows, ["key"], ["id"]).collect()}
     seen = set()
