@@ -86,26 +86,21 @@ def job_details(jobs: DataFrame, versions: DataFrame, records: DataFrame, issues
     return joined.withColumns(counts).withColumn("issues_count", sum((F.col(f"{x}_count") for x in ISSUE_LEVELS[1:]), F.col("error_count")))
 
 
-def stuck_jobs(jobs: DataFrame, as_of: Column, minutes: int = 3) -> DataFrame:
-    """Pending or processing jobs idle for longer than ``minutes``."""
+def is_stuck(as_of: Column, minutes: int) -> Column:
+    """Pending or processing, and idle for longer than ``minutes``."""
     idle = F.col("updated_at") < as_of - F.make_dt_interval(mins=F.lit(minutes))
-    return jobs.where(F.col("status").isin("pending", "processing") & idle)
+    return F.coalesce(F.col("status").isin("pending", "processing") & idle, F.lit(False))
+
+
+def stuck_jobs(jobs: DataFrame, as_of: Column, minutes: int = 3) -> DataFrame:
+    return jobs.where(is_stuck(as_of, minutes))
 
 
 def fail_stuck(jobs: DataFrame, as_of: Column, minutes: int = 3) -> tuple[DataFrame, DataFrame]:
     """Jobs with the stuck ones failed, and the audit rows of that."""
-    stuck = F.col("status").isin("pending", "processing") & (
-        F.col("updated_at") < as_of - F.make_dt_interval(mins=F.lit(minutes))
-    )
-    marked = jobs.withColumn("_stuck", F.coalesce(stuck, F.lit(False)))
-    audit = marked.where("_stuck").select(
-        "job_id",
-        F.lit("system").alias("actor"),
-        F.lit("job_timeout").alias("action"),
-        F.to_json(F.struct("status")).alias("before_json"),
-        F.to_json(F.struct(F.lit("failed").alias("status"))).alias("after_json"),
-        as_of.alias("created_at"),
-    )
+    marked = jobs.withColumn("_stuck", is_stuck(as_of, minutes))
+    failed = F.to_json(F.struct(F.lit("failed").alias("status")))
+    audit = audit_entry(marked.where("_stuck"), "system", "job_timeout", as_of, F.to_json(F.struct("status")), failed)
     new_jobs = marked.select(
         *[
             F.when(F.col("_stuck"), "failed").otherwise(F.col(c)).alias(c)

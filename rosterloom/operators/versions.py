@@ -160,13 +160,17 @@ def _hashable(df: DataFrame) -> list[str]:
     return [name for name, kind in df.dtypes if "map<" not in kind]
 
 
+def expired_jobs(jobs: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """Finished jobs last touched over ``days`` ago."""
+    idle = F.col("updated_at") < as_of - F.make_dt_interval(F.lit(days))
+    return jobs.where(F.col("status").isin("ready", "failed") & idle).select("job_id")
+
+
 def expire(tables: dict[str, DataFrame], as_of: Column, days: int = 30) -> dict[str, DataFrame]:
     """Every table without the finished jobs last touched over ``days`` ago.
 
     Issues hang on versions, everything else on the job."""
-    old = tables["jobs"].where(
-        F.col("status").isin("ready", "failed") & (F.col("updated_at") < as_of - F.make_dt_interval(F.lit(days)))
-    ).select("job_id")
+    old = expired_jobs(tables["jobs"], as_of, days)
     kept = {}
     for name, table in tables.items():
         if name == "issues" and "job_id" not in table.columns:

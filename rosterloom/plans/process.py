@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterloom.functions.classify import attachment_type, body_type
+from rosterloom.operators import export as exports
+from rosterloom.operators import jobs as job_rules
+from rosterloom.operators import versions as version_rules
 from rosterloom.operators.mapping import apply_mapping, row_mappings
 from rosterloom.operators.narrative import text_rows
 from rosterloom.operators.normalize import delta_table, normalize
-from rosterloom.operators.skew import dense_index, explode_rows, keep_first
+from rosterloom.operators.skew import dense_index, explode_rows, keep_first, salted_lookup
 from rosterloom.operators.tables import table_rows
 from rosterloom.operators.validate import issue_table, validate, validation_statistics
 from rosterloom.schema import FIELD_COLUMNS
@@ -86,6 +89,10 @@ def clean(rows: DataFrame, as_of: str, prefix: str = "") -> DataFrame:
     return validate(normalize(typed), as_of, prefix=prefix)
 
 
+#: Tables that every store has after its first batch.
+STORED = ("emails", "versions", "records", "issues", "deltas", "jobs", "audit_logs")
+
+
 @dataclass(frozen=True)
 class RosterStore:
     """Append-only Parquet tables below one folder.
@@ -114,11 +121,39 @@ class RosterStore:
                 return None
             raise
 
-    def jobs(self) -> DataFrame:
-        """Current state of each job: its newest entry."""
-        log = self.read("jobs")
-        newest = F.max(F.struct("version_no", "status", "current_version_id", "created_at", "updated_at")).alias("j")
-        return log.groupBy("job_id").agg(newest).select("job_id", "j.*")
+    def jobs(self, batch: str | None = None) -> DataFrame:
+        """Current state of each job, its newest entry; with ``batch`` the state
+        without that batch, which a repeated try must start from."""
+        log = self.read("jobs") if batch is None else self.earlier("jobs", batch)
+        newest = F.max(F.struct("seq", "status", "current_version_id", "version_no", "created_at", "updated_at")).alias("j")
+        return log.groupBy("job_id").agg(newest).select("job_id", "j.*").drop("seq")
+
+    def log_jobs(self, batch: str, changed: DataFrame) -> None:
+        """Append the new state of some jobs, behind all their earlier entries."""
+        earlier = self.earlier("jobs", batch)
+        if earlier is None:
+            numbered = changed.withColumn("seq", F.lit(1).cast("bigint"))
+        else:
+            last = earlier.join(changed.select("job_id"), "job_id", "left_semi").groupBy("job_id").agg(F.max("seq").alias("_seq"))
+            numbered = changed.join(last, "job_id", "left").withColumn("seq", F.coalesce("_seq", F.lit(0)) + 1)
+        columns = ["job_id", "status", "current_version_id", "version_no", "created_at", "updated_at", "seq"]
+        self.write("jobs", batch, numbered.select(*columns))
+
+    def current_records(self, batch: str | None = None) -> DataFrame:
+        """Rows of the version that each job points to."""
+        pointers = self.jobs(batch).select("job_id", F.col("current_version_id").alias("version_id"))
+        return salted_lookup(self.read("records"), pointers, ["job_id", "version_id"], ["row_idx"], how="left_semi")
+
+    def live(self, table: str) -> DataFrame:
+        """A table without the jobs that have expired."""
+        rows = self.read(table)
+        try:
+            gone = self.read("expired").select("job_id").distinct()
+        except Exception as problem:
+            if "PATH_NOT_FOUND" in str(problem):
+                return rows
+            raise
+        return rows.join(gone, "job_id", "left_anti")
 
 
 def commit_version(
@@ -134,11 +169,11 @@ def commit_version(
     if earlier is None:
         numbered = numbers.withColumn("version_no", F.lit(1)).withColumn("parent_version_id", F.lit(None).cast("string"))
     else:
-        last = earlier.groupBy("job_id").agg(F.max(F.struct("version_no", "version_id")).alias("_last"))
-        numbered = numbers.join(last, "job_id", "left").select(
-            "job_id",
-            (F.coalesce("_last.version_no", F.lit(0)) + 1).alias("version_no"),
-            F.col("_last.version_id").alias("parent_version_id"),
+        mine = earlier.join(numbers, "job_id", "left_semi")
+        last = mine.groupBy("job_id").agg(F.max("version_no").alias("_last"))
+        pointers = store.jobs(batch).select("job_id", F.col("current_version_id").alias("parent_version_id"))
+        numbered = numbers.join(last, "job_id", "left").join(pointers, "job_id", "left").select(
+            "job_id", (F.coalesce("_last", F.lit(0)) + 1).alias("version_no"), "parent_version_id"
         )
     version_id = F.concat_ws(".", "job_id", "version_no").alias("version_id")
     versions = numbered.select(
@@ -147,8 +182,6 @@ def commit_version(
     store.write("versions", batch, versions)
     committed = store.batch("versions", batch)
 
-    from rosterloom.operators.skew import salted_lookup
-
     named = salted_lookup(rows, committed.select("job_id", "version_id"), ["job_id"], ["row_idx"], how="inner")
     store.write("records", batch, named.select("job_id", "version_id", "row_idx", *FIELD_COLUMNS, "issues", "deltas", "is_valid"))
     stored = store.batch("records", batch)
@@ -157,18 +190,15 @@ def commit_version(
     store.write("deltas", batch, delta_table(stored, key))
     counts = validation_statistics(stored, ["job_id"]).select("job_id", "status", "total_rows", "error_count", "warning_count")
     jobs = committed.join(counts, "job_id", "left").na.fill({"status": "pending", "total_rows": 0, "error_count": 0, "warning_count": 0})
-    store.write(
-        "jobs", batch,
-        jobs.select("job_id", "status", F.col("version_id").alias("current_version_id"), "version_no", at.alias("created_at"), at.alias("updated_at")),
-    )
+    created = F.coalesce("_created", at).alias("created_at")
+    if earlier is None:
+        known = jobs.withColumn("_created", F.lit(None).cast("timestamp"))
+    else:
+        known = jobs.join(store.jobs(batch).select("job_id", F.col("created_at").alias("_created")), "job_id", "left")
+    state = known.select("job_id", "status", F.col("version_id").alias("current_version_id"), "version_no", created, at.alias("updated_at"))
+    store.log_jobs(batch, state)
     after = F.to_json(F.struct("version_id", "total_rows", "error_count", "warning_count"))
-    store.write(
-        "audit_logs", batch,
-        jobs.select(
-            "job_id", F.lit("system").alias("actor"), F.lit("version_created").alias("action"),
-            F.lit(None).cast("string").alias("before_json"), after.alias("after_json"), at.alias("created_at"),
-        ),
-    )
+    store.write("audit_logs", batch, job_rules.audit_entry(jobs, "system", "version_created", at, after=after))
 
 
 def run_batch(store: RosterStore, batch: str, files: DataFrame, as_of: str, at: Column | None = None, **options) -> None:
@@ -207,6 +237,71 @@ def revalidate(store: RosterStore, batch: str, records: DataFrame, as_of: str, a
     commit_version(store, batch, store.batch("rows", batch), author, reason, at)
 
 
+def edit_cells(store: RosterStore, batch: str, edits: DataFrame, as_of: str, at: Column, author: str = "user") -> None:
+    """One new version for each job that ``edits(job_id, row_idx, field, value,
+    seq)`` touch; the last edit of a cell counts.  Edits of rows that the current
+    version does not have are told in ``edit_rejections``."""
+    key = ["job_id", "row_idx"]
+    current = store.current_records(batch)
+    store.write("edit_rejections", batch, version_rules.rejected_edits(current, edits, key))
+    good = edits.join(store.batch("edit_rejections", batch), ["job_id", "row_idx", "field", "seq"], "left_anti")
+    touched = salted_lookup(current, good.select("job_id").distinct(), ["job_id"], ["row_idx"], how="left_semi")
+    edited = version_rules.apply_edits(touched.select(*key, *FIELD_COLUMNS), good, key).drop("edited")
+    revalidate(store, batch, edited, as_of, author, "Cell edit", at)
+
+
+def _log_changes(store: RosterStore, batch: str, jobs: DataFrame, audit: DataFrame) -> None:
+    """Store the audit rows, and the new state of the jobs they tell of."""
+    store.write("audit_logs", batch, audit)
+    store.log_jobs(batch, jobs.join(store.batch("audit_logs", batch).select("job_id"), "job_id", "left_semi"))
+
+
+def roll_back(store: RosterStore, batch: str, requests: DataFrame, at: Column) -> None:
+    """Point jobs to an earlier version of theirs; ``requests(job_id, version_id,
+    seq)``.  No version is removed."""
+    history = store.read("versions")
+    jobs, audit = version_rules.rollback(store.jobs(batch), history, requests, at)
+    numbers = history.select(F.col("version_id").alias("current_version_id"), "version_no")
+    _log_changes(store, batch, jobs.drop("version_no").join(numbers, "current_version_id"), audit)
+
+
+def fail_stuck(store: RosterStore, batch: str, as_of: Column, minutes: int = 3) -> None:
+    """Fail jobs that were pending or processing for too long."""
+    _log_changes(store, batch, *job_rules.fail_stuck(store.jobs(batch), as_of, minutes))
+
+
+def version_diff(store: RosterStore, old: str, new: str) -> DataFrame:
+    """Cell changes between two versions of a job."""
+    rows = lambda version: store.read("records").where(F.col("version_id") == version)
+    return version_rules.diff(rows(old), rows(new), ["row_idx"], FIELD_COLUMNS)
+
+
+def export_jobs(store: RosterStore, batch: str, at: Column, statuses: tuple[str, ...] = ("ready", "exported")) -> None:
+    """Workbooks of the current versions of the jobs in some state, and their
+    log.  The workbooks are built once, and their log is read off what was stored."""
+    jobs = store.jobs(batch).where(F.col("status").isin(*statuses))
+    rows = salted_lookup(store.current_records(batch), jobs.select("job_id"), ["job_id"], ["row_idx"], how="left_semi")
+    store.write("workbooks", batch, exports.workbooks(exports.export_rows(rows), at))
+    store.write("exports", batch, exports.export_log(store.batch("workbooks", batch), at))
+    done = store.batch("exports", batch).select("job_id").distinct()
+    marked = jobs.join(done, "job_id", "left_semi")
+    state = lambda status: F.to_json(F.struct(status.alias("status")))
+    audit = job_rules.audit_entry(marked, "system", "exported", at, state(F.col("status")), state(F.lit("exported")))
+    _log_changes(store, batch, marked.withColumns({"status": F.lit("exported"), "updated_at": at}), audit)
+
+
+def expire(store: RosterStore, batch: str, as_of: Column, days: int = 30) -> None:
+    """List finished jobs last touched over ``days`` ago; ``live`` leaves them out
+    of every table, and ``copy_live`` writes a store without them."""
+    store.write("expired", batch, version_rules.expired_jobs(store.jobs(), as_of, days))
+
+
+def copy_live(store: RosterStore, target: RosterStore, batch: str, tables: tuple[str, ...] = STORED) -> None:
+    """All rows that have not expired, as one batch of another store."""
+    for table in tables:
+        target.write(table, batch, store.live(table).drop("batch"))
+
+
 def _delta_type() -> str:
     from rosterloom.operators.normalize import DELTA_TYPE
 

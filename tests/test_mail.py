@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterloom.operators.versions import diff
+from rosterloom.plans import process
 from rosterloom.plans.process import RosterStore, revalidate, run_batch
 from rosterloom.schema import FIELD_COLUMNS, column_name
 from rosterloom.sources import mail
@@ -189,3 +190,46 @@ def test_flow_loses_nothing(spark, tmp_path):
     rows = {r.provider_npi: r for r in store.read("records").collect()}
     assert rows["1234567893"].phone_number and rows["1234567893"].provider_specialty == "Surgery" and "9876543213" in rows
     assert "pending" in {r.status for r in store.jobs().collect()}
+
+
+def test_store_life_cycle(spark, folder, tmp_path):
+    """Edit, roll back, edit again, export, fail, expire and copy."""
+    store = RosterStore(spark, str(tmp_path / "store"))
+    run_batch(store, "b1", mail.mail_files(spark, folder), "2025-06-01")
+    at = lambda day: F.lit(f"2025-06-{day:02d}").cast("timestamp")
+    job = {r.message_id: r.job_id for r in store.read("emails").collect()}["<a@x>"]
+    state = lambda: store.jobs().where(F.col("job_id") == job).first()
+    edits = spark.createDataFrame(
+        [(job, 1, "Term Reason", "Gone", 1), (job, 1, "Term Reason", "Moved", 2), (job, 99, "TIN", "x", 3)],
+        "job_id string, row_idx long, field string, value string, seq long",
+    )
+    process.edit_cells(store, "e1", edits, "2025-06-02", at(2))
+    assert state().current_version_id == f"{job}.2" and store.read("versions").count() == 4
+    assert [(r.row_idx, r.value) for r in store.read("edit_rejections").collect()] == [(99, "x")]
+    changes = process.version_diff(store, f"{job}.1", f"{job}.2").collect()
+    assert [(r.row_idx, r.field, r.new_value) for r in changes] == [(1, "term_reason", "Moved")]
+    requests = spark.createDataFrame([(job, f"{job}.1", 1), ("none", "none.1", 1)], "job_id string, version_id string, seq long")
+    for _ in range(2):
+        process.roll_back(store, "r1", requests, at(3))
+    assert (state().current_version_id, state().version_no) == (f"{job}.1", 1)
+    told = store.batch("audit_logs", "r1").collect()
+    assert [r.before_json for r in told] == [f'{{"current_version_id":"{job}.2"}}']
+    process.edit_cells(store, "e2", edits.where("seq = 1"), "2025-06-04", at(4))
+    newest = store.batch("versions", "e2").first()
+    assert (newest.version_no, newest.parent_version_id) == (3, f"{job}.1") and state().current_version_id == f"{job}.3"
+
+    process.export_jobs(store, "x1", at(5), statuses=("ready", "needs_review"))
+    log = {r.job_id: r for r in store.read("exports").collect()}
+    assert log[job].version_id == f"{job}.3" and log[job].file_size > 0 and state().status == "exported"
+    process.fail_stuck(store, "s1", at(6))
+    assert {r.status for r in store.jobs().collect()} <= {"exported", "failed"}
+    before = store.jobs().count()
+    process.roll_back(store, "r2", requests.where("false"), at(7))
+    assert store.jobs().count() == before
+
+    old = store.jobs().where("job_id <> '" + job + "'").withColumn("status", F.lit("ready"))
+    store.log_jobs("z1", old)
+    process.expire(store, "d1", F.lit("2025-09-01").cast("timestamp"))
+    copy = RosterStore(spark, str(tmp_path / "copy"))
+    process.copy_live(store, copy, "c1")
+    assert {r.job_id for r in copy.jobs().collect()} == {job} and copy.read("versions").count() == 3
