@@ -181,6 +181,31 @@ def test_quality_on_rows_not_fitted():
     assert 1 - good[grades[half:] == 1].mean() >= 0.8
 
 
+def test_toxic_recall_of_each_language_on_rows_not_fitted():
+    path = "/root/testdata/sf0.1"
+    rows = duckdb.sql(
+        f"SELECT text, lang, quality, toxic FROM '{path}/documents.parquet' JOIN '{path}/labels.parquet' USING (doc_id) ORDER BY doc_id"
+    ).fetchall()
+    grades = np.array([0 if toxic else 1 if not good else 2 for *_, good, toxic in rows])
+    langs = np.array([lang for _, lang, *_ in rows])
+    sets = [np.array(sorted(quality.features(r[0])), dtype="<u4") for r in rows]
+    for half in range(2):
+        fitted = np.arange(len(rows)) % 2 == half
+        model = quality.regress([s for s, on in zip(sets, fitted) if on], grades[fitted])
+        score = np.array([sum(model.weights.get(f, 0.0) for f in s.tolist()) for s in sets])
+        kept = 1 - 1 / (1 + np.exp(score - model.thresholds[-1])) >= quality.MIN_TAIL
+        for lang in set(langs):
+            rated = ~fitted & (langs == lang)
+            assert kept[rated & (grades == 0)].mean() <= 0.15, lang
+            assert kept[rated & (grades == 2)].mean() >= 0.97, lang
+
+
+def test_stems_count_forms_of_a_word_once_and_twice():
+    stem, twice = quality.bucket("stem abcde"), quality.bucket("stem abcde") ^ quality.TWICE
+    one, same, two = (quality.features(t) for t in ("Abcdefg", "abcdefg, ABCDEFG abcde", "abcdefg abcdeee"))
+    assert stem in one & same & two and twice in two and twice not in one | same
+
+
 def test_quality_of_odd_texts(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (9, 1, 1), (7, None, None), (None, 1, 0), (77, 0, 0)], "doc_id bigint, quality int, toxic int")
     rows = quality.rate(odd, quality.fit(odd, labels)).collect()
