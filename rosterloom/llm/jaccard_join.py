@@ -5,7 +5,10 @@ each set in a node chooses the shared tokens it goes on with by a hash of node
 and token, so that similar sets choose alike: on average one over the share of
 the larger set that a pair at the threshold has in common.  A node with few sets is a leaf, in which all pairs are verified; a larger
 one is split on, down to ``DEPTH`` levels, and then cut into tiles.  Runs are
-repeated until a pair at the threshold is found with probability ``recall``.
+repeated until a pair at the threshold is found with probability ``recall``
+even at the last level.  Most pairs meet in a leaf of the first level and are
+missed far more rarely; sets in larger nodes take part in so many more runs
+that their pairs are missed no more often than those.
 
 Sets that are equal are one class from the start.  In a leaf, members without a
 partner of fitting size and signature go before any tokens are moved, and leaves
@@ -74,13 +77,23 @@ def fingerprint(tokens: np.ndarray) -> bytes:
     return struct.pack("<QQ", int(one), int(mix(np.array([two + U64(len(tokens))]))[0]))
 
 
-def runs_for(recall: float, depth: int) -> int:
+def survival(depth: int) -> float:
     """A pair at the threshold shares at least one path on average per level; so
     it survives a level with the chance of a Poisson branching process."""
     chance = 1.0
     for _ in range(depth):
         chance = 1 - math.exp(-chance)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
+    return chance
+
+
+def runs_for(recall: float, depth: int) -> int:
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(depth))))
+
+
+def runs_below(runs: int, depth: int) -> int:
+    """Runs that miss a pair at the last level no more often than ``runs`` do at
+    the first."""
+    return math.ceil(runs * math.log(1 - survival(1)) / math.log(1 - survival(depth)) - 1e-9)
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
@@ -107,8 +120,8 @@ def children(parents: np.ndarray, tokens: np.ndarray, share: float) -> np.ndarra
     return mix(np.concatenate(nodes)) if nodes else np.zeros(0, dtype=U64)
 
 
-def roots(runs: int) -> np.ndarray:
-    return mix(np.arange(1, runs + 1, dtype=U64))
+def roots(runs: int, first: int = 0) -> np.ndarray:
+    return mix(np.arange(first + 1, runs + 1, dtype=U64))
 
 
 def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -157,15 +170,23 @@ def with_tokens(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return map_rows(joined, joined.columns, tokenized, f"{kept}, tokens binary")
 
 
-def leaf_members(sets: DataFrame, texts: DataFrame, depth: int, leaf: int, share: float, width: int) -> DataFrame:
+def leaf_members(
+    sets: DataFrame, texts: DataFrame, runs: int, depth: int, leaf: int, share: float, width: int
+) -> DataFrame:
     """Rows (leaf, size, rep) of all leaves.  Sets in nodes too large for a leaf
-    are read again and split by one more token, level after level."""
+    are read again and split by one more token, level after level.  A pair that
+    shares no leaf of the first level shares large nodes, so both of its sets are
+    among those read; they take part in the further runs from the second level on."""
+
+    def splitter(more):
+        def split(rows):
+            for rep, parents, packed in rows:
+                tokens = np.frombuffer(packed, dtype="<u8")
+                parents = np.concatenate([np.array(parents, dtype=np.int64).astype(U64), children(more, tokens, share)])
+                for node in children(parents, tokens, share).astype(np.int64).tolist():
+                    yield node, rep
 
-    def split(rows):
-        for rep, parents, packed in rows:
-            tokens = np.frombuffer(packed, dtype="<u8")
-            for node in children(np.array(parents, dtype=np.int64).astype(U64), tokens, share).astype(np.int64).tolist():
-                yield node, rep
+        return split
 
     rows, found = sets.select(F.explode("nodes").alias("node"), "rep"), None
     for level in range(1, depth + 1):
@@ -180,6 +201,7 @@ def leaf_members(sets: DataFrame, texts: DataFrame, depth: int, leaf: int, share
             return found
         parents = large.groupBy("rep").agg(F.collect_list("node").alias("parents"))
         parents = materialize(parents.join(sets.select("rep", "_row", "_set"), "rep"))
+        split = splitter(roots(runs_below(runs, depth), runs) if level == 1 else roots(0))
         rows = materialize(map_rows(with_tokens(texts, parents, width), ["rep", "parents", "tokens"], split, "node bigint, rep bigint").distinct())
     return found
 
@@ -334,7 +356,7 @@ def jaccard_classes(
     )
     sets = materialize(kinds.select(F.monotonically_increasing_id().alias("rep"), "_set", "_row", "_first", "copies", "_same.*"))
     texts = numbered(df, key, text).select("_row", "_text")
-    members = promising(leaf_members(sets, texts, depth, leaf, share, width), sets, threshold, tile)
+    members = promising(leaf_members(sets, texts, runs, depth, leaf, share, width), sets, threshold, tile)
     members = materialize(distinct_leaves(materialize(members)))
 
     wanted = members.groupBy("rep").agg(F.collect_list(F.struct("leaf", "size")).alias("leaves"))

@@ -102,6 +102,33 @@ def test_classes_and_links(documents, leaf, tile, depth):
     assert got == sorted(brute_classes(rows), key=key)
 
 
+def test_links_of_more_near_copies_than_a_leaf_holds(documents):
+    draw = random.Random(190)  # with these words, the paths of 15 runs miss pairs
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(98)]
+    rows = []
+    for i in range(1300):
+        at = draw.randrange(98)
+        rows.append((i, " ".join([*base[:at], word(), *base[at + 1 :]])))
+    sets = [grams(t) for _, t in rows]
+    place = {g: k for k, g in enumerate(set().union(*sets))}
+    held = np.zeros((len(rows), len(place)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        held[i, [place[g] for g in s]] = 1
+    common, sizes = held @ held.T, held.sum(axis=1)
+    links = (5 * common >= 4 * (sizes[:, None] + sizes - common)).sum(axis=1) - 1
+    found = {r.doc_id: (r.class_id, r.class_size, r.n_links) for r in jaccard_join.jaccard_classes(documents(rows)).collect()}
+    assert links.min() > jaccard_join.LEAF and found == {i: (0, 1300, links[i]) for i, _ in rows}
+
+
+def test_runs_below_miss_as_rarely_as_at_the_first_level():
+    miss = lambda runs, depth: (1 - jaccard_join.survival(depth)) ** runs
+    for depth in (1, 2, 3):
+        runs = jaccard_join.runs_for(0.999, depth)
+        below = jaccard_join.runs_below(runs, depth)
+        assert miss(below, depth) <= miss(runs, 1) * 1.000001 and (depth > 1 or below == runs)
+
+
 def test_classes_of_an_empty_table(odd):
     assert jaccard_join.jaccard_classes(odd.where("false")).count() == 0
 
