@@ -77,7 +77,7 @@ def ip(text: str, at: int, read: int) -> Parsed:
     if len(parts) < 4:
         return None, run.end()
     end = at + sum(map(len, parts[:4])) + 3
-    return ((at, end) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[:4]) else None), end
+    return ((at, end) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts[:4]) else None), end
 
 
 def card(text: str, at: int, read: int) -> Parsed:

@@ -69,6 +69,12 @@ def test_added_kinds(text, kind, found):
     assert [text[a:b] for k, a, b in pii.find_spans(text) if k == kind] == ([found] if found else [])
 
 
+def test_address_with_more_zeros_than_int_reads():
+    zeros = "0" * 5000
+    assert ("ip", 0, 5006) in pii.find_spans(zeros + ".0.0.0")
+    assert not [s for s in pii.find_spans(zeros + "256.0.0.0") if s[0] == "ip"]
+
+
 def test_pii_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     rows = queries.op1_pii(spark, SF_DIR).collect()
