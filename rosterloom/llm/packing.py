@@ -93,15 +93,16 @@ class Encoder:
         """Ids as little-endian 32-bit integers."""
         if not text:
             return b""
+        long_blanks = LONG_BLANKS.search(text)  # the fast pattern engine has a limited stack
         first, *rest = text.split(" ")
-        if first and "<|" not in first and not first[0].isspace() and not first[-1].isspace():
+        if not long_blanks and first and "<|" not in first and not first[0].isspace() and not first[-1].isspace():
             try:
                 tail = b"".join(map(self.words.__getitem__, rest))
             except TypeError:
                 pass
             else:
                 return np.array(self.fast.encode_ordinary(first), dtype="<u4").tobytes() + tail
-        if LONG_BLANKS.search(text):  # the fast pattern engine has a limited stack
+        if long_blanks:
             ids = self.whole.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode(text, allowed_special="all")

@@ -132,6 +132,14 @@ def test_fast_ids_are_the_library_s():
         assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("blank", ["\n", "\t"])
+def test_long_blanks_inside_a_word_go_to_the_library(blank):
+    encoder = packing.load(public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(packing.RANKS))
+    tool = library("byte_bpe_50k.json")
+    for text in ["a" + blank * 2_000_000 + "b", "to a" + blank * 2_000_000 + "b"]:
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
+
+
 def check_packing(rows, texts, capacity=1024):
     tool = library("byte_bpe_50k.json")
     wanted = []
