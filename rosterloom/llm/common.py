@@ -50,6 +50,26 @@ def map_rows(
     return df.select(*columns).mapInArrow(run, target)
 
 
+def map_stream(
+    df: DataFrame, columns: list[str], function: Callable[[Iterable[tuple]], Iterable[tuple]], schema: str
+) -> DataFrame:
+    """As ``map_rows``, but ``function`` gets one iterator over the whole
+    partition, so that it may keep a bounded state and yield at its end."""
+    ship_package(df.sparkSession)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = df.sparkSession.createDataFrame([], schema).schema
+    arrow = pa.schema([pa.field(f.name, f.type) for f in to_arrow_schema(target)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (row for batch in batches for row in zip(*[_values(column) for column in batch.columns]))
+        results = iter(function(stream))
+        while rows := list(itertools.islice(results, 8192)):
+            yield _batch(rows, arrow)
+
+    return df.select(*columns).mapInArrow(run, target)
+
+
 def map_groups(
     df: DataFrame, keys: list[str], function: Callable[[tuple, list[tuple]], Iterable[tuple]], schema: str
 ) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterloom.llm import (
-    bpe, exact_dedup, jaccard_join, language_id, packing, pii, quality, token_counts, topk, warc,
+    bpe, exact_dedup, jaccard_join, language_id, lexical, packing, pii, quality, runs, simhash, token_counts, topk, warc,
 )
 from rosterloom.llm.common import code, table
 
@@ -80,6 +80,47 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def periodised(key: Column, text: Column) -> Column:
+    """The text, or for every tenth key (by hash) its words with a part of them
+    in place of all that follow."""
+    words = F.array_remove(F.split(code(text), r"[\x20\x09-\x0D]+"), "")
+    drawn = F.crc32(key.cast("string").cast("binary"))
+    n, g = F.greatest(F.size(words), F.lit(1)), F.floor(drawn / 10)
+    start = (g % n).cast("int")
+    period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
+    part = F.array_repeat(F.slice(words, start + 1, period), F.ceil((n - start) / period).cast("int"))
+    rewritten = F.slice(F.concat(F.slice(words, F.lit(1), start), F.flatten(part)), F.lit(1), n)
+    return F.when((drawn % 10 == 0) & (F.size(words) > 0), F.array_join(rewritten, " ")).otherwise(text)
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    texts = documents.select("doc_id", periodised(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs.periodic_runs(texts)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("*", longest.alias("_longest")).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("_longest.col2")).alias("start"),
+        F.col("_longest.length").alias("length"),
+        (-F.col("_longest.col3")).alias("period"),
+        F.expr("1000 * _longest.length div -_longest.col3").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("mark"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 _BITS = " || ".join(f"lpad(bin(('0x' || substr(h, {1 + 2 * i}, 2))::INT), 8, '0')" for i in range(20))
 OP3_SQL = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
@@ -125,6 +166,23 @@ WITH RECURSIVE w AS (
 SELECT doc_id, class_id, class_size, (SELECT count(*) FROM l WHERE l.a = k.doc_id) AS n_links FROM k
 """
 
+_TERMS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+     c AS (SELECT count(*) FILTER (len(t) > 0)::BIGINT AS docs, sum(len(t))::BIGINT AS terms FROM d),
+     p AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d),
+     f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p GROUP BY r, doc_id, n, term),
+     w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term),
+     q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+     s AS (SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+           FROM q JOIN f USING (term) JOIN w USING (term), c GROUP BY item_id, r, doc_id),
+     k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
 QUERIES = [
     ("op1_pii", op1_pii, None),
     ("op2_token_counts", op2_token_counts, None),
@@ -136,4 +194,7 @@ QUERIES = [
     ("op8_topk", op8_topk, OP8_SQL),
     ("op9_jaccard_join", op9_jaccard_join, OP9_SQL),
     ("op10_bpe", op10_bpe, None),
+    ("op11_runs", op11_runs, None),
+    ("op12_simhash", op12_simhash, None),
+    ("op13_lexical", op13_lexical, OP13_SQL),
 ]
