@@ -32,7 +32,7 @@ CUES = ("password", "passwd", "token", "secret", "api_key", "apikey", "account",
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-DIGIT_DOTS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+DIGIT_DOTS = re.compile(r"[0-9]+(?:\.[0-9]+){0,3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
