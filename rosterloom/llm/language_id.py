@@ -31,41 +31,64 @@ ROUNDS = 3
 SMOOTHING = 0.05
 UNKNOWN = 1e-7
 LONG_WORD = 48
+WINDOW = 4096
 MAX_WORDS = 300_000
 BATCH_CHARS = 400_000
 
 
 class Lattice:
-    """All ways to cut words into pieces, as arcs from a place to a later one."""
+    """All ways to cut words into pieces, as arcs from a place to a later one.
+
+    The pieces are a trie whose steps, a state and a letter in one number, are
+    sorted; all places of all words walk it at once."""
 
     def __init__(self, pieces: list[str]) -> None:
         self.size = len(pieces) + 1  # the last number is that of an unknown letter
-        self.trie: dict = {}
+        self.longest = max(map(len, pieces))
+        steps: dict[int, int] = {}
+        held = {0: -1}
         for number, piece in enumerate(pieces):
-            node = self.trie
+            state = 0
             for char in piece:
-                node = node.setdefault(char, {})
-            node[""] = number
+                state = steps.setdefault(state << 21 | ord(char), len(steps) + 1)
+                held.setdefault(state, -1)
+            held[state] = number
+        self.steps = np.array(sorted(steps), dtype=np.int64)
+        self.next = np.array([steps[k] for k in self.steps.tolist()], dtype=np.int64)
+        self.piece = np.array([held[state] for state in range(len(held))], dtype=np.int64)
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word, start, end and piece of each arc, ordered by end."""
-        trie, unknown = self.trie, self.size - 1
-        found = []
-        for w, word in enumerate(words):
-            text = START + word
-            for start in range(len(text)):
-                node, met = trie, False
-                for end in range(start, len(text)):
-                    node = node.get(text[end])
-                    if node is None:
-                        break
-                    if "" in node:
-                        met |= end == start
-                        found.append((w, start, end + 1, node[""]))
-                if not met:
-                    found.append((w, start, start + 1, unknown))
-        table = np.array(found, dtype=np.int64).reshape(-1, 4)
-        return tuple(table[np.argsort(table[:, 2], kind="stable")].T)
+        return self.arcs_in([START + word for word in words])
+
+    def arcs_in(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(texts)), sizes)
+        start = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = np.repeat(sizes, sizes) - start
+        unknown = np.ones(len(codes), dtype=bool)
+        at, state, found = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64), []
+        for depth in range(self.longest):
+            if depth:
+                more = left[at] > depth
+                at, state = at[more], state[more]
+            step = state << 21 | codes[at + depth]
+            place = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            known = self.steps[place] == step
+            at, state = at[known], self.next[place[known]]
+            whole = self.piece[state] >= 0
+            if not depth:
+                unknown[at[whole]] = False
+            found.append((at[whole], np.full(whole.sum(), depth + 1), self.piece[state[whole]]))
+            if not len(at):
+                break
+        lone = np.flatnonzero(unknown)
+        found.append((lone, np.ones(len(lone), dtype=np.int64), np.full(len(lone), self.size - 1)))
+        at, length, piece = (np.concatenate(column) for column in zip(*found))
+        end = start[at] + length
+        order = np.argsort(end, kind="stable")
+        return word[at][order], start[at][order], end[order], piece[order]
 
 
 def forward(words: list[str], arcs, weights: np.ndarray) -> np.ndarray:
@@ -137,8 +160,9 @@ def fit(
     words = rows.where(F.col("_hash") < bound).select("_lang", F.explode(F.expr(r"regexp_extract_all(lower(_text), '\\p{L}+', 0)")).alias("_word"))
     counted: dict[str, list] = {language: [] for language in languages}
     for row in words.groupBy("_lang", "_word").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
-        if LETTERS.fullmatch(row["_word"]) and len(row["_word"]) <= LONG_WORD:
-            counted[row["_lang"]].append((row["_word"], row["n"]))
+        if LETTERS.fullmatch(row["_word"]):  # a long word is learned in parts
+            parts = [row["_word"][i : i + LONG_WORD] for i in range(0, len(row["_word"]), LONG_WORD)]
+            counted[row["_lang"]] += [(part, row["n"]) for part in parts]
     lattice = lattice_of(path)
     columns = []
     for language in languages:
@@ -165,21 +189,27 @@ class Scorer:
         self.logs = np.zeros((MAX_WORDS + 1, len(model.languages)))
 
     def long_word(self, word: str) -> np.ndarray:
-        """The same sums with a running scale, for words of any length."""
-        _, start, end, piece = self.lattice.arcs([word])
-        bounds = np.searchsorted(end, np.arange(1, len(word) + 3))
-        alpha = np.zeros((len(word) + 2, len(self.model.languages)))
-        alpha[0] = 1
-        scale = np.zeros(alpha.shape[1])
-        for place in range(1, len(word) + 2):
-            part = slice(bounds[place - 1], bounds[place])
-            alpha[place] = (alpha[start[part]] * self.model.weights[piece[part]]).sum(axis=0)
-            low = alpha[place] < 1e-100
-            if low.any():
-                back = max(0, place - 16)
-                alpha[back : place + 1, low] *= 1e100
-                scale[low] -= np.log(1e100)
-        return np.log(np.maximum(alpha[-1], 1e-300)) + scale
+        """The same sums with a running scale, window by window, so that the
+        memory does not grow with the word."""
+        text, reach = START + word, self.lattice.longest
+        scale = np.zeros(len(self.model.languages))
+        alpha = np.ones((1, len(scale)))  # of the places before the window, at most `reach`
+        for base in range(0, len(text), WINDOW):
+            before, stop = len(alpha) - 1, min(base + WINDOW, len(text))
+            _, start, end, piece = self.lattice.arcs_in([text[base - before : stop]])
+            places = stop - base + before + 1
+            alpha = np.concatenate([alpha, np.zeros((places - len(alpha), len(scale)))])
+            bounds = np.searchsorted(end, np.arange(1, places + 1))
+            for place in range(before + 1, places):
+                part = slice(bounds[place - 1], bounds[place])
+                alpha[place] = (alpha[start[part]] * self.model.weights[piece[part]]).sum(axis=0)
+                low = alpha[place] < 1e-100
+                if low.any():
+                    alpha[max(0, place - reach) : place + 1, low] *= 1e100
+                    scale[low] -= np.log(1e100)
+            last = alpha[-1]
+            alpha = alpha[-(reach + 1) :]
+        return np.log(np.maximum(last, 1e-300)) + scale
 
     def learn(self, words: list[str]) -> None:
         arcs = self.lattice.arcs(words)
@@ -191,10 +221,11 @@ class Scorer:
 
     def score(self, texts: list[list[str]]) -> list[tuple[str, float]]:
         """Language and posterior of each list of words."""
-        new = {w for words in texts for w in words if w not in self.rows and len(w) <= LONG_WORD}
+        words = set().union(*texts)
+        new = [w for w in words.difference(self.rows) if len(w) <= LONG_WORD]
         if len(self.rows) + len(new) > MAX_WORDS:
             self.rows.clear()
-            new = {w for words in texts for w in words if len(w) <= LONG_WORD}
+            new = [w for w in words if len(w) <= LONG_WORD]
             if len(new) > MAX_WORDS:  # more than fit at once: half the texts at a time
                 half = len(texts) // 2
                 return self.score(texts[:half]) + self.score(texts[half:]) if half else [self.pieced(texts[0])]
@@ -203,10 +234,12 @@ class Scorer:
         return [self.best(self.total(words)) if words else ("und", 0.0) for words in texts]
 
     def total(self, words: list[str]) -> np.ndarray:
-        short = [self.rows[w] for w in words if len(w) <= LONG_WORD]
-        total = self.logs[short].sum(axis=0)
-        for word in words:
-            if len(word) > LONG_WORD:
+        places = list(map(self.rows.get, words))
+        if None not in places:
+            return self.logs[places].sum(axis=0)
+        total = self.logs[[p for p in places if p is not None]].sum(axis=0)
+        for word, place in zip(words, places):
+            if place is None:
                 total = total + self.long_word(word)
         return total
 
