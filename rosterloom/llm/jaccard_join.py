@@ -3,12 +3,15 @@
 A text is the set of its runs of five words.  A run of the join grows a tree:
 each set in a node chooses the shared tokens it goes on with by a hash of node
 and token, so that similar sets choose alike: on average one over the share of
-the larger set that a pair at the threshold has in common.  A node with few sets is a leaf, in which all pairs are verified; a larger
-one is split on, down to ``DEPTH`` levels, and then cut into tiles.  Runs are
-repeated until a pair at the threshold is found with probability ``recall``
-even at the last level.  Most pairs meet in a leaf of the first level and are
-missed far more rarely; sets in larger nodes take part in so many more runs
-that their pairs are missed no more often than those.
+the larger set that a pair at the threshold has in common.  A node with few sets
+is a leaf, in which all pairs are verified.  So is one whose sets are mostly near
+copies of one another, by the signatures: a split would only repeat it, so it is
+cut into tiles at once.  Other large nodes are split on, down to ``DEPTH`` levels,
+and then cut into tiles.  Runs are repeated until a pair at the threshold is found
+with probability ``recall`` even at the last level.  Most pairs meet in a leaf of
+the first level and are missed far more rarely; sets of which a fifth or more of
+the nodes are split take part in so many more runs that their pairs are missed no
+more often than those.
 
 Sets that are equal are one class from the start.  In a leaf, members without a
 partner of fitting size and signature go before any tokens are moved, and leaves
@@ -26,13 +29,15 @@ from __future__ import annotations
 
 import math
 import struct
+from functools import reduce
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.llm.common import code, fold_bitmap, map_groups, map_rows, materialize, with_bitmap_flag
+from rosterloom.operators.skew import salted_lookup
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -43,6 +48,8 @@ TILE = 1024
 BINS = 16
 LEAST_AGREEING = 5
 SMALL_SET = 64
+NEAR_SHARE = 0.5
+SPLIT_SHARE = 0.2
 BITS = 1 << 23
 COLUMNS = 2048
 
@@ -170,19 +177,39 @@ def with_tokens(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return map_rows(joined, joined.columns, tokenized, f"{kept}, tokens binary")
 
 
+def agreeing(marks: str, others: str) -> Column:
+    """In how many ranges two signatures agree."""
+    part = lambda column, k: F.substring(column, 4 * k + 1, 4)
+    none = F.lit(bytes(4))
+    same = [((part(marks, k) == part(others, k)) & (part(marks, k) != none)).cast("int") for k in range(BINS)]
+    return reduce(lambda a, b: a + b, same)
+
+
+def near_nodes(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Nodes whose sets mostly agree with one of them as near copies do."""
+    members = materialize(large.select("node", "rep").join(sets.select("rep", "marks"), "rep"))
+    pivots = members.groupBy("node").agg(F.min_by("marks", "rep").alias("_pivot"))
+    compared = salted_lookup(members, pivots, ["node"], ["rep"], how="inner")
+    alike = (agreeing("marks", "_pivot") >= LEAST_AGREEING).cast("double")
+    return compared.groupBy("node").agg((F.avg(alike) >= NEAR_SHARE).alias("near"))
+
+
 def leaf_members(
     sets: DataFrame, texts: DataFrame, runs: int, depth: int, leaf: int, share: float, width: int
 ) -> DataFrame:
-    """Rows (leaf, size, rep) of all leaves.  Sets in nodes too large for a leaf
-    are read again and split by one more token, level after level.  A pair that
-    shares no leaf of the first level shares large nodes, so both of its sets are
-    among those read; they take part in the further runs from the second level on."""
+    """Rows (leaf, size, rep) of all leaves.  Sets in nodes that are split are
+    read again and sent on by one more token, level after level.  A pair that
+    shares no leaf of the first level shares split nodes, so both of its sets are
+    among those read; if such nodes are more than a few of a set's own, it takes
+    part in the further runs from the second level on."""
 
     def splitter(more):
         def split(rows):
-            for rep, parents, packed in rows:
+            for rep, parents, further, packed in rows:
                 tokens = np.frombuffer(packed, dtype="<u8")
-                parents = np.concatenate([np.array(parents, dtype=np.int64).astype(U64), children(more, tokens, share)])
+                parents = np.array(parents, dtype=np.int64).astype(U64)
+                if further:
+                    parents = np.concatenate([parents, children(more, tokens, share)])
                 for node in children(parents, tokens, share).astype(np.int64).tolist():
                     yield node, rep
 
@@ -199,10 +226,15 @@ def leaf_members(
         large = shared.where(F.col("size") > leaf)
         if level == depth or large.isEmpty():
             return found
-        parents = large.groupBy("rep").agg(F.collect_list("node").alias("parents"))
-        parents = materialize(parents.join(sets.select("rep", "_row", "_set"), "rep"))
-        split = splitter(roots(runs_below(runs, depth), runs) if level == 1 else roots(0))
-        rows = materialize(map_rows(with_tokens(texts, parents, width), ["rep", "parents", "tokens"], split, "node bigint, rep bigint").distinct())
+        large = materialize(salted_lookup(large, materialize(near_nodes(large, sets)), ["node"], ["rep"]))
+        found = found.unionByName(large.where("near").select(F.col("node").alias("leaf"), "size", "rep"))
+        parents = large.where("NOT near").groupBy("rep").agg(F.collect_list("node").alias("parents"))
+        further = F.lit(level == 1) & (F.size("parents") >= F.lit(SPLIT_SHARE) * F.size("nodes"))
+        parents = parents.join(sets.select("rep", "_row", "_set", "nodes"), "rep")
+        parents = materialize(parents.select("rep", "parents", further.alias("further"), "_row", "_set"))
+        split = splitter(roots(runs_below(runs, depth), runs))
+        tokens = with_tokens(texts, parents, width)
+        rows = materialize(map_rows(tokens, ["rep", "parents", "further", "tokens"], split, "node bigint, rep bigint").distinct())
     return found
 
 
@@ -378,8 +410,9 @@ def jaccard_classes(
     heads = components(verdicts.where("partner IS NOT NULL").select(F.col("rep").alias("a"), F.col("partner").alias("b")))
     graded = sets.select("rep", "_set", "_first", "copies").join(links, "rep", "left")
     graded = graded.join(heads.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    graded = materialize(graded)
     classes = graded.groupBy("root").agg(F.min("_first").alias("class_id"), F.sum("copies").alias("class_size"))
-    linked = graded.join(classes, "root").select(
+    linked = salted_lookup(graded, classes, ["root"], ["rep"], how="inner").select(
         "_set", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     rows = sketch.drop("_row", "marks", "nodes")
