@@ -5,7 +5,8 @@ length, those that share a length by a hash of their length and prefix, and only
 those that share that too by the digest of the full text.  What survives a stage
 is handed to the next as a bitmap of fixed size, which is broadcast: no text is
 ever shuffled, and a full bitmap at a very large input costs hashing, not rows.
-Groups come from partially aggregated maxima, so one text may own most rows.
+Groups come from partially aggregated maxima, and the rows of a hot text are
+spread over tasks to meet their group, so one text may own most rows.
 
 A null text is empty.  Null keys count in their group and stay only if the group
 has no other key.  Rows that repeat the largest key of a group all stay.
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.llm.common import code, fold_bitmap, materialize, with_bitmap_flag
+from rosterloom.operators.skew import salted_lookup
 
 PREFIX_CHARS = 256
 LENGTH_BITS = 1 << 20
@@ -63,5 +65,5 @@ def exact_groups(
     kept = [*carry, *([digest] if digest else [])]
     shape = [F.col("_id").alias(key), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), *kept]
     alone = hashed.where("_whole IS NULL").select("*", F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
-    grouped = hashed.where("_whole IS NOT NULL").join(groups, "_whole")
+    grouped = salted_lookup(hashed.where("_whole IS NOT NULL"), groups, ["_whole"], ["_id"], how="inner")
     return alone.select(*shape).unionByName(grouped.select(*shape))
