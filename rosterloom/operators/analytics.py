@@ -106,13 +106,5 @@ def latency_histogram(events: DataFrame, buckets: list[float] | None = None, key
     return wide.select(key, F.explode(F.array(*pairs)).alias("p")).select(key, "p.*")
 
 
-def latency_percentiles(events: DataFrame, key: str = "agent") -> DataFrame:
-    """Approximate percentiles: mergeable sketches, never a sort of a whole group."""
-    p = F.percentile_approx("duration_s", [0.5, 0.95, 0.99], 10000)
-    return events.groupBy(key).agg(p.alias("_p")).select(
-        key, F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p95"), F.col("_p")[2].alias("p99")
-    )
-
-
 def recent_activity(audit: DataFrame, count: int = 10) -> DataFrame:
     return audit.orderBy(F.desc("created_at"), F.desc("audit_id")).limit(count)

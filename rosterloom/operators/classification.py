@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions.classify import attachment_type, body_type, processing_strategy
 
+# Limits of processing.
+MAX_PAGES = 10
+CONFIDENCE_THRESHOLD = 0.7
+
 
 def classify_bodies(df: DataFrame, text: str = "text", html: str = "html") -> DataFrame:
     """Adds the body classification, flattened."""
@@ -35,6 +39,21 @@ def mail_strategy(artifacts: DataFrame, key: list[str]) -> DataFrame:
     return grouped.select(*key, processing_strategy(F.col("_assisted"), F.col("_artifacts")).alias("s")).select(*key, "s.*")
 
 
+def processing_parameters(artifacts: DataFrame, key: list[str], order: str = "artifact_idx") -> DataFrame:
+    """Per mail: the types of its artifacts in their order, their number, and the
+    page and confidence limits they are processed under.  A mail is bounded by the
+    intake limit, and so is its list."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), "document_type")))
+    grouped = artifacts.groupBy(*key).agg(listed.alias("_types"))
+    return grouped.select(
+        *key,
+        F.transform("_types", lambda t: t["document_type"]).alias("document_types"),
+        F.size("_types").alias("artifact_count"),
+        F.lit(MAX_PAGES).alias("max_pages"),
+        F.lit(CONFIDENCE_THRESHOLD).alias("confidence_threshold"),
+    )
+
+
 def route(jobs: DataFrame) -> DataFrame:
     """Next step of a job from its flags."""
     return jobs.select(

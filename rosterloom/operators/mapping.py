@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions.text import strip
+from rosterloom.operators.responses import mapping_entries
 from rosterloom.operators.skew import salted_lookup
-from rosterloom.schema import ALIASES, FIELDS, SENTINEL, column_name
+from rosterloom.schema import ALIASES, FIELDS, column_name
 
 
 def _target_array(targets: list[str] | None) -> Column:
@@ -66,27 +67,36 @@ def alias_value(data: Column, field: str) -> Column:
     return strip(F.coalesce(*[F.try_element_at(data, F.lit(n)) for n in names]))
 
 
-def _mapped_value(data: Column, mappings: Column, field: str) -> Column:
-    """Last non-empty value among the headers mapped to a field; ``mappings``
-    is a map from field to headers."""
-    values = F.transform(F.coalesce(mappings[field], F.array().cast("array<string>")), lambda h: strip(F.try_element_at(data, h)))
-    return F.try_element_at(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.lit(-1))
+def _mapped_entry(data: Column, mappings: Column, field: str) -> Column:
+    """The last of the headers mapped to a field that has a value, with the value
+    and the mapping's confidence; ``mappings`` is a map from field to entries."""
+    entries = F.transform(
+        F.coalesce(F.try_element_at(mappings, F.lit(field)), F.array().cast("array<struct<source:string,confidence:double>>")),
+        lambda m: F.struct(m["source"].alias("source"), m["confidence"].alias("confidence"), strip(F.try_element_at(data, m["source"])).alias("value")),
+    )
+    return F.try_element_at(F.filter(entries, lambda m: m["value"].isNotNull() & (m["value"] != "")), F.lit(-1))
 
 
 def typed_rows(df: DataFrame, data: str = "data", mappings: str | None = None) -> DataFrame:
     """Row maps to the 17 typed columns.
 
     Mapped headers come first, a later one for the same field overwriting an
-    earlier one; older names fill only fields still empty.
+    earlier one; older names fill only fields still empty.  With ``mappings``, the
+    column ``origins`` tells header and confidence of the mapped fields.
     """
-    columns = []
+    kept = [c for c in df.columns if c not in (data, mappings, "origins")]
+    aliased = {field: alias_value(F.col(data), field) for field in FIELDS}
+    if not mappings:
+        return df.select(*kept, *[F.coalesce(aliased[f], F.lit("")).alias(column_name(f)) for f in FIELDS])
+    # Each entry is worked out once, in a projection of its own.
+    entries = df.select("*", *[_mapped_entry(F.col(data), F.col(mappings), f).alias(f"_from_{column_name(f)}") for f in FIELDS])
+    columns, origins = [], []
     for field in FIELDS:
-        value = alias_value(F.col(data), field)
-        if mappings:
-            value = F.coalesce(_mapped_value(F.col(data), F.col(mappings), field), value)
-        columns.append(F.coalesce(value, F.lit("")).alias(column_name(field)))
-    kept = [c for c in df.columns if c not in (data, mappings)]
-    return df.select(*kept, *columns)
+        entry = F.col(f"_from_{column_name(field)}")
+        columns.append(F.coalesce(entry["value"], aliased[field], F.lit("")).alias(column_name(field)))
+        origin = F.struct(F.lit(field).alias("field"), entry["source"].alias("source"), entry["confidence"].alias("confidence"))
+        origins.append(F.when(entry.isNotNull(), origin))
+    return entries.select(*kept, *columns, F.array_compact(F.array(*origins)).alias("origins"))
 
 
 def apply_mapping(rows: DataFrame, mappings: DataFrame, job: list[str], spread: list[str]) -> DataFrame:
@@ -96,29 +106,25 @@ def apply_mapping(rows: DataFrame, mappings: DataFrame, job: list[str], spread:
 
 
 def headers_by_field(mappings: str) -> Column:
-    """Mapping entries turned into a map from field to its headers, once per job."""
+    """Mapping entries turned into a map from field to its headers with their
+    confidence, once per job."""
 
     def entry(field: str) -> Column:
         mine = F.filter(mappings, lambda m: m["target"] == field)
-        return F.struct(F.lit(field), F.transform(mine, lambda m: m["source"]))
+        return F.struct(F.lit(field), F.transform(mine, lambda m: F.struct(m["source"].alias("source"), m["confidence"].cast("double").alias("confidence"))))
 
     return F.map_from_entries(F.array(*[entry(f) for f in FIELDS]))
 
 
+def answered_mapping(response: Column, headers: Column, targets: list[str] | None = None) -> Column:
+    """Mapping entries of a model's answer: those of its JSON object, none if that
+    does not parse, and every pair that contains one another if there is none."""
+    return F.coalesce(mapping_entries(response), substring_mapping(headers, targets))
+
+
 def row_mappings(rows: DataFrame, unit: list[str], data: str = "data") -> DataFrame:
     """One mapping per unit (an artifact of a job) from the headers of its rows.
     Distinct headers are gathered, not rows."""
     headers = rows.select(*unit, F.explode(F.map_keys(data)).alias("header")).distinct()
     gathered = headers.groupBy(*unit).agg(F.sort_array(F.collect_list("header")).alias("headers"))
     return suggest_mapping(gathered).drop("headers")
-
-
-def missing_to_sentinel(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            column_name(f): F.when(F.coalesce(F.col(column_name(f)), F.lit("")) == "", SENTINEL).otherwise(
-                F.col(column_name(f))
-            )
-            for f in FIELDS
-        }
-    )

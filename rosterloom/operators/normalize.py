@@ -160,8 +160,35 @@ def normalize_email_column(df: DataFrame, column: str = "email") -> DataFrame:
 
 
 def delta_table(df: DataFrame, key: list[str]) -> DataFrame:
-    """One row per change."""
-    return explode_rows(df.select(*key, "deltas"), "deltas", "d").select(*key, "d.*")
+    """One row per change.  Rows that know the ``origins`` of their fields also
+    tell whether a field was mapped, from which header and how surely."""
+    if "origins" not in df.columns:
+        return explode_rows(df.select(*key, "deltas"), "deltas", "d").select(*key, "d.*")
+    rows = explode_rows(df.select(*key, "deltas", "origins"), "deltas", "d")
+    origin = F.try_element_at(F.filter("origins", lambda o: o["field"] == F.col("d.field")), F.lit(1))
+    told = rows.withColumn("_origin", origin)
+    return told.select(
+        *key, "d.*", F.col("_origin").isNotNull().alias("mapped"),
+        F.col("_origin.source").alias("source_header"), F.col("_origin.confidence").alias("mapping_confidence"),
+    )
+
+
+def normalized_flag(df: DataFrame, data: str = "data") -> DataFrame:
+    """Add ``normalized`` and ``normalization_error``: a row without readable data
+    is kept with its error and holds up no other."""
+    reason = F.when(F.col(data).isNull(), "no data").when(F.size(data) == 0, "empty data")
+    return df.withColumns({"normalized": reason.isNull(), "normalization_error": reason})
+
+
+def normalization_outcome(df: DataFrame, job: list[str]) -> DataFrame:
+    """Rows of each job that could be normalized, and those that could not."""
+    counts = df.groupBy(*job).agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.count_if("normalized").alias("successful_normalizations"),
+        F.count_if(~F.col("normalized")).alias("failed_normalizations"),
+    )
+    note = F.format_string("Data normalization completed: %s/%s rows normalized", F.col("successful_normalizations").cast("string"), F.col("total_rows").cast("string"))
+    return counts.withColumn("note", note)
 
 
 def normalization_statistics(df: DataFrame, job: list[str]) -> DataFrame:

@@ -52,8 +52,9 @@ def parse_model_rows(response: Column) -> Column:
     return F.coalesce(F.array_compact(rows), F.array().cast("array<map<string,string>>"))
 
 
-def clean_model_rows(df: DataFrame, response: str = "response") -> DataFrame:
-    """Typed rows of each response; rows without any value are dropped."""
+def model_maps(df: DataFrame, response: str = "response", data: str = "data") -> DataFrame:
+    """The rows of each response as ``row_idx`` and a map of its known fields that
+    have a value; rows without any value are dropped."""
     known = F.array(*[F.lit(f) for f in FIELDS])
 
     def cleaned(row: Column) -> Column:
@@ -64,7 +65,12 @@ def clean_model_rows(df: DataFrame, response: str = "response") -> DataFrame:
 
     parsed = df.withColumn("_parsed", parse_model_rows(F.col(response))).drop(response)
     filled = F.filter(F.transform("_parsed", cleaned), lambda m: F.size(m) > 0)
-    rows = explode_rows(parsed.withColumn("_rows", filled).drop("_parsed"), "_rows", "_row", "row_idx")
+    return explode_rows(parsed.withColumn("_rows", filled).drop("_parsed"), "_rows", data, "row_idx")
+
+
+def clean_model_rows(df: DataFrame, response: str = "response") -> DataFrame:
+    """Typed rows of each response; rows without any value are dropped."""
+    rows = model_maps(df, response, "_row")
     typed = [F.try_element_at("_row", F.lit(f)).alias(column_name(f)) for f in FIELDS]
     return rows.select(
         *[c for c in rows.columns if c != "_row"],

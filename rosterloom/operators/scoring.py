@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rosterloom.functions import rewards
 from rosterloom.operators.responses import extract_json
@@ -95,3 +96,21 @@ def chat_samples(
 def shuffled(df: DataFrame, key: list[str], seed: int = 0) -> DataFrame:
     """Repeatable random order: a range-partitioned sort by a keyed hash."""
     return df.orderBy(F.xxhash64(F.lit(seed), *key), *key)
+
+
+def shuffle_places(df: DataFrame, key: list[str], seed: int = 0, digits: int = 4) -> DataFrame:
+    """Add ``place``, the row's number from 0 in a random order that depends on the
+    seed and the keys alone: that of a SHA-256 of both.
+
+    The order is cut into ``16 ** digits`` ranges by the hash's first digits.  Each
+    range is sorted for itself, and only one count per range goes through the
+    running sum, so there is no sort of all rows in one place.  Rows that repeat a
+    key follow each other."""
+    marked = df.withColumn("_mark", F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]), 256))
+    ranged = marked.withColumn("_range", F.substring("_mark", 1, digits))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_mark", *key)) - 1
+    numbered = ranged.withColumn("_inside", inside).join(starts, "_range")
+    return numbered.select(*df.columns, (F.col("_start") + F.col("_inside")).cast("bigint").alias("place"))

@@ -23,6 +23,8 @@ from rosterloom.schema import (
 )
 
 _SKIPPED = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+# A tag with its attributes; a quoted value may hold ">", and an open quote ends nothing.
+_TAG = r"""<(/?[A-Za-z][A-Za-z0-9]*+)\b[^<>"']*+(?:"[^"<]*+"[^<>"']*+|'[^'<]*+'[^<>"']*+)*+>"""
 _TABLE_TAG = r"(?i)(?=</?table\b)"
 _ROW_TAG = r"(?i)</?tr\b[^>]*>"
 _CELL_TAG = r"(?i)(?=<t[dh]\b)"
@@ -76,7 +78,7 @@ def _table_texts(html: Column) -> Column:
     """Content of each table in the order of their opening tags, without that of
     the tables inside it.  The text is cut at table tags only, and a stack of the
     open tables says whose piece each one is; an end tag may be missing."""
-    pieces = F.split(F.regexp_replace(html, _SKIPPED, ""), _TABLE_TAG)
+    pieces = F.split(F.regexp_replace(F.regexp_replace(html, _SKIPPED, ""), _TAG, "<$1>"), _TABLE_TAG)
     start = F.struct(
         F.lit(0).alias("seen"),
         F.array().cast("array<int>").alias("open"),

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterloom.functions.classify import attachment_type, body_type
 from rosterloom.operators import export as exports
+from rosterloom.operators import inference, known, responses, rollups
 from rosterloom.operators import jobs as job_rules
 from rosterloom.operators import versions as version_rules
 from rosterloom.operators.mapping import apply_mapping, row_mappings
@@ -19,7 +25,18 @@ from rosterloom.operators.tables import table_rows
 from rosterloom.operators.validate import issue_table, validate, validation_statistics
 from rosterloom.schema import FIELD_COLUMNS
 from rosterloom.sources import mail
-from rosterloom.sources.spreadsheets import read_csv_attachments, read_xlsx_attachments
+from rosterloom.sources.delimited import read_csv_attachments
+from rosterloom.sources.spreadsheets import read_xlsx_attachments
+
+
+ORIGINS = "array<struct<field:string,source:string,confidence:double>>"
+KEYS, KEY_PARTS = ["message_id", "hash"], 16
+COMMIT = "number bigint, batch string, own string, tables array<string>, whole boolean"
+
+
+def job_measures() -> dict[str, Column]:
+    """What the store counts of its jobs: their state, and the day they came in."""
+    return {"status": F.col("status"), "created_day": F.to_date("created_at")}
 
 
 def emails_of(parsed: DataFrame) -> DataFrame:
@@ -74,7 +91,7 @@ def extract(artifacts: DataFrame, **narrative_options) -> DataFrame:
     columns = [*key, "row_idx", "data", "confidence", "extraction_method"]
     rows = parts[0].select(*columns)
     for part in parts[1:]:
-        rows = rows.unionByName(part.select(*columns, *[c for c in ("read_error",) if c in part.columns]), allowMissingColumns=True)
+        rows = rows.unionByName(part.select(*columns, *[c for c in ("read_error", "line_no") if c in part.columns]), allowMissingColumns=True)
     return rows
 
 
@@ -89,37 +106,107 @@ def clean(rows: DataFrame, as_of: str, prefix: str = "") -> DataFrame:
     return validate(normalize(typed), as_of, prefix=prefix)
 
 
-#: Tables that every store has after its first batch.
-STORED = ("emails", "versions", "records", "issues", "deltas", "jobs", "audit_logs")
-
-
 @dataclass(frozen=True)
 class RosterStore:
-    """Append-only Parquet tables below one folder.
+    """Append-only Parquet tables below one folder, with a log of commits.
 
-    Every batch writes its own ``batch=`` partition and replaces it when it is
-    run again, so a batch that failed half-way can simply be repeated."""
+    Every try of a batch writes folders of its own, and one row in the log, written
+    last, makes all of them visible at once in place of the tables of an earlier try.
+    Readers see only what the log names, so a batch that failed half-way does not
+    exist and can simply be repeated.  A store has one writer at a time.
+
+    The log has one row per batch and is read on the driver; ``upto`` shows the
+    store as of a commit number."""
 
     spark: SparkSession
     path: str
-
-    def write(self, table: str, batch: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
+    upto: int | None = None
+    _open: dict[str, tuple[str, list[str]]] = field(default_factory=dict, compare=False, repr=False)
+
+    @contextmanager
+    def attempt(self, batch: str) -> Iterator[None]:
+        """All writes of a batch inside become visible together at the end."""
+        if batch in self._open:
+            yield
+            return
+        own, written = self._open[batch] = (f"t{uuid.uuid4().hex}", [])
+        try:
+            yield
+            self._commit(batch, own, written, whole=True)
+        finally:
+            del self._open[batch]
+
+    def write(self, table: str, batch: str, df: DataFrame, by: tuple[str, ...] = ()) -> None:
+        """Write a table of a batch, in folders by some columns if asked; visible
+        at once if no attempt is open."""
+        own, written = self._open.get(batch, (f"t{uuid.uuid4().hex}", []))
+        folder = f"{self.path}/{table}/batch={batch}/try={own}"
+        df.write.mode("overwrite").partitionBy(*by).parquet(folder)
+        if by and not self._has_files(folder):
+            return  # no rows, so no folders: the batch is without this table
+        written.append(table)
+        if batch not in self._open:
+            self._commit(batch, own, written, whole=False)
+
+    def _has_files(self, folder: str) -> bool:
+        try:
+            self.spark.read.parquet(folder)
+        except AnalysisException as problem:
+            if problem.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            return False
+        return True
+
+    def _commit(self, batch: str, own: str, written: list[str], whole: bool) -> None:
+        number = max((c.number for c in self.commits()), default=0) + 1
+        row = self.spark.createDataFrame([(number, batch, own, sorted(set(written)), whole)], COMMIT)
+        # A commit that broke off left no row, so its number is free.
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/commit={number}")
+
+    def commits(self) -> list:
+        """Rows of the log in their order."""
+        try:
+            rows = self.spark.read.schema(COMMIT).parquet(f"{self.path}/commits").select("number", "batch", "own", "tables", "whole").collect()
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        return sorted((r for r in rows if self.upto is None or r.number <= self.upto), key=lambda r: r.number)
+
+    def folders(self, table: str) -> dict[str, str]:
+        """The visible folder of each batch that has the table."""
+        found: dict[str, str] = {}
+        for commit in self.commits():
+            if commit.whole:
+                found.pop(commit.batch, None)
+            if table in commit.tables:
+                found[commit.batch] = f"{self.path}/{table}/batch={commit.batch}/try={commit.own}"
+        return found
+
+    def _rows(self, table: str, folders: Iterable[str]) -> DataFrame:
+        rows = self.spark.read.option("basePath", f"{self.path}/{table}").option("mergeSchema", False).parquet(*folders)
+        return rows.drop("try")
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.path}/{table}").option("mergeSchema", False).parquet(f"{self.path}/{table}")
+        folders = self.folders(table)
+        if not folders:
+            raise LookupError(f"the store has no table {table}")
+        return self._rows(table, folders.values())
 
     def batch(self, table: str, batch: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}/batch={batch}")
+        """A table of one batch, of the open attempt if that has written it."""
+        own, written = self._open.get(batch, ("", []))
+        folder = f"{self.path}/{table}/batch={batch}/try={own}" if table in written else self.folders(table)[batch]
+        return self.spark.read.parquet(folder)
 
     def earlier(self, table: str, batch: str) -> DataFrame | None:
         """Rows of all other batches; None before the first."""
-        try:
-            return self.read(table).where(~F.col("_metadata.file_path").contains(f"/batch={batch}/"))
-        except Exception as problem:
-            if "PATH_NOT_FOUND" in str(problem):
-                return None
-            raise
+        folders = [folder for name, folder in self.folders(table).items() if name != batch]
+        return self._rows(table, folders) if folders else None
+
+    def tables(self) -> list[str]:
+        names = {table for commit in self.commits() for table in commit.tables}
+        return sorted(table for table in names if self.folders(table))
 
     def jobs(self, batch: str | None = None) -> DataFrame:
         """Current state of each job, its newest entry; with ``batch`` the state
@@ -128,6 +215,11 @@ class RosterStore:
         newest = F.max(F.struct("seq", "status", "current_version_id", "version_no", "created_at", "updated_at")).alias("j")
         return log.groupBy("job_id").agg(newest).select("job_id", "j.*").drop("seq")
 
+    def jobs_in(self, batch: str) -> DataFrame:
+        """Newest entry of each job that a batch has written."""
+        newest = F.max(F.struct("seq", "status", "created_at")).alias("j")
+        return self.batch("jobs", batch).groupBy("job_id").agg(newest).select("job_id", "j.*")
+
     def log_jobs(self, batch: str, changed: DataFrame) -> None:
         """Append the new state of some jobs, behind all their earlier entries."""
         earlier = self.earlier("jobs", batch)
@@ -137,7 +229,15 @@ class RosterStore:
             last = earlier.join(changed.select("job_id"), "job_id", "left_semi").groupBy("job_id").agg(F.max("seq").alias("_seq"))
             numbered = changed.join(last, "job_id", "left").withColumn("seq", F.coalesce("_seq", F.lit(0)) + 1)
         columns = ["job_id", "status", "current_version_id", "version_no", "created_at", "updated_at", "seq"]
+        before = None if earlier is None else self.jobs(batch).join(changed.select("job_id"), "job_id", "left_semi")
         self.write("jobs", batch, numbered.select(*columns))
+        now = self.batch("jobs", batch)
+        self.write("rollups", batch, rollups.signed_changes(before, now, job_measures()))
+
+    def report(self, measure: str) -> DataFrame:
+        """``slot, n``: a measure of the jobs' current states, from the signed rows
+        that each batch has added."""
+        return rollups.rolled_up(self.read("rollups"), measure).select("slot", "n")
 
     def current_records(self, batch: str | None = None) -> DataFrame:
         """Rows of the version that each job points to."""
@@ -147,15 +247,35 @@ class RosterStore:
     def live(self, table: str) -> DataFrame:
         """A table without the jobs that have expired."""
         rows = self.read(table)
-        try:
-            gone = self.read("expired").select("job_id").distinct()
-        except Exception as problem:
-            if "PATH_NOT_FOUND" in str(problem):
-                return rows
-            raise
-        return rows.join(gone, "job_id", "left_anti")
+        if not self.folders("expired"):
+            return rows
+        gone = self.read("expired").select("job_id").distinct()
+        if "job_id" in rows.columns:
+            return salted_anti(rows, gone)
+        if "message_id" in rows.columns:
+            return salted_anti(rows.withColumn("job_id", mail.mail_key(F.col("message_id"))), gone).drop("job_id")
+        return rows
 
 
+def salted_anti(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of jobs that are not listed; a job may own most rows."""
+    spread = [c for c, kind in rows.dtypes if c != "job_id" and "map<" not in kind] or ["job_id"]
+    kept = salted_lookup(rows, gone.withColumn("_gone", F.lit(True)), ["job_id"], spread)
+    return kept.where("_gone IS NULL").select(*rows.columns)
+
+
+def whole_batch(step: Callable) -> Callable:
+    """The step's writes become visible together, or not at all."""
+
+    @functools.wraps(step)
+    def run(store: RosterStore, batch: str, *args, **options) -> None:
+        with store.attempt(batch):
+            step(store, batch, *args, **options)
+
+    return run
+
+
+@whole_batch
 def commit_version(
     store: RosterStore, batch: str, rows: DataFrame, author: str, reason: str, at: Column, jobs: DataFrame | None = None
 ) -> None:
@@ -183,7 +303,8 @@ def commit_version(
     committed = store.batch("versions", batch)
 
     named = salted_lookup(rows, committed.select("job_id", "version_id"), ["job_id"], ["row_idx"], how="inner")
-    store.write("records", batch, named.select("job_id", "version_id", "row_idx", *FIELD_COLUMNS, "issues", "deltas", "is_valid"))
+    origins = "origins" if "origins" in rows.columns else F.lit(None).cast(ORIGINS).alias("origins")
+    store.write("records", batch, named.select("job_id", "version_id", "row_idx", *FIELD_COLUMNS, "issues", "deltas", "is_valid", origins))
     stored = store.batch("records", batch)
     key = ["job_id", "version_id", "row_idx"]
     store.write("issues", batch, issue_table(stored, key))
@@ -201,34 +322,75 @@ def commit_version(
     store.write("audit_logs", batch, job_rules.audit_entry(jobs, "system", "version_created", at, after=after))
 
 
-def run_batch(store: RosterStore, batch: str, files: DataFrame, as_of: str, at: Column | None = None, **options) -> None:
+def _index_mails(store: RosterStore, batch: str) -> None:
+    """Store the keys of a batch's mails, and the bitmap that stands before them."""
+    keys = known.key_rows(store.batch("emails", batch), KEYS, "job_id", KEY_PARTS)
+    store.write("mail_keys", batch, keys, by=("part",))
+    store.write("mail_index", batch, known.key_index(keys))
+
+
+def _model_rows(store: RosterStore, batch: str, model: inference.Model) -> DataFrame:
+    """Rows from a model for the jobs that need assistance: an artifact without a
+    row, or no row at all.  Calls without an answer are told in
+    ``model_rejections``."""
+    artifacts, rows = store.batch("artifacts", batch), store.batch("extracted", batch).where("read_error IS NULL")
+    key = ["job_id", "artifact_idx"]
+    flags = responses.needs_assistance(artifacts.select(*key), rows.select(*key), ["job_id"], key)
+    asked = flags.where("needs_assistance").select("job_id")
+    files = artifacts.where((F.col("artifact_idx") > 0) & (F.col("document_type") == "PLAIN_TEXT"))
+    names = files.groupBy("job_id").agg(F.sort_array(F.collect_set("source")).alias("_names"))
+    bodies = artifacts.where("artifact_idx = 0").join(asked, "job_id", "left_semi").join(names, "job_id", "left")
+    plain = F.col("document_type") == "PLAIN_TEXT"
+    content = responses.prompt_text(F.when(plain, F.col("text")), F.when(~plain, F.col("text")), F.col("_names"), F.col("document_type"))
+    prompts = bodies.select("job_id", responses.user_prompt(content).alias("prompt"))
+    store.write("model_calls", batch, inference.infer(prompts, model))
+    good, dead = inference.split_answers(store.batch("model_calls", batch))
+    store.write("model_rejections", batch, dead.select("job_id", "attempts", "error"))
+    return responses.model_maps(good.select("job_id", "response")).select(
+        "job_id", F.lit(0).alias("artifact_idx"), "row_idx", "data", F.lit(0.9).alias("confidence"), F.lit("llm").alias("extraction_method")
+    )
+
+
+@whole_batch
+def run_batch(
+    store: RosterStore, batch: str, files: DataFrame, as_of: str, at: Column | None = None, model: inference.Model | None = None, **options
+) -> None:
     """Take in a set of files and store the resulting versions.
 
     Parsed mails are stored once; a mail whose message id or hash an earlier
     batch knows is left out.  Copies are dropped on their keys alone, before any
-    join, and the wide rows meet the chosen ones on their path, which is unique."""
+    join, and the wide rows meet the chosen ones on their path, which is unique.
+    With a ``model``, jobs that need assistance take its rows in place of the
+    rules' if it gives any."""
     at = F.lit(as_of).cast("timestamp") if at is None else at
     parsed = mail.parse_eml(mail.accepted_files(files))
     store.write("parsed", batch, parsed)
     taken, refused = mail.split_parsed(store.batch("parsed", batch))
     store.write("rejections", batch, refused.unionByName(mail.rejected_files(files).select("path", "reason")))
     fresh = emails_of(taken)
-    known = store.earlier("emails", batch)
-    if known is not None:
-        fresh = fresh.join(known.select("message_id"), "message_id", "left_anti")
-        fresh = fresh.join(known.select("hash"), "hash", "left_anti")
+    keys = store.earlier("mail_keys", batch)
+    if keys is not None:
+        index = known.merged_index(store.earlier("mail_index", batch))
+        met = known.find_known(fresh, "job_id", KEYS, keys, index, parts=KEY_PARTS)
+        fresh = fresh.join(met.select("job_id"), "job_id", "left_anti")
     store.write("emails", batch, fresh)
+    _index_mails(store, batch)
     first = taken.join(store.batch("emails", batch).select(F.col("raw_uri").alias("path")), "path", "left_semi")
     store.write("artifacts", batch, artifacts_of(first))
     store.write("extracted", batch, extract(store.batch("artifacts", batch), **options))
     extracted = store.batch("extracted", batch)
-    refused = extracted.where("read_error IS NOT NULL").select("job_id", "artifact_idx", F.col("read_error").alias("reason"))
+    refused = extracted.where("read_error IS NOT NULL").select("job_id", "artifact_idx", "line_no", F.col("read_error").alias("reason"))
     store.write("artifact_rejections", batch, refused)
-    store.write("rows", batch, clean(extracted.where("read_error IS NULL").drop("read_error"), as_of))
+    rows = extracted.where("read_error IS NULL").drop("read_error", "line_no")
+    if model is not None:
+        both = rows.withColumn("_by", F.lit("rule")).unionByName(_model_rows(store, batch, model).withColumn("_by", F.lit("model")))
+        rows = responses.prefer_source(both, ["job_id"], "_by", ["model", "rule"], ["artifact_idx", "row_idx"]).drop("_by")
+    store.write("rows", batch, clean(rows, as_of))
     jobs = store.batch("emails", batch)
     commit_version(store, batch, store.batch("rows", batch), "system", "Initial ingestion", at, jobs)
 
 
+@whole_batch
 def revalidate(store: RosterStore, batch: str, records: DataFrame, as_of: str, author: str, reason: str, at: Column) -> None:
     """New version from stored or edited records, with issues found anew."""
     bare = records.select("job_id", "row_idx", *FIELD_COLUMNS)
@@ -237,6 +399,7 @@ def revalidate(store: RosterStore, batch: str, records: DataFrame, as_of: str, a
     commit_version(store, batch, store.batch("rows", batch), author, reason, at)
 
 
+@whole_batch
 def edit_cells(store: RosterStore, batch: str, edits: DataFrame, as_of: str, at: Column, author: str = "user") -> None:
     """One new version for each job that ``edits(job_id, row_idx, field, value,
     seq)`` touch; the last edit of a cell counts.  Edits of rows that the current
@@ -256,6 +419,7 @@ def _log_changes(store: RosterStore, batch: str, jobs: DataFrame, audit: DataFra
     store.log_jobs(batch, jobs.join(store.batch("audit_logs", batch).select("job_id"), "job_id", "left_semi"))
 
 
+@whole_batch
 def roll_back(store: RosterStore, batch: str, requests: DataFrame, at: Column) -> None:
     """Point jobs to an earlier version of theirs; ``requests(job_id, version_id,
     seq)``.  No version is removed."""
@@ -265,6 +429,7 @@ def roll_back(store: RosterStore, batch: str, requests: DataFrame, at: Column) -
     _log_changes(store, batch, jobs.drop("version_no").join(numbers, "current_version_id"), audit)
 
 
+@whole_batch
 def fail_stuck(store: RosterStore, batch: str, as_of: Column, minutes: int = 3) -> None:
     """Fail jobs that were pending or processing for too long."""
     _log_changes(store, batch, *job_rules.fail_stuck(store.jobs(batch), as_of, minutes))
@@ -276,6 +441,7 @@ def version_diff(store: RosterStore, old: str, new: str) -> DataFrame:
     return version_rules.diff(rows(old), rows(new), ["row_idx"], FIELD_COLUMNS)
 
 
+@whole_batch
 def export_jobs(store: RosterStore, batch: str, at: Column, statuses: tuple[str, ...] = ("ready", "exported")) -> None:
     """Workbooks of the current versions of the jobs in some state, and their
     log.  The workbooks are built once, and their log is read off what was stored."""
@@ -290,16 +456,27 @@ def export_jobs(store: RosterStore, batch: str, at: Column, statuses: tuple[str,
     _log_changes(store, batch, marked.withColumns({"status": F.lit("exported"), "updated_at": at}), audit)
 
 
+@whole_batch
 def expire(store: RosterStore, batch: str, as_of: Column, days: int = 30) -> None:
     """List finished jobs last touched over ``days`` ago; ``live`` leaves them out
     of every table, and ``copy_live`` writes a store without them."""
     store.write("expired", batch, version_rules.expired_jobs(store.jobs(), as_of, days))
 
 
-def copy_live(store: RosterStore, target: RosterStore, batch: str, tables: tuple[str, ...] = STORED) -> None:
-    """All rows that have not expired, as one batch of another store."""
-    for table in tables:
-        target.write(table, batch, store.live(table).drop("batch"))
+#: Made anew from the copied tables.
+_DERIVED = ("rollups", "mail_keys", "mail_index")
+
+
+def copy_live(store: RosterStore, target: RosterStore, batch: str, tables: Sequence[str] | None = None) -> None:
+    """All rows that have not expired, of all tables, as one batch of another
+    store.  Files that were refused have no job and stay listed."""
+    with target.attempt(batch):
+        for table in store.tables() if tables is None else tables:
+            if table in _DERIVED:
+                continue
+            target.write(table, batch, store.live(table).drop("batch"))
+        target.write("rollups", batch, rollups.signed_changes(None, target.jobs_in(batch), job_measures()))
+        _index_mails(target, batch)
 
 
 def _delta_type() -> str:

@@ -163,8 +163,10 @@ TABLE_ROWS = (
 
 
 def schema_rows(spark, folder):
-    grids = mail(spark, folder).select("mail_id", F.try_element_at(tables.parse_tables(F.col("html")), F.lit(2))["grid"].alias("grid"))
-    return entries(tables.schema_rows(grids, VISION_FIELDS), ["mail_id"])
+    """Of every table of every mail."""
+    every = F.transform(tables.parse_tables(F.col("html")), lambda t: t["grid"])
+    grids = explode_rows(mail(spark, folder).select("mail_id", every.alias("_grids")), "_grids", "grid", "table_idx")
+    return entries(tables.schema_rows(grids, VISION_FIELDS), ["mail_id", "table_idx"])
 
 
 _FITS = lambda h, w: f"(contains(lower({h}), lower({w})) OR contains(lower({w}), lower({h})))"
@@ -172,9 +174,9 @@ SCHEMA_ROWS = (
     CELLS
     + ", wanted AS (SELECT unnest(["
     + ", ".join(q.lit(f) for f in VISION_FIELDS)
-    + "]) AS field), second AS (SELECT * FROM cells WHERE ti = 2)"
-    f", picks AS (SELECT mail_id, field, min(ci) AS ci FROM second, wanted WHERE ri = 1 AND {_FITS('cell', 'field')} GROUP BY ALL)"
-    " SELECT s.mail_id, s.ri - 2 AS row_idx, field, cell AS value FROM second s JOIN picks p ON s.mail_id = p.mail_id AND s.ci = p.ci WHERE ri > 1 AND cell <> ''"
+    + "]) AS field)"
+    f", picks AS (SELECT mail_id, ti, field, min(ci) AS ci FROM cells, wanted WHERE ri = 1 AND {_FITS('cell', 'field')} GROUP BY ALL)"
+    " SELECT s.mail_id, s.ti - 1 AS table_idx, s.ri - 2 AS row_idx, field, cell AS value FROM cells s JOIN picks p ON s.mail_id = p.mail_id AND s.ti = p.ti AND s.ci = p.ci WHERE ri > 1 AND cell <> ''"
 )
 
 
@@ -233,7 +235,7 @@ def page_statistics(spark, folder):
     talk = read(spark, folder, "conversations")
     pages = talk.select(F.col("conv_id").alias("doc"), (F.col("turn") + 1).alias("page"), "text")
     kinds = tables.page_kind(pages, ["doc"])
-    return tables.page_statistics(kinds, talk.where("role = 'assistant'"), talk.where("role = 'system'"))
+    return tables.page_statistics(kinds, talk.where("role <> 'system'"), talk.where("role = 'system'"))
 
 
 PAGE_KINDS = (
@@ -390,11 +392,17 @@ def transaction_types(spark, folder):
 
 
 # --- model text ---------------------------------------------------------------------
-def prompts(spark, folder):
+def prompts_of(spark, folder):
+    """The prompt of each page, in full."""
     pages = read(spark, folder, "pages")
     names = F.when(F.col("page_id") % 2 == 0, F.array(F.lit("a.txt"), F.lit("b.txt")))
-    prompt = responses.prompt_text(F.col("url"), F.col("html"), names, F.lit("HTML_TABLE"))
-    return pages.select("page_id", F.sha2(responses.user_prompt(prompt), 256).alias("prompt_hash"), F.length(prompt).alias("size"))
+    content = responses.prompt_text(F.col("url"), F.col("html"), names, F.lit("HTML_TABLE"))
+    return pages.select("page_id", responses.user_prompt(content).alias("prompt"))
+
+
+def prompts(spark, folder):
+    around = sum(map(len, responses.REQUEST))
+    return prompts_of(spark, folder).select("page_id", F.sha2("prompt", 256).alias("prompt_hash"), (F.length("prompt") - around).alias("size"))
 
 
 _BARE = q.strip("regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')")
@@ -467,7 +475,7 @@ def extraction_statistics(spark, folder):
 
 def assistance(spark, folder):
     artifacts = relation(spark, folder, "attachment").select(F.col("mail_id").alias("job_id"), F.col("attachment_id").alias("artifact_id"))
-    rows = read(spark, folder, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("artifact_id"))
+    rows = read(spark, folder, "lineitem").select((F.col("l_partkey") * 2).alias("artifact_id"))
     flags = responses.needs_assistance(artifacts, rows, ["job_id"], ["artifact_id"])
     routed = classification.route(flags.withColumn("needs_review", F.col("total_rows") % 2 == 0))
     return routed.select("job_id", "needs_assistance", "total_rows", "after_extraction", "after_validation")
@@ -526,7 +534,7 @@ QUERIES = [
         "page_statistics",
         page_statistics,
         f"WITH k AS ({PAGE_KINDS}) SELECT count(*) AS pdfs_processed, count(*) FILTER (document_type = 'PDF_NATIVE') AS native_pdfs,"
-        " count(*) FILTER (document_type = 'PDF_SCANNED') AS scanned_pdfs, (SELECT count(*) FROM conversations WHERE role = 'assistant') AS rows_extracted,"
+        " count(*) FILTER (document_type = 'PDF_SCANNED') AS scanned_pdfs, (SELECT count(*) FROM conversations WHERE role <> 'system') AS rows_extracted,"
         " (SELECT count(*) FROM conversations WHERE role = 'system') AS vlm_pages FROM k",
     ),
     (
@@ -623,7 +631,7 @@ QUERIES = [
         "assistance_routes",
         assistance,
         with_relations("attachment")
-        + ", c AS (SELECT l_partkey AS a, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)"
+        + ", c AS (SELECT l_partkey * 2 AS a, count(*) AS n FROM lineitem GROUP BY 1)"
         ", f AS (SELECT mail_id AS job_id, bool_or(n IS NULL) AS needs_assistance, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_rows FROM attachment_t LEFT JOIN c ON a = attachment_id GROUP BY 1)"
         " SELECT *, CASE WHEN needs_assistance THEN 'assist' ELSE 'normalize' END AS after_extraction, CASE WHEN total_rows % 2 = 0 THEN 'review' ELSE 'version' END AS after_validation FROM f",
     ),

@@ -32,12 +32,14 @@ def mail_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mail_file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1_000) -> DataFrame:
-    """The same as a stream of arriving files."""
+    """The same as a stream of arriving files.  Files of any age are taken: by
+    default the source passes over those much older than the newest."""
     return (
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_trigger)
+        .option("maxFileAge", "36500d")
         .load(path)
     )
 

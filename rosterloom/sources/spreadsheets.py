@@ -1,4 +1,4 @@
-"""Workbooks and CSV attachments.
+"""Workbooks.
 
 A workbook is a ZIP of XML parts; the helpers read and write the few parts a
 roster needs.  They run inside tasks, one attachment at a time.
@@ -6,7 +6,6 @@ roster needs.  They run inside tasks, one attachment at a time.
 
 from __future__ import annotations
 
-import csv
 import io
 import re
 import zipfile
@@ -193,33 +192,6 @@ def workbook_rows(
             errors.append(f"Unreadable workbook: {problem}")
 
 
-def csv_rows(content: bytes, errors: list[str] | None = None) -> Iterator[tuple[int, dict[str, str], None]]:
-    """Data rows of a CSV file; UTF-8 first, then Latin-1, which takes any byte.
-    Values stay text, so identifiers keep their zeros.  A line with too many
-    cells is left out and told in ``errors``; all others are kept."""
-    told = [] if errors is None else errors
-    try:
-        text = content.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        text = content.decode("latin-1")
-    csv.field_size_limit(1 << 30)
-    lines = (cells for cells in csv.reader(io.StringIO(text, newline="")) if cells)
-    header = next(lines, None)
-    if header is None:
-        told.append("Unreadable CSV: no header")
-        return
-    names = _named(header, len(header))
-    index = 0
-    for cells in lines:
-        if len(cells) > len(names):
-            told.append(f"Line with {len(cells)} cells: {','.join(cells)[:200]}")
-            continue
-        data = {name: value for name, value in zip(names, cells) if value not in MISSING}
-        if data:
-            yield index, data, None
-        index += 1
-
-
 def _batched(rows, keys, size: int = 5_000):
     """Output frames of bounded size, whatever one attachment holds."""
     buffer = []
@@ -257,7 +229,3 @@ def _read_attachments(df: DataFrame, content: str, reader, method: str) -> DataF
 def read_xlsx_attachments(df: DataFrame, content: str = "content") -> DataFrame:
     """Rows of workbooks, one file per call of the reader, spread over tasks."""
     return _read_attachments(df, content, workbook_rows, "xlsx")
-
-
-def read_csv_attachments(df: DataFrame, content: str = "content") -> DataFrame:
-    return _read_attachments(df, content, csv_rows, "csv")

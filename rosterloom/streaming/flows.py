@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rosterloom.operators.skew import keep_first
 from rosterloom.plans.process import RosterStore, run_batch
 from rosterloom.sources import mail
+from rosterloom.streaming.state import mark_arrivals
 
 
 def stream_parsed_mail(spark, path: str, files_per_trigger: int = 1_000) -> DataFrame:
@@ -20,11 +22,15 @@ def stream_parsed_mail(spark, path: str, files_per_trigger: int = 1_000) -> Data
     return mail.parse_eml(mail.accepted_files(files))
 
 
-def drop_repeated_mail(parsed: DataFrame, delay: str = "7 days") -> DataFrame:
-    """First mail of each message id within the delay; older state is dropped."""
+def drop_repeated_mail(parsed: DataFrame, keep_days: float = 7) -> DataFrame:
+    """First mail of each message id.
+
+    Of stored mails that is the earliest one.  A stream gives narrow rows marked
+    ``first`` or ``late``, as ``state.mark_arrivals`` does, without the repeats;
+    the late ones are for ``state.settle``."""
     if not parsed.isStreaming:
-        return parsed.dropDuplicates(["message_id"])
-    return parsed.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["message_id"])
+        return keep_first(parsed, ["message_id"], ["received_at", "path"])
+    return mark_arrivals(parsed, keep_days).where("arrival <> 'repeat'")
 
 
 def _marked(events: DataFrame, delay: str) -> DataFrame:

@@ -12,7 +12,8 @@ from rosterloom.plans import process
 from rosterloom.plans.process import RosterStore, revalidate, run_batch
 from rosterloom.schema import FIELD_COLUMNS, column_name
 from rosterloom.sources import mail
-from rosterloom.sources.spreadsheets import csv_rows, read_workbook, workbook_rows, write_workbook
+from rosterloom.sources.delimited import read_csv_attachments
+from rosterloom.sources.spreadsheets import read_workbook, workbook_rows, write_workbook
 
 TABLE = """<html><table><tr><td>Provider Name:</td><td>NPI#:</td><td>Term Date:</td><td>Reason</td></tr>
 <tr><td>dr. ann o'lee</td><td>123-456-7897</td><td>8/1/2025</td><td>retired</td></tr>
@@ -84,14 +85,27 @@ def test_bodies_and_attachments(spark, folder):
     assert all(p.size == len(p.content) and len(p.checksum) == 64 for p in parts)
 
 
-def test_csv_reader():
+@pytest.fixture(scope="module")
+def csv_rows(spark):
+    """Rows of one CSV file in their order; what is refused goes to ``errors``."""
+
+    def read(content, errors=None):
+        found = read_csv_attachments(spark.createDataFrame([(bytearray(content),)], "content binary")).collect()
+        if errors is not None:
+            errors += [r.read_error for r in found if r.read_error]
+        return [(r.row_idx, r.data, r.sheet) for r in sorted(found, key=lambda r: r.row_idx) if not r.read_error]
+
+    return read
+
+
+def test_csv_reader(csv_rows):
     rows = list(csv_rows("A,B\n01,é\n,\n2,NA\n".encode("latin-1")))
     assert rows == [(0, {"A": "01", "B": "é"}, None), (2, {"A": "2"}, None)]
     assert list(csv_rows(b"")) == []
 
 
 @pytest.mark.parametrize("before", [10, 12_000, 50_000])
-def test_csv_reader_keeps_all_good_rows(before):
+def test_csv_reader_keeps_all_good_rows(before, csv_rows):
     errors = []
     lines = [f"{i},x" for i in range(before)] + ["1,2,3"] + ["7,y"] * 500
     rows = list(csv_rows("\n".join(["A,B", *lines]).encode(), errors))
