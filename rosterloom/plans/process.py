@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -31,7 +31,7 @@ from rosterloom.sources.spreadsheets import read_xlsx_attachments
 
 ORIGINS = "array<struct<field:string,source:string,confidence:double>>"
 KEYS, KEY_PARTS = ["message_id", "hash"], 16
-COMMIT = "number bigint, batch string, own string, tables array<string>, whole boolean"
+COMMIT = "number bigint, batch string, own string, tables array<string>, whole boolean, buckets array<int>"
 
 
 def job_measures() -> dict[str, Column]:
@@ -116,11 +116,14 @@ class RosterStore:
     exist and can simply be repeated.  A store has one writer at a time.
 
     The log has one row per batch and is read on the driver; ``upto`` shows the
-    store as of a commit number."""
+    store as of a commit number.  With ``buckets`` the tables that know their job
+    lie in that many folders by its hash, which ``compact`` can rewrite one by one;
+    a store keeps the number it was begun with."""
 
     spark: SparkSession
     path: str
     upto: int | None = None
+    buckets: int = 0
     _open: dict[str, tuple[str, list[str]]] = field(default_factory=dict, compare=False, repr=False)
 
     @contextmanager
@@ -140,14 +143,27 @@ class RosterStore:
         """Write a table of a batch, in folders by some columns if asked; visible
         at once if no attempt is open."""
         own, written = self._open.get(batch, (f"t{uuid.uuid4().hex}", []))
-        folder = f"{self.path}/{table}/batch={batch}/try={own}"
-        df.write.mode("overwrite").partitionBy(*by).parquet(folder)
-        if by and not self._has_files(folder):
-            return  # no rows, so no folders: the batch is without this table
+        folder = self.folder(table, batch, own)
+        if self.buckets and not by and "job_id" in df.columns:
+            self._write_buckets(folder, df)
+        else:
+            df.write.mode("overwrite").partitionBy(*by).parquet(folder)
+            if by and not self._has_files(folder):
+                return  # no rows, so no folders: the batch is without this table
         written.append(table)
         if batch not in self._open:
             self._commit(batch, own, written, whole=False)
 
+    def folder(self, table: str, batch: str, own: str) -> str:
+        return f"{self.path}/{table}/batch={batch}/try={own}"
+
+    def _write_buckets(self, folder: str, df: DataFrame) -> None:
+        """One folder per bucket; AQE cuts a bucket that one job fills."""
+        placed = df.withColumn("job_bucket", bucket_of(F.col("job_id"), self.buckets)).hint("rebalance", "job_bucket")
+        placed.write.mode("overwrite").partitionBy("job_bucket").parquet(folder)
+        if not self._has_files(folder):
+            df.limit(0).write.mode("overwrite").parquet(f"{folder}/job_bucket=0")
+
     def _has_files(self, folder: str) -> bool:
         try:
             self.spark.read.parquet(folder)
@@ -157,56 +173,80 @@ class RosterStore:
             return False
         return True
 
-    def _commit(self, batch: str, own: str, written: list[str], whole: bool) -> None:
+    def _commit(self, batch: str, own: str, written: list[str], whole: bool, buckets: list[int] | None = None) -> None:
         number = max((c.number for c in self.commits()), default=0) + 1
-        row = self.spark.createDataFrame([(number, batch, own, sorted(set(written)), whole)], COMMIT)
+        row = self.spark.createDataFrame([(number, batch, own, sorted(set(written)), whole, buckets)], COMMIT)
         # A commit that broke off left no row, so its number is free.
         row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/commit={number}")
 
     def commits(self) -> list:
         """Rows of the log in their order."""
         try:
-            rows = self.spark.read.schema(COMMIT).parquet(f"{self.path}/commits").select("number", "batch", "own", "tables", "whole").collect()
+            rows = self.spark.read.schema(COMMIT).parquet(f"{self.path}/commits").drop("commit").collect()
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
             return []
         return sorted((r for r in rows if self.upto is None or r.number <= self.upto), key=lambda r: r.number)
 
-    def folders(self, table: str) -> dict[str, str]:
-        """The visible folder of each batch that has the table."""
-        found: dict[str, str] = {}
+    def tries(self, table: str) -> dict[str, dict[str, set[int]]]:
+        """The visible tries of each batch that has the table, with the buckets
+        that a later one has taken over."""
+        found: dict[str, dict[str, set[int]]] = {}
         for commit in self.commits():
             if commit.whole:
                 found.pop(commit.batch, None)
             if table in commit.tables:
-                found[commit.batch] = f"{self.path}/{table}/batch={commit.batch}/try={commit.own}"
-        return found
-
-    def _rows(self, table: str, folders: Iterable[str]) -> DataFrame:
+                if commit.buckets is None:
+                    found[commit.batch] = {}
+                for replaced in found[commit.batch].values():
+                    replaced |= set(commit.buckets or ())
+                if commit.own:
+                    found[commit.batch][commit.own] = set()
+        return {batch: tries for batch, tries in found.items() if tries}
+
+    def _rows(self, table: str, tries: dict[str, dict[str, set[int]]]) -> DataFrame:
+        folders = [self.folder(table, batch, own) for batch, owns in tries.items() for own in owns]
         rows = self.spark.read.option("basePath", f"{self.path}/{table}").option("mergeSchema", False).parquet(*folders)
-        return rows.drop("try")
+        for owns in tries.values():
+            for own, replaced in owns.items():
+                if replaced:
+                    rows = rows.where(~((F.col("try") == own) & F.col("job_bucket").isin(*sorted(replaced))))
+        return rows.drop("try", "job_bucket")
 
     def read(self, table: str) -> DataFrame:
-        folders = self.folders(table)
-        if not folders:
+        tries = self.tries(table)
+        if not tries:
             raise LookupError(f"the store has no table {table}")
-        return self._rows(table, folders.values())
+        return self._rows(table, tries)
 
     def batch(self, table: str, batch: str) -> DataFrame:
         """A table of one batch, of the open attempt if that has written it."""
         own, written = self._open.get(batch, ("", []))
-        folder = f"{self.path}/{table}/batch={batch}/try={own}" if table in written else self.folders(table)[batch]
-        return self.spark.read.parquet(folder)
+        if table in written:
+            return self.spark.read.parquet(self.folder(table, batch, own)).drop("job_bucket")
+        return self._rows(table, {batch: self.tries(table)[batch]}).drop("batch")
 
     def earlier(self, table: str, batch: str) -> DataFrame | None:
         """Rows of all other batches; None before the first."""
-        folders = [folder for name, folder in self.folders(table).items() if name != batch]
-        return self._rows(table, folders) if folders else None
+        tries = {name: owns for name, owns in self.tries(table).items() if name != batch}
+        return self._rows(table, tries) if tries else None
+
+    def bucket_rows(self, table: str, batch: str, own: str, buckets: list[int]) -> DataFrame | None:
+        """Rows of some buckets of a try, read from their folders alone; None if it
+        has none of them."""
+        folder = self.folder(table, batch, own)
+        try:
+            rows = self.spark.read.option("basePath", folder).parquet(f"{folder}/job_bucket={{{','.join(map(str, buckets))}}}")
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return rows.drop("job_bucket")
 
     def tables(self) -> list[str]:
         names = {table for commit in self.commits() for table in commit.tables}
-        return sorted(table for table in names if self.folders(table))
+        return sorted(table for table in names if self.tries(table))
 
     def jobs(self, batch: str | None = None) -> DataFrame:
         """Current state of each job, its newest entry; with ``batch`` the state
@@ -247,7 +287,7 @@ class RosterStore:
     def live(self, table: str) -> DataFrame:
         """A table without the jobs that have expired."""
         rows = self.read(table)
-        if not self.folders("expired"):
+        if not self.tries("expired"):
             return rows
         gone = self.read("expired").select("job_id").distinct()
         if "job_id" in rows.columns:
@@ -463,6 +503,42 @@ def expire(store: RosterStore, batch: str, as_of: Column, days: int = 30) -> Non
     store.write("expired", batch, version_rules.expired_jobs(store.jobs(), as_of, days))
 
 
+def bucket_of(job_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(job_id), F.lit(buckets)).cast("int")
+
+
+def compact(store: RosterStore, batch: str) -> list[int]:
+    """Rewrite the buckets that hold expired jobs without them, in every batch and
+    table, and take these jobs out of the reports; gives the buckets.
+
+    Other buckets are neither read nor written.  Each table of a batch changes at
+    once, by a commit of its own; until then, and if a step fails, ``live`` leaves
+    the expired jobs out.  The replaced files stay for snapshots of the past."""
+    if not store.buckets:
+        raise ValueError("the store has no buckets")
+    gone = store.read("expired").select("job_id").distinct()
+    touched = sorted(r.b for r in gone.select(bucket_of(F.col("job_id"), store.buckets).alias("b")).distinct().collect())
+    if not touched:
+        return []
+    leaving = store.jobs().join(gone, "job_id", "left_semi")
+    store.write("rollups", batch, rollups.signed_changes(leaving, leaving.limit(0), job_measures()))
+    for table in store.tables():
+        if table == "expired":  # the tombstones themselves
+            continue
+        for name, owns in store.tries(table).items():
+            for own, replaced in owns.items():
+                wanted = [b for b in touched if b not in replaced]
+                rows = store.bucket_rows(table, name, own, wanted) if wanted else None
+                if rows is None:
+                    continue
+                fresh = f"t{uuid.uuid4().hex}"
+                folder = store.folder(table, name, fresh)
+                kept = salted_anti(rows, gone).withColumn("job_bucket", bucket_of(F.col("job_id"), store.buckets))
+                kept.hint("rebalance", "job_bucket").write.mode("overwrite").partitionBy("job_bucket").parquet(folder)
+                store._commit(name, fresh if store._has_files(folder) else "", [table], whole=False, buckets=wanted)
+    return touched
+
+
 #: Made anew from the copied tables.
 _DERIVED = ("rollups", "mail_keys", "mail_index")
 

@@ -257,3 +257,44 @@ def test_index_never_misses_a_known_key(spark):
     assert found == wanted
     none = known.possible(new, ["a"], known.key_index(keys.where("false"))).where("_possible").count()
     assert none == 0
+
+
+def test_compaction_rewrites_touched_buckets_only(spark, inbox, tmp_path, monkeypatch):
+    from rosterloom.plans import process
+
+    store = RosterStore(spark, str(tmp_path / "s"), buckets=4)
+    files = mail.mail_files(spark, inbox)
+    run_batch(store, "b1", files, "2025-06-01")
+    run_batch(store, "b2", files, "2025-06-02")  # nothing new: tables without rows
+    assert process.compact.__doc__ and store.batch("records", "b2").count() == 0
+    job = store.read("emails").where("message_id = '<a@x>'").first().job_id
+    other = store.read("emails").where("message_id = '<b@x>'").first().job_id
+    store.log_jobs("z1", store.jobs().where(F.col("job_id") == job).withColumn("status", F.lit("ready")))
+    process.expire(store, "d1", F.lit("2025-09-01").cast("timestamp"))
+    assert [r.job_id for r in store.read("expired").collect()] in ([job], [job, other], [other, job])
+    gone = {r.job_id for r in store.read("expired").collect()}
+    shown = lambda df: sorted(map(repr, df.select(*sorted(c for c in df.columns if c != "batch")).collect()))
+    tables = [t for t in store.tables() if t not in ("expired", "rollups")]
+    wanted = {t: shown(store.live(t)) for t in tables if "job_id" in store.read(t).columns}
+    old = RosterStore(spark, store.path, upto=max(c.number for c in store.commits()), buckets=4)
+    before = shown(old.read("records"))
+
+    read, opened = RosterStore.bucket_rows, []
+
+    def watched(self, table, batch, own, buckets):
+        rows = read(self, table, batch, own, buckets)
+        opened.extend(rows.inputFiles() if rows is not None else [])
+        return rows
+
+    monkeypatch.setattr(RosterStore, "bucket_rows", watched)
+    touched = process.compact(store, "c1")
+    assert 1 <= len(touched) <= len(gone)
+    assert opened and all(any(f"job_bucket={b}/" in path for b in touched) for path in opened)
+    for table, rows in wanted.items():
+        if table != "jobs":
+            assert shown(store.read(table)) == rows, table
+    assert not gone & {r.job_id for r in store.jobs().collect()}
+    counted = {(r.status, r["count"]) for r in store.jobs().groupBy("status").count().collect()}
+    assert {(r.slot, r.n) for r in store.report("status").collect()} == counted
+    assert shown(old.read("records")) == before  # a snapshot of the past still has them
+    assert process.compact(store, "c2") == touched and shown(store.read("records")) == wanted["records"]
