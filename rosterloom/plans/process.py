@@ -17,6 +17,7 @@ from rosterloom.operators import export as exports
 from rosterloom.operators import inference, known, responses, rollups
 from rosterloom.operators import jobs as job_rules
 from rosterloom.operators import versions as version_rules
+from rosterloom.operators.classification import route
 from rosterloom.operators.mapping import apply_mapping, row_mappings
 from rosterloom.operators.narrative import text_rows
 from rosterloom.operators.normalize import delta_table, normalize
@@ -428,14 +429,32 @@ def run_batch(
     store.write("rows", batch, clean(rows, as_of))
     jobs = store.batch("emails", batch)
     commit_version(store, batch, store.batch("rows", batch), "system", "Initial ingestion", at, jobs)
+    store.write("routes", batch, _routes(store, batch))
+
+
+def _routes(store: RosterStore, batch: str) -> DataFrame:
+    """Which way each job of a batch goes: to assistance if the rules left an
+    artifact or the job without rows, to review if its rows have errors."""
+    key = ["job_id", "artifact_idx"]
+    rows = store.batch("extracted", batch).where("read_error IS NULL").select(*key)
+    flags = responses.needs_assistance(store.batch("artifacts", batch).select(*key), rows, ["job_id"], key)
+    states = store.batch("jobs", batch).select("job_id", (F.col("status") == "needs_review").alias("needs_review"))
+    return route(states.join(flags, "job_id", "left").withColumn("needs_assistance", F.coalesce("needs_assistance", F.lit(True))))
+
+
+def resumed(records: DataFrame, as_of: str, prefix: str = "") -> DataFrame:
+    """Stored or edited rows taken up again from validation on: typed values as
+    they are, issues found anew, no changes to log."""
+    bare = records.select("job_id", "row_idx", *FIELD_COLUMNS)
+    return validate(bare, as_of, prefix=prefix).withColumn("deltas", F.array().cast("array<" + _delta_type() + ">"))
 
 
 @whole_batch
-def revalidate(store: RosterStore, batch: str, records: DataFrame, as_of: str, author: str, reason: str, at: Column) -> None:
+def revalidate(
+    store: RosterStore, batch: str, records: DataFrame, as_of: str, author: str, reason: str, at: Column, prefix: str = ""
+) -> None:
     """New version from stored or edited records, with issues found anew."""
-    bare = records.select("job_id", "row_idx", *FIELD_COLUMNS)
-    checked = validate(bare, as_of).withColumn("deltas", F.array().cast("array<" + _delta_type() + ">"))
-    store.write("rows", batch, checked)
+    store.write("rows", batch, resumed(records, as_of, prefix))
     commit_version(store, batch, store.batch("rows", batch), author, reason, at)
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterloom.functions import dates, text
-from rosterloom.operators import classification, inference, known, normalize, responses, rollups, rules, scoring, tables
+from rosterloom.operators import classification, inference, known, normalize, responses, rollups, rules, scoring, tables, validate
 from rosterloom.operators.mapping import answered_mapping
 from rosterloom.operators.skew import explode_rows
 from rosterloom.operators.tables import clean_header
 from rosterloom.plans import twins as q
 from rosterloom.plans.derive import read, relation, with_relations
-from rosterloom.plans.process import RosterStore, run_batch
+from rosterloom.plans.process import RosterStore, resumed, run_batch
 from rosterloom.plans.queries_extract import _CLEAN, _PROMPT, KINDS, prompts_of
 from rosterloom.schema import FIELDS, column_name
 from rosterloom.session import ensure_checkpoint_dir
@@ -282,6 +282,19 @@ def flow_deltas(spark, folder):
     )
 
 
+def flow_routes(spark, folder):
+    found = _named(flow_store(spark, folder), "routes")
+    return found.select("message_id", "needs_assistance", "total_rows", "after_extraction", "after_validation")
+
+
+def resumed_issues(spark, folder):
+    """The flow's rows validated anew under the published identifier prefix."""
+    store = flow_store(spark, folder)
+    rows = resumed(store.current_records(), "2025-06-01", prefix="80840")
+    found = validate.issue_table(rows, ["job_id", "row_idx"]).join(store.read("emails").select("job_id", "message_id"), "job_id")
+    return found.where("field = 'Provider NPI'").select("message_id", "row_idx", "level", "message")
+
+
 # --- mapping answers, outcomes, parameters, wide rows, files --------------------------------
 def mapping_answers(spark, folder):
     headers = relation(spark, folder, "header")
@@ -412,6 +425,18 @@ QUERIES = [
         f" UNION ALL SELECT message_id, row_idx, 'Provider NPI', 'normalized', 'Provider NPI' FROM r WHERE NOT {q.luhn('npi')})"
         " SELECT message_id, row_idx, field, change_type, true AS mapped, header AS source_header, 1.0::DOUBLE AS mapping_confidence FROM d",
     ),
+    (
+        "flow_routes",
+        flow_routes,
+        FLOW + "SELECT message_id, false AS needs_assistance, (SELECT count(*) FROM r WHERE r.message_id = j.message_id) AS total_rows, 'normalize' AS after_extraction,"
+        " CASE WHEN EXISTS (SELECT 1 FROM i WHERE i.message_id = j.message_id AND level = 'error') THEN 'review' ELSE 'version' END AS after_validation FROM j",
+    ),
+    (
+        "resumed_issues",
+        resumed_issues,
+        FLOW + "SELECT message_id, row_idx, 'error' AS level, 'Invalid NPI format: ' || npi || ' (must be 10 digits)' AS message FROM r WHERE NOT regexp_full_match(npi, '[0-9]{10}')"
+        f" UNION ALL SELECT message_id, row_idx, 'warning', 'NPI checksum validation failed: ' || npi FROM r WHERE regexp_full_match(npi, '[0-9]{{10}}') AND NOT {q.luhn('npi', '80840')}",
+    ),
     (
         "mapping_answers",
         mapping_answers,

@@ -6,6 +6,8 @@ matter to the latter.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -86,13 +88,20 @@ def silent_jobs(events: DataFrame, minutes: int = 3, delay: str = "10 minutes")
     )
 
 
-def process_arrivals(store: RosterStore, source: str, checkpoint: str, as_of: str, files_per_trigger: int = 1_000) -> StreamingQuery:
+def process_arrivals(
+    store: RosterStore, source: str, checkpoint: str, as_of: str | None = None, files_per_trigger: int = 1_000, every: str | None = None
+) -> StreamingQuery:
     """Run the whole flow for each micro-batch of arriving mails.
 
-    A micro-batch that is tried again writes the same ``batch=`` partitions."""
+    What has arrived is worked off once, or, with ``every`` (such as ``1 minute``),
+    again and again until the query is stopped.  Without ``as_of`` each micro-batch
+    is validated as of its own day.  A micro-batch that is tried again replaces
+    what its first try has written."""
     files = mail.mail_file_stream(store.spark, source, files_per_trigger)
 
     def handle(batch: DataFrame, number: int) -> None:
-        run_batch(store, f"stream-{number:08d}", batch, as_of)
+        today = datetime.now(timezone.utc).date().isoformat() if as_of is None else as_of
+        run_batch(store, f"stream-{number:08d}", batch, today)
 
-    return files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**trigger).start()
