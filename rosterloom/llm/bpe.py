@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.llm.common import code, map_rows
+from rosterloom.llm.common import Recent, code, map_rows
 
 FILE = "word_bpe_49k.json"
-MAX_WORDS = 300_000
+MAX_WORDS = 250_000
 
 
 class Word(NamedTuple):
@@ -53,88 +53,79 @@ class Codec:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
-        self.end = model["end_of_word_suffix"] or ""
-        self.letters = byte_letters()
+        vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
+        self.strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
+        self.bits = max(self.strings).bit_length()
+        #: Two neighbouring ids, in one number, to the rank of their merge and the new id.
+        self.merges: dict[int, int] = {}
+        for rank, merge in enumerate(model["merges"]):
+            left, right = merge.split(" ") if isinstance(merge, str) else merge
+            self.merges.setdefault(vocab[left] << self.bits | vocab[right], rank << self.bits | vocab[left + right])
+        end = model["end_of_word_suffix"] or ""
+        self.letters = [vocab.get(letter) for letter in byte_letters()]
+        self.last_letters = [vocab.get(letter + end) for letter in byte_letters()]
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         splitter = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words_of = regex.compile(splitter["pattern"]["Regex"]).findall
-        self.cache: dict[str, Word] = {}
-        self.chunks: dict[str, Word] = {}
-
-    def merge(self, symbols: list[str]) -> list[str]:
-        """Apply the merges to one word's symbols.  A queue entry is a rank and
-        a place; it is stale if the pair at that place has another rank by now."""
-        n = len(symbols)
-        rank_of = self.ranks.get
-        rank = [rank_of(pair, -1) for pair in zip(symbols, symbols[1:])]
-        queue = [r << 32 | i for i, r in enumerate(rank) if r >= 0]
+        self.words = Recent(self.word, MAX_WORDS)
+
+    def merge(self, symbols: list[int]) -> list[int]:
+        """Apply the merges to one word's symbols.  A queue entry is a merge and
+        a place; it is stale if the pair at that place has another merge by now."""
+        n, bits = len(symbols), self.bits
+        merge_of = self.merges.get
+        merge = [merge_of(a << bits | b, -1) for a, b in zip(symbols, symbols[1:])]
+        queue = [m << 32 | i for i, m in enumerate(merge) if m >= 0]
+        if not queue:
+            return symbols
         heapq.heapify(queue)
+        pop, push, new_id = heapq.heappop, heapq.heappush, (1 << bits) - 1
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            entry = heapq.heappop(queue)
+            entry = pop(queue)
             i = entry & 0xFFFFFFFF
-            if rank[i] != entry >> 32:
+            if merge[i] != entry >> 32:
                 continue
             j = after[i]
             k, m = before[i], after[j]
-            symbols[i] += symbols[j]
-            symbols[j] = ""
+            symbols[i] = own = (entry >> 32) & new_id
+            symbols[j] = -1
             after[i] = m
+            merge[i] = -1
             if j < n - 1:
-                rank[j] = -1
-            rank[i] = -1
+                merge[j] = -1
             if m < n:
                 before[m] = i
-                rank[i] = r = rank_of((symbols[i], symbols[m]), -1)
-                if r >= 0:
-                    heapq.heappush(queue, r << 32 | i)
+                merge[i] = found = merge_of(own << bits | symbols[m], -1)
+                if found >= 0:
+                    push(queue, found << 32 | i)
             if k >= 0:
-                rank[k] = r = rank_of((symbols[k], symbols[i]), -1)
-                if r >= 0:
-                    heapq.heappush(queue, r << 32 | k)
-        return [s for s in symbols if s]
+                merge[k] = found = merge_of(symbols[k] << bits | own, -1)
+                if found >= 0:
+                    push(queue, found << 32 | k)
+        return [s for s in symbols if s >= 0]
 
     def word(self, text: str) -> Word:
-        letters = self.letters
-        symbols = [letters[b] for b in text.encode()]
-        symbols[-1] += self.end
-        ids = [self.vocab[s] for s in self.merge(symbols)]
-        found = Word(array("I", ids).tobytes(), self.decode(ids))
-        if len(text) <= 40:
-            if len(self.cache) >= MAX_WORDS:
-                self.cache.clear()
-            self.cache[text] = found
-        return found
-
-    def chunk(self, text: str) -> Word:
-        """The words of what stands between two blanks.  No word holds white
-        space, so runs of it need not be replaced before the split."""
-        text_lower = (text.replace("Σ", "σ") if "Σ" in text else text).lower()
-        known = self.cache.get
-        words = [known(w) or self.word(w) for w in self.words_of(text_lower)]
-        found = Word(b"".join([w.ids for w in words]), " ".join([w.text for w in words]))
-        if len(text) <= 40:
-            if len(self.chunks) >= MAX_WORDS:
-                self.chunks.clear()
-            self.chunks[text] = found
-        return found
+        letters, packed = self.letters, text.encode()
+        symbols = [letters[b] for b in packed]
+        symbols[-1] = self.last_letters[packed[-1]]
+        ids = self.merge(symbols)
+        return Word(array("I", ids).tobytes(), self.decode(ids))
 
     def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit integers, and the text they decode to."""
+        """Ids as little-endian 32-bit integers, and the text they decode to.  No
+        word holds white space, so runs of it need not be replaced before the split."""
         found: list[Word] = []
         for part in self.cut.split(text) if "<|" in text else (text,):
             if part in self.special:
                 i = self.special[part]
                 found.append(Word(array("I", [i]).tobytes(), self.strings[i]))
                 continue
-            known = self.chunks.get
-            found += [known(c) or self.chunk(c) for c in unicodedata.normalize("NFC", part).split(" ")]
-        return b"".join([w.ids for w in found]), " ".join([w.text for w in found if w.ids])
+            part = unicodedata.normalize("NFC", part)
+            lowered = (part.replace("Σ", "σ") if "Σ" in part else part).lower()
+            found += map(self.words.__getitem__, self.words_of(lowered))
+        return b"".join([ids for ids, _ in found]), " ".join([text for _, text in found])
 
     def decode(self, ids) -> str:
         strings = self.strings

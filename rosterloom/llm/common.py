@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,6 +16,36 @@ from rosterloom.session import ensure_checkpoint_dir, ship_package
 BITMAP_BITS = 32_768  # bits in one row of Spark's bitmap_construct_agg
 
 
+class Recent(dict):
+    """Values by word, worked out on demand by ``find``; at most twice ``most``.
+    When the newer half is full it takes the place of the older one, whose words
+    come back as they are met again, so frequent words are never worked out twice.
+    Words over 40 letters and values of None are not kept."""
+
+    def __init__(self, find: Callable, most: int) -> None:
+        self.find, self.most, self.older = find, most, {}
+
+    def __missing__(self, word: str):
+        found = self.older.get(word)
+        if found is None:
+            found = self.find(word)
+        if found is not None and len(word) <= 40:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on for other stages, and
+    what it has used once would stay counted as its own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -46,6 +77,7 @@ def map_rows(
                     rows = []
             if rows:
                 yield _batch(rows, arrow)
+        give_back()
 
     return df.select(*columns).mapInArrow(run, target)
 
@@ -66,6 +98,7 @@ def map_stream(
         results = iter(function(stream))
         while rows := list(itertools.islice(results, 8192)):
             yield _batch(rows, arrow)
+        give_back()
 
     return df.select(*columns).mapInArrow(run, target)
 
@@ -94,6 +127,7 @@ def map_groups(
                 rows = []
         if rows:
             yield _batch(rows, arrow)
+        give_back()
 
     return df.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, target)
 
