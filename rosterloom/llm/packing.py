@@ -29,35 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rosterloom.llm.common import code, map_rows, materialize
+from rosterloom.llm.common import Recent, code, map_rows, materialize
 
 CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-MAX_WORDS = 150_000
+MAX_WORDS = 50_000
 CHUNKS = 4096
 LONG_BLANKS = re.compile(r"\s{5000}")
 
 
-class Words(dict):
-    """Packed ids of a blank followed by a word; None where the word touches
-    other white space, as its ids then depend on its neighbours."""
-
-    def __init__(self, encode) -> None:
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes | None:
-        if not word or word[0].isspace() or word[-1].isspace() or "<|" in word:
-            return None
-        ids = np.array(self.encode(" " + word), dtype="<u4").tobytes()
-        if len(word) <= 40:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Encoder:
     """Token ids of whole texts.
 
@@ -77,7 +59,14 @@ class Encoder:
         self.fast = tiktoken.Encoding(
             "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special
         )
-        self.words = Words(self.fast.encode_ordinary)
+        self.words = Recent(self.behind_blank, MAX_WORDS)
+
+    def behind_blank(self, word: str) -> bytes | None:
+        """Packed ids of a blank followed by a word; None where the word touches
+        other white space, as its ids then depend on its neighbours."""
+        if not word or word[0].isspace() or word[-1].isspace() or "<|" in word:
+            return None
+        return np.array(self.fast.encode_ordinary(" " + word), dtype="<u4").tobytes()
 
     @functools.cached_property
     def whole(self):

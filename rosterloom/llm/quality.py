@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.llm.common import code, map_rows
+from rosterloom.llm.common import Recent, code, map_rows
 from rosterloom.session import ship_package
 
 GRADES = 3
@@ -37,7 +37,7 @@ MIN_Z = 3.5
 ROUNDS = 200
 PENALTY = 5e-4
 MIN_TAIL = 0.5
-MAX_WORDS = 100_000
+MAX_WORDS = 40_000
 EDGES = re.compile(r"^\W+|\W+$")
 STEMS = (5, 6, 7)
 TWICE = 0x9E3779B9
@@ -49,28 +49,21 @@ def bucket(name: str) -> int:
     return zlib.crc32(name.encode())
 
 
-class Parts(dict):
+def parts(word: str) -> tuple[int, str, tuple[int, ...]]:
     """The hashed core of a word, its shape and its hashed first letters, as many
     as in ``STEMS``.  Shapes: all capitals, other letters, digits, single marks as
     they are, and ``~`` for a run of marks."""
+    if word.isalpha():
+        core, shape = word.lower(), "A" if len(word) > 1 and word.isupper() else "a"
+    else:
+        core = EDGES.sub("", word).lower()
+        letters = ("A" if len(core) > 1 and word.isupper() else "a") if core.isalpha() else ""
+        marks = EDGES.findall(word) if core else [word]
+        shape = letters + "".join("~" if len(m) > 1 else m for m in marks if m)
+    return bucket("word " + core), shape, tuple([bucket("stem " + core[:n]) for n in STEMS if len(core) > n])
 
-    def __missing__(self, word: str) -> tuple[int, str, list[int]]:
-        if word.isalpha():
-            core, shape = word.lower(), "A" if len(word) > 1 and word.isupper() else "a"
-        else:
-            core = EDGES.sub("", word).lower()
-            letters = ("A" if len(core) > 1 and word.isupper() else "a") if core.isalpha() else ""
-            marks = EDGES.findall(word) if core else [word]
-            shape = letters + "".join("~" if len(m) > 1 else m for m in marks if m)
-        found = bucket("word " + core), shape, [bucket("stem " + core[:n]) for n in STEMS if len(core) > n]
-        if len(word) <= 40:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
-
-PARTS = Parts()
+
+PARTS = Recent(parts, MAX_WORDS)
 
 
 def levels(name: str, share: float) -> list[int]:
