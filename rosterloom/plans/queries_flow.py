@@ -369,7 +369,8 @@ def training_round_trip(spark, folder):
         F.to_json(F.collect_list(F.struct(F.col("email").alias("email_body"), F.col("extracted_data").alias("extracted_fields")))).alias("value")
     )
     whole.select("value").repartition(4).write.option("maxRecordsPerFile", 1).text(f"{stored}/arrays")
-    samples = training.read_training_json(spark, f"{stored}/arrays")
+    training.read_training_json(spark, f"{stored}/arrays").write.parquet(f"{stored}/samples")
+    samples = spark.read.schema(training.SAMPLE_SCHEMA).parquet(f"{stored}/samples")
     cell = lambda name: F.try_element_at("extracted_fields", F.lit(name))
     return samples.select(F.sha2("email_body", 256).alias("email_hash"), cell("TIN").alias("tin"), cell("Reason").alias("reason"))
 
