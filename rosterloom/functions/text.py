@@ -41,7 +41,14 @@ def is_blank(value: Column) -> Column:
 
 
 def is_missing(value: Column) -> Column:
-    return F.coalesce(F.lower(strip(value)), F.lit("")).isin("", SENTINEL.lower())
+    return missing_word(strip(value))
+
+
+def missing_word(trimmed: Column) -> Column:
+    """The same of a text that is trimmed already.  Only a text as long as the
+    sentinel is lower-cased."""
+    same = F.when(F.length(trimmed) == len(SENTINEL), F.lower(trimmed) == SENTINEL.lower()).otherwise(trimmed == "")
+    return F.coalesce(same, F.lit(True))
 
 
 def null_words(value: Column) -> Column:

@@ -20,7 +20,7 @@ from rosterloom.functions.contact import (
 )
 from rosterloom.functions.dates import parse_date
 from rosterloom.functions.identifiers import digits_only, npi_luhn
-from rosterloom.functions.text import is_missing, strip, title_case
+from rosterloom.functions.text import missing_word, strip, title_case
 from rosterloom.operators.skew import explode_rows
 from rosterloom.schema import FIELDS, column_name
 
@@ -59,7 +59,8 @@ def _said(text: str, value: Column) -> Column:
 
 
 def _read(kind: str, raw: Column, keep_place: bool) -> Column:
-    """What a field's treatment takes from the raw text; NULL if it cannot."""
+    """What a field's treatment takes from the raw text, for names and plain texts
+    from the trimmed one; NULL if it cannot."""
     if kind == "date":
         return F.date_format(parse_date(raw), "MM/dd/yyyy")
     if kind == "npi":
@@ -68,7 +69,7 @@ def _read(kind: str, raw: Column, keep_place: bool) -> Column:
         return national_phone(raw)
     if kind == "address":
         return normalize_address(raw, keep_place)
-    return title_case(strip(raw))
+    return title_case(raw)
 
 
 def _change(field: str, kind: str, raw: Column, new: Column, read: Column) -> Column:
@@ -118,9 +119,11 @@ def normalize(df: DataFrame, fields: list[str] | None = None, keep_place: bool =
 
     held = df.withColumnsRenamed({name[f]: f"_raw_{name[f]}" for f in chosen})
     raw = {f: F.col(f"_raw_{name[f]}") for f in chosen}
-    read = held.withColumns(
-        {f"_read_{name[f]}": _read(kind[f], raw[f], keep_place) for f in chosen}
-        | {f"_skip_{name[f]}": is_missing(raw[f]) for f in chosen}
+    bare = {f: F.col(f"_bare_{name[f]}") for f in chosen}
+    trimmed = held.withColumns({f"_bare_{name[f]}": strip(raw[f]) for f in chosen})
+    read = trimmed.withColumns(
+        {f"_read_{name[f]}": _read(kind[f], bare[f] if kind[f] in ("name", "text") else raw[f], keep_place) for f in chosen}
+        | {f"_skip_{name[f]}": missing_word(bare[f]) for f in chosen}
     )
 
     values = {

@@ -10,15 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+#: Rows of a derived mail or roster row that one task works through.
+TASK_ROWS = 50_000
+
+
+def read(spark: SparkSession, folder: str, table: str, task_rows: int | None = None) -> DataFrame:
     """A table, spread over all cores if its files give too few tasks.
 
     A table of one small file is one task, which leaves a cluster idle while that
     task works through every pattern.  A table with enough splits is read as it
-    is, without a shuffle."""
+    is, without a shuffle; where much work hangs on a row, ``task_rows`` bounds the
+    rows of a task, since a split of narrow rows may hold millions of them."""
     df = spark.read.parquet(f"{folder}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = spark.sparkContext.defaultParallelism
+    if task_rows:
+        parts *= max(1, -(-df.count() // (task_rows * parts)))  # whole rounds of tasks
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 K = "o_orderkey"
@@ -249,9 +256,14 @@ for _name in ("completion", "model_response"):
     TABLES[_name] = (_source, {c: e.replace("{{", "{").replace("}}", "}") for c, e in _columns.items()})
 
 
+#: Relations with long patterns to work through in every row.
+HEAVY = {"roster", "mail", "completion", "model_response"}
+
+
 def relation(spark: SparkSession, folder: str, name: str) -> DataFrame:
     source, columns = TABLES[name]
-    return read(spark, folder, source).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+    rows = read(spark, folder, source, TASK_ROWS if name in HEAVY else None)
+    return rows.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
 
 def relation_sql(name: str) -> str:

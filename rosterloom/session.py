@@ -22,8 +22,6 @@ def build_session(master: str | None = None, app: str = "rosterloom", **conf: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # Methods above this size are never compiled by the JVM's JIT.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -31,10 +29,17 @@ def build_session(master: str | None = None, app: str = "rosterloom", **conf: st
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    keep_methods_small(spark)
     ship_package(spark)
     return spark
 
 
+def keep_methods_small(spark: SparkSession) -> None:
+    """Methods above this size are never compiled by the JVM's JIT; a stage that
+    would have one runs as projections of many small methods instead."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per context.
 
