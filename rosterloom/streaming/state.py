@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -48,22 +50,38 @@ def join_spans(spans: list[tuple], gap: int) -> list[tuple]:
 
 def _activity(gap: int):
     """Events of a batch to spans, on the side of the reader: a job that owns most
-    of the events sends few rows to its state."""
+    of the events sends few rows to its state.  The same as ``join_spans`` over the
+    events of each job, for all jobs of a batch in one sort."""
 
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for job, part in batch.groupby("job_id", dropna=False):
-                spans = zip(part["micros"].tolist(), part["micros"].tolist(), part["status"].tolist(), [1] * len(part))
-                rows += [(None if pd.isna(job) else int(job), *span) for span in join_spans(list(spans), gap)]
-            yield pd.DataFrame(rows, columns=["job_id", "first", "last", "status", "events"]).astype({"job_id": "Int64"})
+            if not batch.num_rows:
+                continue
+            job, micros = batch.column("job_id"), batch.column("micros").to_numpy()
+            unknown, job = job.is_null().to_numpy(zero_copy_only=False), job.fill_null(0).to_numpy()
+            words, status = np.unique(np.array(batch.column("status").to_pylist(), dtype=object), return_inverse=True)
+            order = np.lexsort((status, micros, job, unknown))
+            unknown, job, micros, status = unknown[order], job[order], micros[order], status[order]
+            fresh = (np.diff(micros) > gap) | (np.diff(job) != 0) | (unknown[1:] != unknown[:-1])
+            start = np.flatnonzero(np.concatenate([[True], fresh]))
+            end = np.append(start[1:], len(order)) - 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(job[start], pa.int64(), mask=unknown[start]), pa.array(micros[start], pa.int64()),
+                    pa.array(micros[end], pa.int64()), pa.array(words[status[end]], pa.string()), pa.array(end - start + 1, pa.int64()),
+                ],
+                names=["job_id", "first", "last", "status", "events"],
+            )
 
     return merged
 
 
 class SilenceAlarm(StatefulProcessor):
     """Keeps the open spans of a job.  A span closes when the watermark passes its
-    last event by the gap; it is an alarm if it did not end in an end state."""
+    last event by the gap; it is an alarm if it did not end in an end state.
+
+    A job has one timer, that of the span which closes first: every call of the
+    handle is a message to the JVM, and a job may have any number of spans."""
 
     def __init__(self, gap: int, ended: tuple[str, ...]) -> None:
         self.gap, self.ended = gap, ended
@@ -73,16 +91,24 @@ class SilenceAlarm(StatefulProcessor):
         self.spans = handle.getListState("spans", "first bigint, last bigint, status string, events bigint")
 
     def closing(self, last: int) -> int:
-        """The timer of a span, in milliseconds."""
+        """When a span closes, in milliseconds."""
         return -(-(last + self.gap) // 1000)
 
+    def timer(self, spans: list[tuple]) -> int | None:
+        return self.closing(min(span[1] for span in spans)) if spans else None
+
     def shown(self, key: tuple, kind: str, spans: list[tuple]) -> pd.DataFrame:
-        time = lambda micros: pd.Timestamp(micros, unit="us")
-        rows = [(key[0], kind, time(first), time(last), status, events) for first, last, status, events in spans]
-        return pd.DataFrame(rows, columns=["job_id", "kind", "active_from", "silent_since", "status", "events"])
+        first, last, status, events = zip(*spans)
+        time = lambda micros: np.array(micros, dtype="datetime64[us]")
+        return pd.DataFrame(
+            {
+                "job_id": pd.array([key[0]] * len(spans), dtype="Int64"), "kind": kind, "active_from": time(first),
+                "silent_since": time(last), "status": list(status), "events": list(events),
+            }
+        )
 
     def kept(self) -> list[tuple]:
-        return [tuple(row) for row in self.spans.get()] if self.spans.exists() else []
+        return [tuple(row) for row in self.spans.get()]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
@@ -91,25 +117,28 @@ class SilenceAlarm(StatefulProcessor):
         new = [(int(a), int(b), s, int(n)) for a, b, s, n in new]
         late = [span for span in new if self.closing(span[1]) <= watermark]
         after = join_spans(before + [span for span in new if self.closing(span[1]) > watermark], self.gap)
-        old, now = ({self.closing(span[1]) for span in spans} for spans in (before, after))
-        for timer in old - now:
-            self.handle.deleteTimer(timer)
-        for timer in now - old:
-            self.handle.registerTimer(timer)
+        old, now = self.timer(before), self.timer(after)
+        if old != now:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if now is not None:
+                self.handle.registerTimer(now)
         if after != before:
             self.spans.put(after)
         if late:
             yield self.shown(key, "late", late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
+        # All that the watermark has passed, as if each span had a timer of its own.
+        at = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
         spans = self.kept()
         closed = [span for span in spans if self.closing(span[1]) <= at]
         rest = [span for span in spans if self.closing(span[1]) > at]
-        if rest:
-            self.spans.put(rest)
-        else:
+        if not rest:
             self.spans.clear()
+        elif closed:
+            self.spans.put(rest)
+            self.handle.registerTimer(self.timer(rest))
         silent = [span for span in closed if span[2] not in self.ended]
         if silent:
             yield self.shown(key, "alarm", silent)
@@ -132,7 +161,7 @@ def silence_alarms(
     gap = minutes * 60_000_000
     timed = events.select("job_id", "status", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
     marked = timed.where("ts IS NOT NULL AND status IS NOT NULL").select("job_id", F.unix_micros("ts").alias("micros"), "status")
-    spans = marked.mapInPandas(_activity(gap), ACTIVITY)
+    spans = marked.mapInArrow(_activity(gap), ACTIVITY)
     return spans.groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=SilenceAlarm(gap, ended), outputStructType=ALARM, outputMode="Append", timeMode="EventTime"
     )
