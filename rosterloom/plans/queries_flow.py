@@ -218,12 +218,14 @@ _MAILS = {
     "sender": "CASE WHEN c_custkey % 43 <> 6 THEN concat('s', CAST(c_nationkey AS STRING), '@x.example') END",
     "body": _BODY,
 }
+#: Mails that one task parses.
+MAIL_ROWS = 10_000
 _STORES: dict[tuple[str, str], str] = {}
 
 
 def mail_bytes(spark: SparkSession, folder: str) -> DataFrame:
     """One mail file per customer, as the file source would list it."""
-    mails = read(spark, folder, "customer").selectExpr("c_custkey", *[f"{e} AS {c}" for c, e in _MAILS.items()])
+    mails = read(spark, folder, "customer", MAIL_ROWS).selectExpr("c_custkey", *[f"{e} AS {c}" for c, e in _MAILS.items()])
     header = lambda name, value: F.when(F.col(value).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(value), F.lit("\n"))).otherwise("")
     content = F.concat(
         header("Message-ID", "message_id"), header("From", "sender"), F.lit("To: in@x.example\nSubject: Roster\nMIME-Version: 1.0\n"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import email
 import email.policy
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -65,6 +66,24 @@ def accepted_files(files: DataFrame, max_megabytes: int = MAX_MEGABYTES) -> Data
     )
 
 
+class _Policy(email.policy.EmailPolicy):
+    """The default policy, which works a header out anew each time it is asked for;
+    here short ones are kept for their next use, of which a part's type has many."""
+
+    def header_fetch_parse(self, name, value):
+        if hasattr(value, "name") or len(value) > 1_000:
+            return super().header_fetch_parse(name, value)
+        return _header_value(name, value)
+
+
+@functools.lru_cache(maxsize=1_024)
+def _header_value(name: str, value: str):
+    return email.policy.default.header_fetch_parse(name, value)
+
+
+_POLICY = _Policy()
+
+
 def _header(message, name: str) -> str:
     return str(message.get(name, "") or "").strip()
 
@@ -113,7 +132,7 @@ def _attachments(message) -> list[dict]:
 def _parse(path: str, received_at, raw_hash: str, content: bytes) -> dict:
     row = {"path": path, "received_at": received_at, "raw_hash": raw_hash, "parse_error": None}
     try:
-        message = email.message_from_bytes(content, policy=email.policy.default)
+        message = email.message_from_bytes(content, policy=_POLICY)
         text, html = _bodies(message)
         return row | {
             "message_id": _header(message, "Message-ID"),
