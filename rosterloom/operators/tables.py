@@ -27,8 +27,12 @@ _SKIPPED = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 _TAG = r"""<(/?[A-Za-z][A-Za-z0-9]*+)\b[^<>"']*+(?:"[^"<]*+"[^<>"']*+|'[^'<]*+'[^<>"']*+)*+>"""
 _TABLE_TAG = r"(?i)(?=</?table\b)"
 _ROW_TAG = r"(?i)</?tr\b[^>]*>"
-_CELL_TAG = r"(?i)(?=<t[dh]\b)"
-_CELL_END = r"(?i)</?(?:t[dhr]|thead|tbody|tfoot|caption)\b"
+# A cell: its opening tag as far as the next one, and the text before whatever ends it.
+# Nothing here goes back, so a cell of any length is read in one pass.
+_CELL = r"(?is)<t[dh]\b(?:(?!<t[dh]\b)[^>])*+>?+((?:(?!</?(?:t[dhr]|thead|tbody|tfoot|caption)\b).)*+)"
+# Anything that the steps of a cell's text would change: tags, entities, line ends, blanks
+# at an end or beside each other, and all that is not visible ASCII.
+_ROUGH = r"[^ -%'-;=-~]|^ | $|  "
 _FIRST_TAG = r"^<[^>]*>"
 _ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
@@ -69,9 +73,10 @@ def decode_entities(text: Column) -> Column:
 
 
 def cell_text(cell: Column) -> Column:
+    """Text of a cell; most cells are plain already and pass one pattern only."""
     text = F.regexp_replace(cell, r"<[^>]+>", "")
     decoded = F.when(F.contains(cell, F.lit("&")), decode_entities(text)).otherwise(text)
-    return F.regexp_replace(strip(decoded), r"[\r\n]+|\s{2,}", " ")
+    return F.when(cell.rlike(_ROUGH), F.regexp_replace(strip(decoded), r"[\r\n]+|\s{2,}", " ")).otherwise(cell)
 
 
 def _table_texts(html: Column) -> Column:
@@ -119,8 +124,7 @@ def parse_tables(html: Column) -> Column:
     )
 
     def cells_of(row: Column) -> Column:
-        cut = F.filter(F.split(row, _CELL_TAG), lambda c: c.rlike(r"(?i)^<t[dh]\b"))
-        return F.transform(cut, lambda c: cell_text(F.split(F.regexp_replace(c, _FIRST_TAG, ""), _CELL_END, 2)[0]))
+        return F.transform(F.regexp_extract_all(row, F.lit(_CELL), F.lit(1)), cell_text)
 
     def to_table(rows: Column) -> Column:
         first = F.coalesce(F.try_element_at(rows, F.lit(1)), F.lit(""))
