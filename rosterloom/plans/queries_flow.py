@@ -147,8 +147,9 @@ def rule_matches(spark, folder):
     """Rules from every document, its third and fourth word, looked for in every
     document: the first rule by id that matches."""
     texts = read(spark, folder, "documents").select("doc_id", "text")
-    words = rules.words_of(F.col("text"))
-    table = texts.select(F.col("doc_id").alias("rule_order"), F.array_join(F.slice(words, 3, 2), " ").alias("term"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("value"))
+    word, gap = r"\p{Alnum}++", r"\P{Alnum}++"
+    term = F.regexp_extract("text", rf"^\P{{Alnum}}*+(?:{word}{gap}){{2}}({word}(?:{gap}{word})?)", 1)
+    table = texts.select(F.col("doc_id").alias("rule_order"), term.alias("term"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("value"))
     return rules.match_rules(texts, table, "doc_id", "text")
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark import SparkConf
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "rosterloom", **conf: str) -> SparkSession:
@@ -75,3 +76,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="rosterloom-checkpoint-")
     context.setCheckpointDir(configured)
     return configured
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once below the checkpoint folder and read it from there, so that
+    what is used more than once is worked out once."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

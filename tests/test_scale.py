@@ -1,6 +1,7 @@
 """Work per row, per task and per key stays bounded as the tables grow."""
 
 import random
+import re
 from email import headerregistry
 
 import numpy as np
@@ -9,9 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from rosterloom.operators import tables
-from rosterloom.plans import derive, queries_flow
+from rosterloom.operators import export, rules, skew, tables
+from rosterloom.operators.narrative import _with_hits, digit_tokens, leading_words, tokens
+from rosterloom.operators.skew import dense_index
+from rosterloom.plans import derive, queries_extract, queries_flow
+from rosterloom.schema import FIELDS
 from rosterloom.sources import mail
+from rosterloom.sources.spreadsheets import read_workbook
 from rosterloom.streaming import state
 from tests.test_mail import message
 
@@ -142,3 +147,18 @@ def test_a_long_cell_is_read_in_one_pass(value_of):
     html = "<table><tr><td>" + "word <i>x</i> " * 20_000 + "</td><td>end</td></tr></table>"
     size = lambda v: F.size(tables.parse_tables(v)[0]["grid"][0])
     assert value_of(size, [html]) == [2]
+
+
+@pytest.mark.parametrize("first", [1, 3, 1_000])
+def test_rules_looked_for_first_change_no_result(spark, first):
+    texts = [(i % 90, " ".join(f"w{i * 7 % 11} W{(i * j) % 13}." for j in range(i % 6))) for i in range(120)] + [(None, "w1 w2"), (500, "é w3, w4")]
+    table = [(i, f"w{i % 11}, w{i % 13}" if i % 2 else f"W{i % 13}", f"v{i}") for i in range(40)]
+    split = lambda t: " ".join(re.findall("[a-z0-9]+", t.lower()))
+    wanted = {}
+    for i, text in texts:
+        for order, term, value in table:
+            if f" {split(term)} " in f" {split(text)} ":
+                wanted[i] = min(wanted.get(i, (order, value)), (order, value))
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = rules.match_rules(df, spark.createDataFrame(table, "rule_order int, term string, value string"), "id", "text", first=first)
+    assert {r["id"]: (r["rule_order"], r["value"]) for r in got.collect()} == wanted and len(wanted) > 50
