@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rosterloom.schema import FIELDS, column_name
 from rosterloom.sources.spreadsheets import write_workbook
@@ -63,42 +67,74 @@ def provenance_sheet(counts: DataFrame) -> DataFrame:
 
 
 WORKBOOK_SCHEMA = "job_id string, version_id string, part long, content binary, record_count long"
+_PART = ["job_id", "version_id", "part"]
+_FACTS = ["record_count", "export_date"]
+#: Finished workbooks that a task hands over at once, by number and bytes.
+BATCH_BOOKS, BATCH_BYTES = 500, 1 << 24
 
 
-def _build_part(rows: pa.Table) -> pa.Table:
-    ordered = rows.sort_by("row_idx")
-    first = {c: ordered.column(c)[0].as_py() for c in ("job_id", "version_id", "part", "export_date", "record_count")}
-    cells = zip(*(ordered.column(f).to_pylist() for f in FIELDS))
-    sheets = {
-        "Roster": [FIELDS, *cells],
-        "Provenance": [
-            ["Field", "Value"],
-            ["Job ID", str(first["job_id"])],
-            ["Version ID", str(first["version_id"])],
-            ["Export Date", first["export_date"]],
-            ["Record Count", str(first["record_count"])],
-        ],
-    }
-    return pa.table(
+def _build_part(job: str, version: str, count: int, export_date: str | None, cells: list[tuple]) -> bytes:
+    return write_workbook(
         {
-            "job_id": [str(first["job_id"])],
-            "version_id": [str(first["version_id"])],
-            "part": pa.array([first["part"]], pa.int64()),
-            "content": pa.array([write_workbook(sheets)], pa.binary()),
-            "record_count": pa.array([ordered.num_rows], pa.int64()),
+            "Roster": [FIELDS, *cells],
+            "Provenance": [
+                ["Field", "Value"],
+                ["Job ID", job],
+                ["Version ID", version],
+                ["Export Date", export_date],
+                ["Record Count", str(count)],
+            ],
         }
     )
 
 
+def _build_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Workbooks off a sorted stream of parts, each led by its row of facts."""
+    columns = [*_PART, *_FACTS, *FIELDS]
+    lists = ([batch.column(c).to_pylist() for c in columns] for batch in batches)
+    stream = itertools.chain.from_iterable(zip(*values) for values in lists)
+    width, books, held = len(_PART), [], 0
+    for (job, version, part), members in itertools.groupby(stream, key=lambda row: row[:width]):
+        count, export_date = next(members)[width : width + 2]
+        cells = [row[width + 2 :] for row in members]
+        content = _build_part(str(job), str(version), count, export_date, cells)
+        books.append((str(job), str(version), part, content, len(cells)))
+        held += len(content)
+        if len(books) >= BATCH_BOOKS or held >= BATCH_BYTES:
+            yield _book_batch(books)
+            books, held = [], 0
+    if books:
+        yield _book_batch(books)
+
+
+def _book_batch(books: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64()]
+    names = ["job_id", "version_id", "part", "content", "record_count"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*books), kinds)], names=names)
+
+
 def workbooks(rows: DataFrame, as_of: Column, part_rows: int = PART_ROWS) -> DataFrame:
     """One workbook per job and part.  ``row_idx`` must be gap-free within a job,
-    which bounds every group by ``part_rows``."""
-    from rosterloom.operators.skew import salted_lookup
-
-    facts = provenance(rows, as_of)
-    joined = salted_lookup(rows, facts, ["job_id", "version_id"], ["row_idx"], how="inner")
-    parted = joined.withColumn("part", F.floor(F.col("row_idx") / F.lit(part_rows)).cast("bigint"))
-    return parted.groupBy("job_id", "version_id", "part").applyInArrow(_build_part, WORKBOOK_SCHEMA)
+    which bounds every part by ``part_rows``.
+
+    Rows are dealt by part, so that a job with most rows is spread, and sorted;
+    the facts of a version go with them as the first row of each of its parts, in
+    place of a look-up."""
+    keyed = rows.where("job_id IS NOT NULL AND version_id IS NOT NULL")
+    parted = keyed.select(
+        "job_id", "version_id", F.floor(F.col("row_idx") / F.lit(part_rows)).cast("bigint").alias("part"),
+        F.lit(None).cast("bigint").alias("record_count"), F.lit(None).cast("string").alias("export_date"), "row_idx",
+        *[F.col(f"`{f}`").cast("string").alias(f) for f in FIELDS],
+    )
+    sizes = parted.groupBy(*_PART).agg(F.count(F.lit(1)).alias("_rows"))
+    total = F.sum("_rows").over(Window.partitionBy("job_id", "version_id"))
+    facts = sizes.select(
+        *_PART, total.alias("record_count"), F.date_format(as_of, "yyyy-MM-dd HH:mm:ss").alias("export_date"),
+        F.lit(None).cast(dict(rows.dtypes)["row_idx"]).alias("row_idx"), *[F.lit(None).cast("string").alias(f) for f in FIELDS],
+    )
+    dealt = facts.unionByName(parted).repartition(*_PART)
+    ordered = dealt.sortWithinPartitions(*_PART, F.col("record_count").desc_nulls_last(), F.col("row_idx").asc_nulls_last())
+    return ordered.drop("row_idx").mapInArrow(_build_parts, WORKBOOK_SCHEMA)
 
 
 def export_log(books: DataFrame, at: Column) -> DataFrame:

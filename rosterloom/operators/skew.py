@@ -107,20 +107,23 @@ def dense_index(
 ) -> DataFrame:
     """Gap-free index from 0 within ``group`` by ``order`` and then ``position``.
 
-    ``position`` is an integer that is unique within ``group + order``.  Rows are
-    numbered inside chunks of ``chunk_rows`` positions, and each chunk gets the
-    count of the rows before it: a group of any size is cut into bounded sorts,
-    and only one row per chunk goes through the running sum.
+    ``position`` is an integer that is unique within ``group + order``.  Groups of
+    up to ``chunk_rows`` rows are sorted whole.  In larger ones, which are few, rows
+    are numbered inside chunks of ``chunk_rows`` positions, and each chunk gets the
+    count of the rows before it: a group of any size is cut into bounded sorts, and
+    only one row per chunk goes through the running sum.  The whole rows are dealt
+    once, as the chunks meet their counts where they are.
     """
-    chunked = df.withColumn("_chunk", F.floor(F.col(position) / F.lit(chunk_rows)).cast("bigint"))
-    chunk_keys = [*group, *order, "_chunk"]
-    sizes = chunked.groupBy(*chunk_keys).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*group).orderBy(*order, "_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    inside = Window.partitionBy(*chunk_keys).orderBy(position)
+    grouped = df.withColumn("_group", F.struct(*group))  # equals itself even where its fields are null
+    sizes = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
+    # At most one row per chunk_rows rows of the table.
+    large = F.broadcast(sizes.where(F.col("_rows") > chunk_rows).select("_group", F.lit(True).alias("_large")))
+    chunk = F.struct(*order, F.floor(F.col(position) / F.lit(chunk_rows)).cast("bigint").alias("_chunk"))
+    chunked = grouped.join(large, "_group", "left").withColumn("_chunk", F.when(F.col("_large"), chunk)).drop("_large")
+    counted = chunked.where("_chunk IS NOT NULL").groupBy("_group", "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("_group").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select("_group", "_chunk", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_group", "_chunk").orderBy(*order, position)
     numbered = chunked.withColumn("_inside", F.row_number().over(inside) - 1)
-    same = reduce(lambda a, b: a & b, [numbered[k].eqNullSafe(offsets[k]) for k in chunk_keys])
-    joined = numbered.join(offsets, same)
-    return joined.select(
-        *[numbered[c] for c in df.columns], (F.col("_offset") + F.col("_inside")).cast("bigint").alias(name)
-    )
+    joined = numbered.join(offsets, ["_group", "_chunk"], "left")
+    return joined.select(*df.columns, (F.coalesce("_offset", F.lit(0)) + F.col("_inside")).cast("bigint").alias(name))

@@ -162,3 +162,27 @@ def test_rules_looked_for_first_change_no_result(spark, first):
     df = spark.createDataFrame(texts, "id int, text string")
     got = rules.match_rules(df, spark.createDataFrame(table, "rule_order int, term string, value string"), "id", "text", first=first)
     assert {r["id"]: (r["rule_order"], r["value"]) for r in got.collect()} == wanted and len(wanted) > 50
+
+
+def test_small_workbooks_are_read_off_one_stream(spark):
+    rows = [(job, 1, i, f"{job}-{i}") for job in [3, 1, None, 2] for i in range(job or 1)]
+    df = spark.createDataFrame(rows, "job_id long, version_id long, row_idx long, provider_name string")
+    books = export.workbooks(export.export_rows(df), F.lit("2025-01-02 03:04:05").cast("timestamp"), part_rows=2)
+    assert "FlatMapGroups" not in books._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for b in books.collect():
+        sheets = dict(read_workbook(b.content))
+        names = [r[FIELDS.index("Provider Name")] for r in sheets["Roster"][1:]]
+        got[b.job_id, b.part] = names
+        assert b.record_count == len(names) and ["Record Count", b.job_id] in sheets["Provenance"]
+    assert got == {("1", 0): ["1-0"], ("2", 0): ["2-0", "2-1"], ("3", 0): ["3-0", "3-1"], ("3", 1): ["3-2"]}
+
+
+def test_small_groups_are_numbered_without_chunks(spark):
+    df = spark.createDataFrame([(k, p) for k in (1, None, 2) for p in (5, 900_000, 70, None)], "k long, p long")
+    out = dense_index(df, ["k"], [], "p")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.k, {})[r.p] = r.row_idx
+    assert got == {k: {None: 0, 5: 1, 70: 2, 900_000: 3} for k in (1, None, 2)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window") == 2
