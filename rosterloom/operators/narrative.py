@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions.classify import canonical_transaction, transaction_type
-from rosterloom.functions.text import last_wins_map, strip
+from rosterloom.functions.text import contains_any, last_wins_map, strip
 from rosterloom.operators.skew import explode_rows
 from rosterloom.operators.tables import delimited_arrays, with_defaults
 from rosterloom.schema import (
@@ -26,14 +28,26 @@ def possessive(pattern: str) -> str:
     return pattern.removesuffix(")*)") + ")*+)" if pattern.endswith(")*)") else pattern
 
 
-def pattern_fields(text: Column, mode: str = "strict") -> dict[str, Column]:
+def leading_words(pattern: str) -> list[str]:
+    """The words, in lower case, of which a match has to begin with one; none if
+    the pattern does not begin with letters."""
+    found = re.match(r"\(\?:([^()]*)\)|([A-Za-z]+)", pattern)
+    heads = [re.match("[A-Za-z ]*", part)[0].lower() for part in (found[1] or found[2]).split("|")] if found else []
+    return heads if all(heads) else []
+
+
+def pattern_fields(text: Column, mode: str = "strict", lowered: Column | None = None) -> dict[str, Column]:
     """First match of each pattern, NULL without one.  All patterns ignore case;
     in ``strict`` mode the name pattern does not, because it would otherwise take
-    any two words for a name."""
+    any two words for a name.  A pattern is only tried where the text, in lower
+    case (``lowered``, if at hand), holds a word that a match begins with."""
+    lowered = F.lower(text) if lowered is None else lowered
     found = {}
     for field, pattern in NARRATIVE_PATTERNS.items():
         flag = "" if mode == "strict" and field == "Provider Name" else "(?i)"
-        found[field] = strip(F.nullif(F.regexp_extract(text, flag + possessive(pattern), 1), F.lit("")))
+        match = F.regexp_extract(text, flag + possessive(pattern), 1)
+        heads = leading_words(pattern)
+        found[field] = strip(F.nullif(F.when(contains_any(lowered, heads), match) if heads else match, F.lit("")))
     return found
 
 
@@ -48,19 +62,31 @@ def phrase_fields(text: Column) -> dict[str, Column]:
     return found
 
 
-def tokens(text: Column) -> Column:
-    """Words cut at white space, without the punctuation around them."""
-    return F.transform(F.split(text, r"\s+"), lambda w: F.btrim(w, F.lit(".,;:()[]{}\"'!?#*")))
+def tokens(text: Column, holding: str | None = None) -> Column:
+    """Words cut at white space, without the punctuation around them.  With
+    ``holding``, a pattern of one character, only words that hold such a one, read
+    off in one pass; a word is looked through once, from its start."""
+    if holding is None:
+        words = F.split(text, r"\s+")
+    else:
+        words = F.regexp_extract_all(text, F.lit(rf"(?<!\S)\S*?{holding}\S*+"), F.lit(0))
+    return F.transform(words, lambda w: F.btrim(w, F.lit(".,;:()[]{}\"'!?#*")))
+
+
+def digit_tokens(text: Column) -> Column:
+    return tokens(text, r"\d")
 
 
 def _fitting(words: Column, pattern: str) -> Column:
     return F.filter(words, lambda w: w.rlike(pattern))
 
 
-def token_fields(text: Column) -> dict[str, Column]:
+def token_fields(text: Column, words: Column | None = None) -> dict[str, Column]:
     """Values recognised by the shape of a whole token, all of which hold a digit.  The last one wins, but
-    the first phone is the phone and the last further one the fax."""
-    words = F.filter(tokens(text), lambda w: w.rlike("[0-9]"))
+    the first phone is the phone and the last further one the fax.  ``words`` are
+    the ``digit_tokens`` of the text, if a projection before has them: lambdas over
+    them are no common expressions, so each would work them out again."""
+    words = digit_tokens(text) if words is None else words
     hits = {kind: _fitting(words, pattern) for kind, pattern in TOKEN_PATTERNS.items()}
     phones = hits.pop("phone")
     found = {field: F.try_element_at(values, F.lit(-1)) for field, values in hits.items()}
@@ -71,9 +97,9 @@ def token_fields(text: Column) -> dict[str, Column]:
 
 def narrative_columns(df: DataFrame, text: str = "text", mode: str = "strict") -> DataFrame:
     """Pattern fields as typed columns, one narrow projection."""
-    return df.select(
-        "*", *[value.alias(column_name(f)) for f, value in pattern_fields(F.col(text), mode).items()]
-    )
+    lowered = df.withColumn("_lowered", F.lower(F.col(text)))
+    found = pattern_fields(F.col(text), mode, F.col("_lowered"))
+    return lowered.select(*df.columns, *[value.alias(column_name(f)) for f, value in found.items()])
 
 
 def narrative_rows(
@@ -93,23 +119,26 @@ def narrative_rows(
 def _with_hits(df: DataFrame, text: str, mode: str, dictionaries: bool) -> DataFrame:
     """Adds ``_kind``, the transaction type of a text, and ``_hits``, an array of
     the one list of fields found in it, or an empty one."""
-    source = F.col(text)
-    found = pattern_fields(source, mode)
+    # A text of a single line makes no row, so nothing is looked for in it.
+    many_lines = F.contains(strip(F.col(text)), F.lit("\n"))
+    source, words = F.col("_source"), F.col("_words")
+    begun = df.withColumn("_source", F.when(many_lines, F.col(text)))
+    begun = begun.withColumns({"_lowered": F.lower(source)} | ({"_words": digit_tokens(source)} if dictionaries else {}))
+    found = pattern_fields(source, mode, F.col("_lowered"))
     if dictionaries:
-        tagged = token_fields(source)
+        tagged = token_fields(source, words)
         for field, value in phrase_fields(source).items():
             tagged[field] = F.coalesce(value, tagged[field]) if field in tagged else value
         for field, value in tagged.items():
             found[field] = F.coalesce(value, found[field]) if field in found else value
     fields = {f: f"_f_{column_name(f)}" for f in found}
-    read = df.withColumns({fields[f]: value for f, value in found.items()} | {"_kind": transaction_type(source)})
-    many_lines = F.contains(strip(source), F.lit("\n"))
+    read = begun.withColumns({fields[f]: value for f, value in found.items()} | {"_kind": transaction_type(source)})
     hits = F.array_compact(
         F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(f).alias("key"), F.col(c).alias("value"))) for f, c in fields.items()])
     )
-    # No hit or a single line makes no row: an empty array explodes to nothing.
+    # No hit makes no row: an empty array explodes to nothing.
     return read.select(
-        *df.columns, "_kind", F.when(many_lines, F.filter(F.array(hits), lambda h: F.size(h) > 0)).alias("_hits")
+        *df.columns, "_kind", F.when(source.isNotNull(), F.filter(F.array(hits), lambda h: F.size(h) > 0)).alias("_hits")
     )
 
 

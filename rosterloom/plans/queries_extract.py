@@ -372,8 +372,9 @@ def _phrase(field: str) -> str:
 
 
 def token_values(spark, folder):
-    found = narrative.token_fields(F.col("text"))
-    return texts(spark, folder).select("doc_id", *[v.alias(column_name(f)) for f, v in found.items()])
+    found = narrative.token_fields(F.col("text"), F.col("words"))
+    cut = texts(spark, folder).select("doc_id", narrative.digit_tokens(F.col("text")).alias("words"))
+    return cut.select("doc_id", *[v.alias(column_name(f)) for f, v in found.items()])
 
 
 _WORDS = "list_filter(list_transform(string_split_regex(text, '\\s+'), lambda w: trim(w, '.,;:()[]{}\"''!?#*')), lambda w: w <> '')"

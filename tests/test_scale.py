@@ -186,3 +186,23 @@ def test_small_groups_are_numbered_without_chunks(spark):
         got.setdefault(r.k, {})[r.p] = r.row_idx
     assert got == {k: {None: 0, 5: 1, 70: 2, 900_000: 3} for k in (1, None, 2)}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Window") == 2
+
+
+def test_tokens_are_cut_once(spark, orders, value_of):
+    texts = ["(1234567890), x9\tP12;  82-1234567\n abc", "", None, "a1 b 2", "x" * 50_000 + " 7"]
+    plain = lambda v: F.filter(tokens(v), lambda w: w.rlike("[0-9]"))
+    assert value_of(digit_tokens, texts) == value_of(plain, texts)
+    spark.range(3).selectExpr("id AS doc_id", "'a 555-123-4567' AS text").write.parquet(f"{orders}/documents.parquet")
+    found = queries_extract.token_values(spark, orders)
+    union = found._jdf.queryExecution().optimizedPlan().toString()
+    assert union.count("regexp_extract_all") <= 2  # once for documents, once for mails
+    assert found.where("phone_number = '555-123-4567'").count() >= 3
+
+
+def test_patterns_are_tried_only_behind_their_words(spark):
+    assert leading_words(r"(?:License|Lic\.)[:\s#]*") == ["license", "lic"] and leading_words("([A-Z][a-z]+)") == []
+    df = spark.createDataFrame([(0, "none here\nat all"), (1, "LIC. a1\nnpi 1234567890"), (2, "NPI 1234567890")], "id int, text string")
+    found = _with_hits(df, "text", "strict", True)
+    assert "contains(_lowered" in found._jdf.queryExecution().analyzed().toString().lower()
+    hits = {r["id"]: [{e["key"]: e["value"] for e in h} for h in r["_hits"] or []] for r in found.collect()}
+    assert hits == {0: [], 1: [{"State License": "a1", "Provider NPI": "1234567890"}], 2: []}
