@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHUNK_ROWS = 100_000
+HOT_BUCKETS = 1 << 16
+#: Rows that one task sorts where a look-up is dealt by the size of its table.
+LOOKUP_ROWS = 1_000_000
 
 
 def explode_rows(df: DataFrame, array: str, name: str, position: str | None = None) -> DataFrame:
@@ -26,13 +29,27 @@ def explode_rows(df: DataFrame, array: str, name: str, position: str | None = No
 def hot_keys(df: DataFrame, on: list[str], parts: int) -> DataFrame:
     """Keys that own more rows than one of ``parts`` even shares, with the number
     of shares as ``_shares``.  There are fewer of them than ``parts``, so the list
-    may be broadcast whatever the size of the data."""
-    sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    total = sizes.agg(F.sum("_rows")).scalar()
+    may be broadcast whatever the size of the data.
+
+    Rows are first counted per bucket of keys, of which there is a fixed number.
+    Only keys in buckets as large as a hot key are counted one by one, so that no
+    task ever holds a count for every key."""
+    bucket = F.pmod(F.xxhash64(*on), F.lit(HOT_BUCKETS))
+    buckets = df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
+    total = buckets.agg(F.sum("_rows")).scalar()
+    heavy = buckets.where(F.col("_rows") * parts > total).select("_bucket")
+    likely = df.select(*on, bucket.alias("_bucket")).join(F.broadcast(heavy), "_bucket", "left_semi")
+    sizes = likely.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     shares = F.ceil(F.col("_rows") * parts / total).cast("int").alias("_shares")
     return sizes.where(F.col("_rows") * parts > total).select(*on, shares)
 
 
+def lookup_parts(df: DataFrame) -> int:
+    """Parts for a look-up from ``df``, which it counts: as many as a shuffle has,
+    or more, so that a task's rows do not grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // LOOKUP_ROWS))
+
+
 def salted_lookup(
     big: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "left", parts: int | None = None
 ) -> DataFrame:
@@ -41,15 +58,19 @@ def salted_lookup(
     The rows of a hot key are cut into as many parts as it has shares of the
     rows, by the columns ``spread``, and only its lookup row is repeated, once per
     part.  Rows without a key are spread over all parts.  The lookup itself is
-    broadcast only by AQE, at its measured size.
+    broadcast only by AQE, at its measured size.  More ``parts`` than a shuffle has
+    are dealt as asked for.
     """
-    parts = parts or int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or usual
     hot = F.broadcast(hot_keys(big, on, parts))
     shares = F.coalesce("_shares", F.lit(1))
     copies = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     salt = F.pmod(F.xxhash64(*spread), F.when(no_key, F.lit(parts)).otherwise(shares)).cast("int")
     salted = big.join(hot, on, "left").withColumn("_salt", salt).drop("_shares")
+    if parts > usual:
+        salted, copies = [side.repartition(parts, *on, "_salt") for side in (salted, copies)]
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 

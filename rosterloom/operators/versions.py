@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.operators.skew import salted_lookup
+from rosterloom.operators.skew import lookup_parts, salted_lookup
 from rosterloom.schema import FIELDS, column_name
 from rosterloom.session import ensure_checkpoint_dir
 
@@ -169,13 +169,16 @@ def expired_jobs(jobs: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
 def expire(tables: dict[str, DataFrame], as_of: Column, days: int = 30) -> dict[str, DataFrame]:
     """Every table without the finished jobs last touched over ``days`` ago.
 
-    Issues hang on versions, everything else on the job."""
+    Issues hang on versions, everything else on the job.  Each table is counted and
+    dealt in parts of bounded rows."""
     old = expired_jobs(tables["jobs"], as_of, days)
     kept = {}
     for name, table in tables.items():
         if name == "issues" and "job_id" not in table.columns:
-            gone = salted_lookup(tables["versions"], old, ["job_id"], ["version_id"], how="left_semi").select("version_id")
-            kept[name] = salted_lookup(table, gone, ["version_id"], _hashable(table), how="left_anti")
+            gone = salted_lookup(
+                tables["versions"], old, ["job_id"], ["version_id"], how="left_semi", parts=lookup_parts(tables["versions"])
+            ).select("version_id")
+            kept[name] = salted_lookup(table, gone, ["version_id"], _hashable(table), how="left_anti", parts=lookup_parts(table))
         else:
-            kept[name] = salted_lookup(table, old, ["job_id"], _hashable(table), how="left_anti")
+            kept[name] = salted_lookup(table, old, ["job_id"], _hashable(table), how="left_anti", parts=lookup_parts(table))
     return kept

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from rosterloom.operators import export, rules, skew, tables
+from rosterloom.operators import export, rules, skew, tables, versions
 from rosterloom.operators.narrative import _with_hits, digit_tokens, leading_words, tokens
 from rosterloom.operators.skew import dense_index
 from rosterloom.plans import derive, queries_extract, queries_flow
@@ -206,3 +206,41 @@ def test_patterns_are_tried_only_behind_their_words(spark):
     assert "contains(_lowered" in found._jdf.queryExecution().analyzed().toString().lower()
     hits = {r["id"]: [{e["key"]: e["value"] for e in h} for h in r["_hits"] or []] for r in found.collect()}
     assert hits == {0: [], 1: [{"State License": "a1", "Provider NPI": "1234567890"}], 2: []}
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 1 << 16])
+def test_keys_are_counted_one_by_one_only_in_large_buckets(spark, monkeypatch, buckets):
+    monkeypatch.setattr(skew, "HOT_BUCKETS", buckets)
+    df = spark.range(1_000).selectExpr("CASE WHEN id < 300 THEN -1 WHEN id < 450 THEN NULL ELSE id END AS key", "id % 2 AS other")
+    assert sorted(map(tuple, skew.hot_keys(df, ["key"], 10).collect()), key=str) == [(-1, 3), (None, 2)]
+    assert sorted(map(tuple, skew.hot_keys(df, ["key", "other"], 10).collect())) == [(-1, 0, 2), (-1, 1, 2)]
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_lookups_of_large_tables_are_dealt_in_bounded_parts(spark, monkeypatch, how):
+    monkeypatch.setattr(skew, "LOOKUP_ROWS", 50)
+    big = spark.range(1_000).selectExpr("CASE WHEN id < 400 THEN -1 WHEN id < 450 THEN NULL ELSE id END AS key", "id").cache()
+    small = spark.range(-1, 700).selectExpr("id AS key", "id * 2 AS v")
+    assert skew.lookup_parts(big) == 20
+    # Only without a broadcast is it seen how the rows are dealt.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = skew.salted_lookup(big, small, ["key"], ["id"], how=how, parts=skew.lookup_parts(big))
+        got = sorted(r["id"] for r in met.collect())
+        sizes = [r["n"] for r in met.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    hits = [i for i in range(1_000) if i < 400 or 450 <= i < 700]
+    assert got == {"left": list(range(1_000)), "left_anti": sorted(set(range(1_000)) - set(hits))}.get(how, hits)
+    assert len(sizes) > 10 and max(sizes) < 200
+
+
+def test_retention_deals_tables_by_their_size(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(skew, "LOOKUP_ROWS", 10)
+    plain = versions.salted_lookup
+    monkeypatch.setattr(versions, "salted_lookup", lambda *a, **k: (asked.append(k.get("parts")), plain(*a, **k))[1])
+    jobs = spark.range(100).selectExpr("id AS job_id", "'failed' AS status", "timestamp'2024-01-01' AS updated_at")
+    records = spark.range(300).selectExpr("id % 200 AS job_id", "id AS row_idx")
+    kept = versions.expire({"jobs": jobs, "records": records}, F.lit("2025-01-01").cast("timestamp"))
+    assert asked == [10, 30] and kept["jobs"].count() == 0 and kept["records"].count() == 100
