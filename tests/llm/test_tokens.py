@@ -218,3 +218,8 @@ def test_ranks_are_dense_when_one_length_owns_all(spark):
     rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(7).cast("bigint").alias("length"))
     ranks = [r["rank"] for r in packing.ranked(rows, ["doc_id"]).collect()]
     assert sorted(ranks) == list(range(5000))
+
+
+def test_ids_are_packed_as_little_endian_32_bit():
+    for ids in ([], [0], [1, 50_000, 2**32 - 1]):
+        assert packing.packed(ids) == b"".join(i.to_bytes(4, "little") for i in ids)
