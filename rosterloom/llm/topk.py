@@ -9,8 +9,9 @@ longest first, and the bounds rise with what is found.  Where they meet, each
 query's bound, divided by its length and the block's, is a local cosine threshold:
 above 1 the block is skipped; if high, the feasible interval of the query's largest
 coordinate selects candidates from a sorted list; shorter vectors are cut off.  Of
-the rest a sketch of small integers, of which four share a double's digits, tells
-which pairs cannot reach the bound.  Products of the remaining candidates are exact
+the rest a sketch tells which pairs cannot reach the bound: the leading principal
+coordinates, as many as pay, and the length of what they leave out, in small
+integers of which four share a double's digits.  Products of the remaining candidates are exact
 integers.
 
 Vectors that are null, empty or hold null or non-finite components take no part,
@@ -52,6 +53,7 @@ SEED_ROWS = 1 << 17  # or an eighth of the vectors, if these are few
 TILE = 1024
 FIELDS, WIDTH = 4, 12  # scores of the sketch in a double, and the bits of each
 LENGTH = 46.0  # of the longest vector of a block in the sketch
+PASSED = 4500, 100  # coordinates of the sketch a passing pair costs: always, and for each of its own
 DENSE_FROM = 0.06  # share of pairs that pass the sketch, from which all are worked out
 ROW = "block long, dim int, top double, size int, ids binary, data binary"
 OPEN_END = -math.inf
@@ -257,14 +259,15 @@ class Best:
         self.bounds = bounds.astype(np.float64)
         self.lengths = lengths_of(queries)
         self.longest = float(self.lengths.max(initial=0))
-        self.unit = (queries / np.maximum(self.lengths, 1e-300)[:, None]).astype(np.float32)
+        unit = queries / np.maximum(self.lengths, 1e-300)[:, None]
+        self.turn = np.linalg.eigh(unit.T @ unit)[1][:, ::-1]
+        self.unit = unit @ self.turn
         self.focus = np.abs(queries).argmax(axis=1)
         self.share = queries[np.arange(len(ids)), self.focus] / np.maximum(self.lengths, 1e-300)
         self.count = np.zeros(len(ids), dtype=np.int64)
         self.ids = np.zeros((len(ids), k), dtype=np.int64)
         self.scores = np.zeros((len(ids), k), dtype=np.int64)
         self.rows = np.arange(len(ids))
-        self.poor = 0
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Take in what a block holds."""
@@ -285,10 +288,7 @@ class Best:
             return
         some = self.by_coordinate(some, cosine, need, ids, vectors, norms)
         some = some[np.argsort(-need[some], kind="stable")]
-        if self.poor > 0:
-            self.poor -= 1
-            self.dense(some, ids, vectors, norms)
-        elif len(some):
+        if len(some):
             self.by_sketch(some, cosine, need, ids, vectors, norms)
 
     def one_by_one(self, some: np.ndarray, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray) -> None:
@@ -341,8 +341,13 @@ class Best:
         the threshold, which is lowered by what rounding can have taken from it.  A
         score far below it can set the bit as well, which costs a product but no
         result; one above the field's range cannot occur (``thresholds`` sees to it)."""
-        dim, half = vectors.shape[1], 1 << (WIDTH - 1)
-        exact = vectors / norms[0] * LENGTH
+        turned = vectors.astype(np.float64) @ self.turn / norms[0]
+        kept, below = self.leading(some, cosine, turned, norms[0])
+        if not kept:
+            self.dense(some, ids, vectors, norms)
+            return
+        queries, exact = short(self.unit[some], kept), short(turned, kept) * LENGTH
+        dim, half = exact.shape[1], 1 << (WIDTH - 1)
         rounded = np.rint(exact)
         error = float(lengths_of(rounded - exact).max()) * (1 + 1e-6)
         longest = float(lengths_of(rounded).max())
@@ -364,7 +369,7 @@ class Best:
             reach = int(np.searchsorted(-norms, -need[tile].min(), "right"))
             if not reach:
                 continue
-            small, least = thresholds(self.unit[tile], cosine[tile], error, longest)
+            small, least = thresholds(queries[at : at + TILE], cosine[tile], error, longest, below)
             left = np.zeros((-(-len(tile) // 32) * 32, dim + 1))
             left[:, dim] = 3 << 51
             left[: len(tile), :dim] = small
@@ -403,8 +408,24 @@ class Best:
                     found.append(self.exact(tile[row], column, ids, vectors, norms))
             if found:
                 self.add(*(np.concatenate(x) for x in zip(*found)))
-        if over > DENSE_FROM / 2 * FIELDS * seen:
-            self.poor = 8
+
+    def leading(self, some: np.ndarray, cosine: np.ndarray, turned: np.ndarray, longest: float) -> tuple[int, float]:
+        """How many coordinates the sketch keeps and how far below 0 its fields hold
+        cosines: what costs least by some queries and vectors, counted in coordinates.
+        None are kept if all products cost less."""
+        dim, kind = turned.shape[1], exact_kind(longest, self.longest)
+        few = some[:: -(-len(some) // 64)]
+        others = turned[:: -(-len(turned) // 512)]
+        costs = {(0, 1.0): math.inf if kind is None else 250 + (2 if kind is np.float32 else 6) * dim}
+        for kept in {max(1, dim * part // 8) for part in range(1, 9)}:
+            queries, vectors = short(self.unit[few], kept), short(others, kept)
+            loss, found = math.sqrt(queries.shape[1] / 12), queries @ vectors.T
+            for below in (0.45, 1.0):
+                scale, least = scales(cosine[few], 1.15 * loss, loss, below)
+                wrapped = least - (1 << WIDTH - 1) / (scale * LENGTH)
+                passing = np.mean((found >= least[:, None]) | (found < wrapped[:, None]))
+                costs[kept, below] = queries.shape[1] + 22 + (PASSED[0] + PASSED[1] * dim) * float(passing)
+        return min(costs, key=costs.get)
 
     def verify(self, i, j, ids, vectors, norms) -> None:
         if len(i):
@@ -456,7 +477,7 @@ class Best:
                     bounds = np.maximum(bounds, kth)
                 hits = scores >= bounds[:, None] if kind is None else scores >= bounds.astype(kind)[:, None]
                 hits[own, place] = False
-                row, column = np.nonzero(hits)
+                row, column = np.divmod(places(hits), len(numbers))
                 if len(row):
                     self.add(tile[row], scores[row, column].astype(np.int64), numbers[column])
                 start = stop
@@ -489,19 +510,47 @@ class Best:
         return np.repeat(self.query_ids, self.count), self.ids[there], self.scores[there]
 
 
-def thresholds(unit: np.ndarray, cosine: np.ndarray, error: float, longest: float) -> tuple[np.ndarray, np.ndarray]:
-    """Queries in small integers, and the least score of a pair in the sketch that
-    may have the cosine.  ``error`` is what rounding took from a vector at most and
-    ``longest`` the length of the longest rounded one.  Each query's scale lets its
-    field hold every score from the threshold up; few wrap below it, none twice."""
-    half = 1 << (WIDTH - 1)
+def places(flags: np.ndarray) -> np.ndarray:
+    """Where a matrix of flags is set, counted through; eight at a time are looked at."""
+    flat = flags.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    words = np.flatnonzero(flat.view(np.uint64) != 0)
+    word, place = np.nonzero(flat.reshape(-1, 8)[words])
+    return words[word] * 8 + place
+
+
+def short(vectors: np.ndarray, kept: int) -> np.ndarray:
+    """The first coordinates and the length of the rest in place of the others: the
+    lengths stay, and no product gets smaller."""
+    if kept >= vectors.shape[1] - 1:
+        return vectors
+    return np.column_stack([vectors[:, :kept], lengths_of(vectors[:, kept:])])
+
+
+def scales(cosine: np.ndarray, error: float, loss: float, below: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the queries in the sketch with which a field holds every score from
+    the threshold up, and below 0 those of cosines down to ``below`` (if that is
+    not 1, no farther than the threshold is above 0); and about the cosine that passes."""
     scale = np.full(len(cosine), LENGTH)
-    loss = math.sqrt(unit.shape[1] / 12)
     for _ in range(3):
         lowered = np.clip(cosine - 1.03 * (error / LENGTH + loss / scale), 0.02, 1.0)
-        scale = 0.97 * half / np.maximum(1.03 - lowered, lowered + np.minimum(lowered, 0.45)) / LENGTH
+        most = np.maximum(1.03 - lowered, lowered + (below if below == 1.0 else np.minimum(lowered, below)))
+        scale = 0.97 * (1 << WIDTH - 1) / most / LENGTH
+    return scale, lowered
+
+
+def thresholds(
+    unit: np.ndarray, cosine: np.ndarray, error: float, longest: float, below: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Queries in small integers, and the least score of a pair in the sketch that
+    may have the cosine.  ``error`` is what rounding took from a vector at most and
+    ``longest`` the length of the longest rounded one.  No score is above its field's
+    range; few wrap below it, none twice."""
+    half = 1 << (WIDTH - 1)
+    scale, _ = scales(cosine, error, math.sqrt(unit.shape[1] / 12), below)
     while True:
-        exact = unit * scale[:, None].astype(np.float32)
+        exact = unit * scale[:, None]
         small = np.rint(exact)
         size = lengths_of(small)
         off = lengths_of(small - exact) * (1 + 1e-6)

@@ -243,6 +243,119 @@ def test_top_k_of_an_empty_table(spark):
     assert topk.top_k(df, df).count() == 0
 
 
+def vectors_of(kind, draw, n, dim):
+    v = draw.normal(size=(n, dim))
+    if kind != "gauss":
+        v /= np.sqrt((v**2).sum(axis=1))[:, None]
+    if kind == "spread":
+        v *= 2.0 ** draw.integers(-3, 4, n)[:, None]
+    if kind == "near":
+        v = v[draw.integers(0, 20, n)] + draw.normal(size=(n, dim)) * 0.02
+    if kind == "copies":
+        v = v[draw.integers(0, 30, n)]
+    if kind == "positive":
+        v = np.abs(v) + 0.2
+    if kind == "negative":
+        v = -np.abs(v) * np.where(np.arange(n) % 2, 1, -1)[:, None]
+    if kind == "sparse":
+        v *= draw.random((n, dim)) < 0.1
+    if kind == "decay":
+        v *= np.arange(1, dim + 1.0) ** -1
+    if kind == "large":
+        v *= 1e7
+    return np.floor(v * 256)
+
+
+@pytest.mark.parametrize("kind", ["unit", "gauss", "spread", "near", "copies", "positive", "negative", "sparse", "decay", "large"])
+@pytest.mark.parametrize("dim", [1, 2, 8, 64, 200])
+def test_best_of_a_group_equals_brute_force(kind, dim):
+    draw = np.random.default_rng(dim)
+    n, k = 1200, 5
+    vectors, ids = vectors_of(kind, draw, n, dim), draw.permutation(n) // 2 * 3  # ids come twice
+    asked = np.unique(ids[draw.choice(n, 200, replace=False)], return_index=True)
+    queries = vectors[draw.choice(n, len(asked[0]), replace=False)]
+    if kind != "large":
+        vectors, queries = vectors.astype(np.float32), queries.astype(np.float32)
+    best = topk.Best(asked[0], queries, np.full(len(queries), -np.inf), k)
+    for at in range(0, n, 400):
+        best.meet(ids[at : at + 400], vectors[at : at + 400])
+    scores = queries.astype(np.int64) @ vectors.astype(np.int64).T
+    expected = []
+    for i, own in enumerate(asked[0].tolist()):
+        rest = sorted((-s, j) for s, j in zip(scores[i].tolist(), ids.tolist()) if j != own)
+        expected += [(own, j, -s) for s, j in rest[:k]]
+    assert sorted(zip(*(x.tolist() for x in best.found()))) == sorted(expected)
+
+
+@pytest.mark.parametrize("cosine,dim,share", [(0.6, 64, 0.002), (0.9, 64, 0.001), (0.75, 256, 0.002)])
+def test_few_pairs_of_unlike_vectors_are_worked_out(monkeypatch, cosine, dim, share):
+    """Before, a block's rows were all multiplied and ranked for each query whose
+    threshold was under 0.85."""
+    draw = np.random.default_rng(4)
+    queries, vectors = (vectors_of("unit", draw, n, dim).astype(np.float32) for n in (1500, 4000))
+    best = topk.Best(np.arange(10_000, 11_500), queries, np.full(1500, cosine * 2.0**16), 5)
+    worked, exact = [], best.exact
+    monkeypatch.setattr(best, "exact", lambda i, j, *rest: worked.append(len(i)) or exact(i, j, *rest))
+    monkeypatch.setattr(best, "dense", lambda some, *rest: worked.append(len(some) * len(rest[0])))
+    best.meet(np.arange(4000), vectors)
+    assert sum(worked) <= share * 1500 * 4000
+    scores = queries.astype(np.int64) @ vectors.astype(np.int64).T
+    assert sorted(zip(*np.nonzero(scores >= cosine * 2**16))) == sorted((i - 10_000, j) for i, j in zip(best.found()[0], best.found()[1]))
+
+
+def test_thresholds_let_every_field_hold_its_score():
+    draw = np.random.default_rng(6)
+    half = 1 << (topk.WIDTH - 1)
+    for dim in (1, 3, 17, 64, 700):
+        unit, others = (x / np.sqrt((x**2).sum(axis=1))[:, None] for x in draw.normal(size=(2, 300, dim)))
+        others[:50] = unit[:50]
+        rounded = np.rint(others * topk.LENGTH)
+        error = np.sqrt(((rounded - others * topk.LENGTH) ** 2).sum(axis=1)).max()
+        longest = np.sqrt((rounded**2).sum(axis=1)).max()
+        for below in (0.45, 1.0):
+            cosine = draw.uniform(0.01, 1.0, 300)
+            small, least = topk.thresholds(unit, cosine, error, longest, below)
+            field = small @ rounded.T - least[:, None]
+            assert field.max() < half - 1 and field.min() > -3 * half + 1
+            assert (field[unit @ others.T >= cosine[:, None]] >= 1).all()
+
+
+def test_first_coordinates_and_the_length_of_the_rest_bound_a_product():
+    a, b = np.random.default_rng(8).normal(size=(2, 100, 20))
+    for kept in (1, 7, 18, 19, 20):
+        assert (topk.short(a, kept) @ topk.short(b, kept).T >= a @ b.T - 1e-9).all()
+        assert np.allclose((topk.short(a, kept) ** 2).sum(axis=1), (a**2).sum(axis=1))
+
+
+def test_rows_of_a_hot_vector_that_no_query_needs_are_left_out():
+    ids = np.array([7] * 9 + [1] * 2 + list(range(20, 60)) + [3])
+    vectors = np.ones((len(ids), 4))
+    vectors[-1] = 2
+    kept = topk.alike(ids, vectors, 2)
+    assert sorted(ids[kept].tolist()) == [1, 1, 3, 7, 7, 20]
+
+
+def test_top_k_packs_and_meets_blocks_without_moving_single_rows(spark):
+    """Before, each vector was dealt by key and each query block was joined with every
+    block of vectors."""
+    draw = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in draw.normal(size=8)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    packed = topk.blocks(df, 500, True, "vec_id", "embedding", 256, 5)
+    assert "Exchange hashpartitioning" not in packed._jdf.queryExecution().toString()
+    sizes = [r["size"] for r in packed.select("size").collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 500
+    found = topk.top_k(df.where("vec_id % 5 = 0"), df, block=200, query_block=50)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    scores = np.floor(np.array([np.float32(v) for _, v in rows], dtype=np.float64) * 256).astype(np.int64)
+    scores = scores[::5] @ scores.T
+    expected = []
+    for i, row in enumerate(scores.tolist()):
+        best = sorted((-s, j) for j, s in enumerate(row) if j != 5 * i)[:5]
+        expected += [(5 * i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == expected
+
+
 def test_pruning_keeps_every_hit():
     draw = np.random.default_rng(9)
     vectors = np.round(draw.normal(size=(500, 6)) * 100)
